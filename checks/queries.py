@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import DecimalType, FloatType
 
 from fleetgauge.plans import activity, cpu, index, io, waits
@@ -89,12 +89,9 @@ def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def comparable(df: DataFrame) -> DataFrame:
     """Decimals and floats as doubles, the one fraction type both engines share."""
-    inexact = (DecimalType, FloatType)
-    return df.select(
-        *(
-            F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, inexact) else F.col(f.name)
-            for f in df.schema.fields
-        )
+    fractions = (DecimalType, FloatType)
+    return df.selectExpr(
+        *(f"CAST({f.name} AS DOUBLE) AS {f.name}" if isinstance(f.dataType, fractions) else f.name for f in df.schema)
     )
 
 

@@ -9,45 +9,36 @@ otherwise): one broken row must not take a fleet-wide report down.
 
 from __future__ import annotations
 
-from decimal import Decimal
 
-from pyspark.sql import Column, functions as F
-
-# Wide enough for any BIGINT counter.
-_WIDE = "decimal(20,0)"
-
-
-def int_div(num: Column, den: Column | int) -> Column:
+def int_div(num: str, den: str | int) -> str:
     """Integer quotient truncated toward zero; NULL where ``den`` is 0 or NULL."""
-    den = den if isinstance(den, Column) else F.lit(den)
-    return F.call_function("div", num, F.nullif(den, F.lit(0)))
+    return f"(({num}) div nullif({den}, 0))"
 
 
-def int_div_or_zero(num: Column, den: Column) -> Column:
+def int_div_or_zero(num: str, den: str) -> str:
     """Integer quotient, 0 where the denominator is exactly 0 (NULL stays NULL)."""
-    return F.when(den == 0, F.lit(0).cast("bigint")).otherwise(int_div(num, den))
+    return f"CASE WHEN ({den}) = 0 THEN 0L ELSE {int_div(num, den)} END"
 
 
-def int_avg(value: Column) -> Column:
+def int_avg(value: str) -> str:
     """Aggregate: average of an integer column, truncated, NULLs left out."""
-    return int_div(F.sum(value), F.count(value))
+    return int_div(f"sum({value})", f"count({value})")
 
 
-def half_up_ratio(num: Column, den: Column | int, precision: int, scale: int) -> Column:
+def half_up_ratio(num: str, den: str | int, precision: int, scale: int) -> str:
     """``num / den`` as DECIMAL(precision, scale), rounded half up exactly once.
 
     Computed as the integer quotient of ``2 * |num| * 10**scale + |den|`` by
     ``2 * |den|``, so no intermediate decimal scale can shift the last digit.
     """
-    den = den if isinstance(den, Column) else F.lit(den)
-    n, d = num.cast(_WIDE), F.nullif(den.cast(_WIDE), F.lit(Decimal(0)))
-    doubled = F.abs(n) * F.lit(Decimal(2 * 10**scale)) + F.abs(d)
-    steps = F.call_function("div", doubled, F.abs(d) * F.lit(Decimal(2)))
-    signed = F.when((n < 0) != (d < 0), -steps).otherwise(steps)
-    unit = F.lit(Decimal(1).scaleb(-scale)).cast(f"decimal({scale + 1},{scale})")
-    return (signed.cast(_WIDE) * unit).cast(f"decimal({precision},{scale})")
+    n = f"CAST({num} AS DECIMAL(22,0))"
+    d = f"nullif(CAST({den} AS DECIMAL(22,0)), 0)"
+    steps = f"((abs({n}) * {2 * 10**scale} + abs({d})) div (abs({d}) * 2))"
+    sign = f"(CASE WHEN ({num}) < 0 THEN -1 ELSE 1 END)"
+    unit = f"0.{'1'.zfill(scale)}BD"
+    return f"CAST(CAST({steps} * {sign} AS DECIMAL(20,0)) * {unit} AS DECIMAL({precision},{scale}))"
 
 
-def percent_of(part: Column, whole: Column, precision: int, scale: int) -> Column:
+def percent_of(part: str, whole: str, precision: int, scale: int) -> str:
     """``100 * part / whole`` rounded half up; NULL where ``whole`` is 0."""
-    return half_up_ratio(part.cast(_WIDE) * F.lit(Decimal(100)), whole, precision, scale)
+    return half_up_ratio(f"CAST({part} AS DECIMAL(20,0)) * 100", whole, precision, scale)

@@ -6,52 +6,42 @@ answer under every session time zone.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+_FINER = {"day": 1, "hour": 24, "minute": 60, "second": 60}
 
 
-def boundary_diff(unit: str, start: Column, end: Column) -> Column:
+def boundary_diff(unit: str, start: str, end: str) -> str:
     """Number of ``unit`` boundaries (day, hour, minute, second) between two times."""
-    count = F.datediff(F.to_date(end), F.to_date(start)).cast("bigint")
-    for name, size, field in (
-        ("hour", 24, F.hour),
-        ("minute", 60, F.minute),
-        ("second", 60, F.second),
-    ):
-        if unit == "day":
-            return count
-        count = count * size + field(end) - field(start)
-        if unit == name:
+    count = f"CAST(datediff(CAST({end} AS DATE), CAST({start} AS DATE)) AS BIGINT)"
+    for name, size in _FINER.items():
+        if name != "day":
+            count = f"({count} * {size} + {name}({end}) - {name}({start}))"
+        if name == unit:
             return count
     raise ValueError(f"unknown unit: {unit}")
 
 
-def _two_digits(value: Column) -> Column:
-    # right() keeps the low digits of a wider value, lpad would keep the high ones.
-    return F.right(F.concat(F.lit("00"), value.cast("string")), F.lit(2))
-
-
-def duration_text(start: Column, end: Column) -> Column:
+def duration_text(start: str, end: str) -> str:
     """``<days>d hh:mm:ss`` where every part counts its own boundaries.
 
     The parts are not carried over from one another: 1.2 seconds across
     midnight read ``1d 01:01:02``.
     """
-    return F.concat(
-        boundary_diff("day", start, end).cast("string"),
-        F.lit("d "),
-        _two_digits(boundary_diff("hour", start, end) % 24),
-        F.lit(":"),
-        _two_digits(boundary_diff("minute", start, end) % 60),
-        F.lit(":"),
-        _two_digits(boundary_diff("second", start, end) % 60),
+
+    def two_digits(unit: str, size: int) -> str:
+        # right() keeps the low digits of a wider value, lpad the high ones.
+        return f"right(concat('00', CAST({boundary_diff(unit, start, end)} % {size} AS STRING)), 2)"
+
+    return (
+        f"concat(CAST({boundary_diff('day', start, end)} AS STRING), 'd ', {two_digits('hour', 24)}, ':',"
+        f" {two_digits('minute', 60)}, ':', {two_digits('second', 60)})"
     )
 
 
-def hour_bucket(ts: Column) -> Column:
+def hour_bucket(ts: str) -> str:
     """``yyyy-MM-dd HH`` label of a timestamp."""
-    return F.substring(ts.cast("string"), 1, 13)
+    return f"substring(CAST({ts} AS STRING), 1, 13)"
 
 
-def minus_millis(ts: Column, millis: Column) -> Column:
+def minus_millis(ts: str, millis: str) -> str:
     """``ts`` moved back by a number of milliseconds."""
-    return F.timestamp_add("MILLISECOND", -millis, ts)
+    return f"timestampadd(MILLISECOND, -({millis}), {ts})"

@@ -1,35 +1,47 @@
-"""Text helpers: statement slices, object names, job keys, log search."""
+"""Text helpers: literals, statement slices, object names, job keys."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, functions as F
-
-# Program name prefix of a scheduled job step, and the label
-# written in front of the job's name.
+# Program name prefix of a scheduled job step, the label written
+# in front of the job's name, and the length of '0x' and 32 hex digits.
 JOB_STEP_PREFIX = "SQLAgent - TSQL JobStep (Job "
 JOB_LABEL = "Job - "
-# '0x' and 32 hexadecimal digits.
 JOB_KEY_LENGTH = 34
 
 # Last part of a dotted name: bracketed (']]' is an escaped ']') or bare.
 _LAST_PART = r"(?:\[((?:[^\]]|\]\])*)\]|([^.\[\]]+))$"
 
 
-def substring_clipped(text: Column, start: Column, length: Column) -> Column:
+def literal(text: str) -> str:
+    """A string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def one_of(column: str, values: Iterable[str | int]) -> str:
+    """True where the column is one of the values; never for an empty list."""
+    listed = ", ".join(literal(v) if isinstance(v, str) else str(int(v)) for v in values)
+    return f"({column} IN ({listed}))" if listed else f"({column} IS NOT NULL AND false)"
+
+
+def contains_all(text: str, terms: Iterable[str]) -> str:
+    """True where the text holds every term, in any case."""
+    return " AND ".join(f"contains(lower({text}), lower({literal(t)}))" for t in terms) or "true"
+
+
+def substring_clipped(text: str, start: str, length: str) -> str:
     """Substring in which positions before the first character use up length.
 
     Spark treats start 0 as 1 and a negative start as counted from the end.
     """
-    whole = F.greatest(length, F.lit(0))
-    clipped = F.greatest(start + length - 1, F.lit(0))
-    return F.when(
-        start < 1, F.substring(text, F.lit(1), clipped.cast("int"))
-    ).otherwise(F.substring(text, start.cast("int"), whole.cast("int")))
+    return (
+        f"CASE WHEN {start} < 1 THEN substring({text}, 1, CAST(greatest({start} + {length} - 1, 0) AS INT))"
+        f" ELSE substring({text}, CAST({start} AS INT), CAST(greatest({length}, 0) AS INT)) END"
+    )
 
 
-def statement_slice(text: Column, start_offset: Column, end_offset: Column, mode: str) -> Column:
+def statement_slice(text: str, start_offset: str, end_offset: str, mode: str) -> str:
     """The running statement of a batch, from its byte offsets (2 per character).
 
     An end offset of -1 means "to the end of the text".  ``exact`` is the
@@ -37,47 +49,32 @@ def statement_slice(text: Column, start_offset: Column, end_offset: Column, mode
     character early and loses the last one, and ignores trailing blanks when it
     measures the text; some reports have always been read that way.
     """
-    half = F.call_function("div", start_offset, F.lit(2))
-    if mode == "exact":
-        end = F.when(end_offset == -1, 2 * F.length(text)).otherwise(end_offset)
-        size = F.call_function("div", end - start_offset, F.lit(2))
-        return substring_clipped(text, half + 1, size + 1)
-    if mode == "legacy":
-        end = F.when(end_offset == -1, 2 * F.length(F.rtrim(text))).otherwise(end_offset)
-        size = F.call_function("div", end - start_offset, F.lit(2))
-        return substring_clipped(text, half, size)
-    raise ValueError(f"unknown mode: {mode}")
-
-
-def last_name_part(name: Column) -> Column:
+    if mode not in ("exact", "legacy"):
+        raise ValueError(f"unknown mode: {mode}")
+    measured, extra = (text, 1) if mode == "exact" else (f"rtrim({text})", 0)
+    end = f"(CASE WHEN {end_offset} = -1 THEN 2 * length({measured}) ELSE {end_offset} END)"
+    return substring_clipped(
+        text, f"({start_offset} div 2 + {extra})", f"(({end} - {start_offset}) div 2 + {extra})"
+    )
+
+
+def last_name_part(name: str) -> str:
     """Last part of a dotted, possibly bracketed name; NULL when there is none."""
-    bracketed = F.replace(F.regexp_extract(name, _LAST_PART, 1), F.lit("]]"), F.lit("]"))
-    bare = F.regexp_extract(name, _LAST_PART, 2)
-    return F.nullif(F.concat(bracketed, bare), F.lit(""))
+    bracketed = f"replace(regexp_extract({name}, {literal(_LAST_PART)}, 1), ']]', ']')"
+    return f"nullif(concat({bracketed}, regexp_extract({name}, {literal(_LAST_PART)}, 2)), '')"
 
 
-def job_key_of_program(program: Column) -> Column:
+def job_key_of_program(program: str) -> str:
     """Job key carried by a program name, NULL when it holds none."""
-    stripped = F.replace(program, F.lit(JOB_STEP_PREFIX), F.lit(""))
-    key = F.lower(F.substring(stripped, 1, JOB_KEY_LENGTH))
-    return F.when(key.rlike("^0x[0-9a-f]{32}$"), key)
+    key = f"lower(substring(replace({program}, {literal(JOB_STEP_PREFIX)}, ''), 1, {JOB_KEY_LENGTH}))"
+    return f"CASE WHEN {key} RLIKE '^0x[0-9a-f]{{32}}$' THEN {key} END"
 
 
-def job_key_of_uuid(uuid: Column) -> Column:
+def job_key_of_uuid(uuid: str) -> str:
     """Hexadecimal text of a job UUID as stored bytes.
 
     The first three groups of the UUID are little-endian, the rest is not.
     """
-    digits = F.lower(F.replace(uuid, F.lit("-"), F.lit("")))
-    byte_order = (3, 2, 1, 0, 5, 4, 7, 6)
-    swapped = [F.substring(digits, 2 * b + 1, 2) for b in byte_order]
-    return F.concat(F.lit("0x"), *swapped, F.substring(digits, 17, 16))
-
-
-def contains_all(text: Column, terms: Iterable[str]) -> Column:
-    """True where the text holds every term, in any case."""
-    lowered = F.lower(text)
-    match = F.lit(True)
-    for term in terms:
-        match = match & lowered.contains(term.lower())
-    return match
+    digits = f"lower(replace({uuid}, '-', ''))"
+    first_groups = ", ".join(f"substring({digits}, {2 * byte + 1}, 2)" for byte in (3, 2, 1, 0, 5, 4, 7, 6))
+    return f"concat('0x', {first_groups}, substring({digits}, 17, 16))"

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from fleetgauge.functions.text import JOB_LABEL, job_key_of_program, job_key_of_uuid
+from fleetgauge.functions.text import JOB_LABEL, job_key_of_program, job_key_of_uuid, literal
 from fleetgauge.sources.schemas import KEYS
 
 # Rows without a job key are dealt out over this many join keys.
@@ -22,7 +22,7 @@ def with_database_name(
     df: DataFrame, databases: DataFrame, id_column: str = "database_id", name: str = "database_name"
 ) -> DataFrame:
     """Add the name of a database, NULL for an unknown id."""
-    names = databases.select(*KEYS, F.col("database_id").alias(id_column), F.col("name").alias(name))
+    names = databases.selectExpr(*KEYS, f"database_id AS {id_column}", f"name AS {name}")
     return df.join(names, [*KEYS, id_column], "left")
 
 
@@ -30,12 +30,8 @@ def with_object_name(
     df: DataFrame, objects: DataFrame, database_id: str = "dbid", object_id: str = "objectid"
 ) -> DataFrame:
     """Add ``schema_name`` and ``bare_name`` of an object, NULL for an unknown id."""
-    names = objects.select(
-        *KEYS,
-        F.col("database_id").alias(database_id),
-        F.col("object_id").alias(object_id),
-        "schema_name",
-        F.col("name").alias("bare_name"),
+    names = objects.selectExpr(
+        *KEYS, f"database_id AS {database_id}", f"object_id AS {object_id}", "schema_name", "name AS bare_name"
     )
     return df.join(names, [*KEYS, database_id, object_id], "left")
 
@@ -48,33 +44,26 @@ def in_databases(
     Object, file and index ids are only unique inside a database, and servers
     number their databases differently, so a name is resolved per snapshot.
     """
-    known = databases.select(
-        *KEYS, F.col("database_id").alias(id_column), F.col("name").alias("database_name")
-    )
     if database is not None:
-        known = known.where(F.col("database_name") == database)
+        databases = databases.where(f"name = {literal(database)}")
+    known = databases.selectExpr(*KEYS, f"database_id AS {id_column}", "name AS database_name")
     return df.join(known, [*KEYS, id_column])
 
 
 def with_program_label(df: DataFrame, jobs: DataFrame, row_id: Sequence[str]) -> DataFrame:
-    """Replace ``program_name`` by ``Job - <name>`` where it carries a job's key.
+    """Add ``program_label``: ``Job - <name>`` where the program name carries a job's key.
 
     Anything else, also a job without a name, keeps its program name.  Most
     sessions are not jobs; they get join keys that no job has, dealt out by a
     hash of ``row_id``, so that they do not all meet in one task.
     """
-    program = F.col("program_name")
-    no_job = F.concat(F.lit("-"), F.pmod(F.xxhash64(*row_id), F.lit(_SPREAD)).cast("string"))
-    keyed = df.withColumn("_job_key", F.coalesce(job_key_of_program(program), no_job))
-    labels = jobs.select(
-        *KEYS,
-        job_key_of_uuid(F.col("job_id")).alias("_job_key"),
-        F.concat(F.lit(JOB_LABEL), F.col("name")).alias("_label"),
+    no_job = f"concat('-', CAST(pmod(xxhash64({', '.join(row_id)}), {_SPREAD}) AS STRING))"
+    keyed = df.selectExpr("*", f"coalesce({job_key_of_program('program_name')}, {no_job}) AS job_key")
+    labels = jobs.selectExpr(
+        *KEYS, f"{job_key_of_uuid('job_id')} AS job_key", f"concat({literal(JOB_LABEL)}, name) AS job_label"
     )
-    return (
-        keyed.join(labels, [*KEYS, "_job_key"], "left")
-        .withColumn("program_name", F.coalesce(F.col("_label"), program))
-        .drop("_job_key", "_label")
+    return keyed.join(labels, [*KEYS, "job_key"], "left").selectExpr(
+        "*", "coalesce(job_label, program_name) AS program_label"
     )
 
 

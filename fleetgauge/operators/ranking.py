@@ -12,9 +12,8 @@ group; they make ranks reproducible and let equal measures be split.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetgauge.functions.arithmetic import percent_of
 from fleetgauge.sources.schemas import KEYS
@@ -26,9 +25,17 @@ _PRUNED_K = 1000
 _PIVOTS = 64
 
 
-def ordering(by: Sequence[str], entity: Sequence[str]) -> list[Column]:
+def ordering(by: Sequence[str], entity: Sequence[str] = ()) -> list[Column]:
     """Sort columns of the common order."""
-    return [F.col(c).desc_nulls_last() for c in by] + [F.col(c).asc_nulls_first() for c in entity]
+    return [F.desc_nulls_last(c) for c in by] + [F.asc_nulls_first(c) for c in entity]
+
+
+def _window(group: Sequence[str], by: Sequence[str] = (), entity: Sequence[str] = (), frame: str = "") -> str:
+    order = ", ".join([f"{c} DESC NULLS LAST" for c in by] + [f"{c} ASC NULLS FIRST" for c in entity])
+    return f"OVER (PARTITION BY {', '.join(group)} {f'ORDER BY {order}' if order else ''} {frame})"
+
+
+_BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 
 
 def top_k(
@@ -41,9 +48,9 @@ def top_k(
     rows are ranked range by range.
     """
     if k <= _PRUNED_K:
-        w = W.partitionBy(*group).orderBy(*ordering(by, entity))
-        return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k).drop("_rank")
-    return ordered(df, by, entity, group=group).where(F.col("row_rank") <= k).drop("row_rank")
+        rank = f"row_number() {_window(group, by, entity)} AS row_rank"
+        return df.selectExpr("*", rank).where(f"row_rank <= {k}")
+    return ordered(df, by, entity, group=group).where(f"row_rank <= {k}")
 
 
 def ordered(
@@ -53,7 +60,7 @@ def ordered(
     measure: str | None = None,
     group: Sequence[str] = KEYS,
     strategy: str = "bucketed",
-    below: Decimal | None = None,
+    below: float | None = None,
     pivots: int = _PIVOTS,
 ) -> DataFrame:
     """Add ``row_rank`` and, for a measure, ``prior_sum`` and ``group_sum``.
@@ -69,81 +76,61 @@ def ordered(
     offset of each range, and rows are then ordered one range per task.
     ``plain`` orders a group in one task.
     """
+    group, columns = list(group), df.columns
+    sums = [] if measure is None else ["prior_sum", "group_sum"]
     if strategy == "plain":
-        return _ordered_plain(df, by, entity, measure, group, below)
+        exprs = [f"CAST(row_number() {_window(group, by, entity)} AS BIGINT) AS row_rank"]
+        if measure is not None:
+            exprs += [
+                f"coalesce(sum({measure}) {_window(group, by, entity, _BEFORE)}, 0) AS prior_sum",
+                f"sum({measure}) {_window(group)} AS group_sum",
+            ]
+        out = df.selectExpr("*", *exprs)
+        return out if below is None else out.where(_under("prior_sum", "group_sum", below))
     if strategy != "bucketed":
         raise ValueError(f"unknown strategy: {strategy}")
 
-    group, entity = list(group), list(entity)
     # Ascending comparison of this struct is the common order.
-    position = F.struct(
-        *(f for c in by for f in (F.isnull(c).alias(f"n_{c}"), (-F.col(c)).alias(f"d_{c}"))),
-        *(F.col(c) for c in entity),
-    )
-    by_hash = W.partitionBy(*group).orderBy(F.xxhash64(*entity), *(F.col(c) for c in entity))
+    position = f"struct({', '.join([f'{c} IS NULL, -{c}' for c in by] + list(entity))})"
     cuts = (
-        df.select(*group, *entity, position.alias("_position"))
-        .withColumn("_pick", F.row_number().over(by_hash))
-        .where(F.col("_pick") <= pivots)
+        df.selectExpr(
+            *group,
+            f"{position} AS cut",
+            f"row_number() {_window(group, entity=[f'xxhash64({", ".join(entity)})', *entity])} AS pick",
+        )
+        .where(f"pick <= {pivots}")
         .groupBy(*group)
-        .agg(F.collect_list("_position").alias("_cuts"))
-    )
-    placed = (
-        df.join(cuts, group)
-        .withColumn("_position", position)
-        .withColumn("_bucket", F.size(F.filter("_cuts", lambda cut: cut <= F.col("_position"))))
-        .drop("_cuts", "_position")
+        .agg(F.collect_list("cut").alias("cuts"))
     )
-
-    totals = [F.count(F.lit(1)).alias("_n")]
-    if measure is not None:
-        totals.append(F.sum(measure).alias("_s"))
-    before = W.partitionBy(*group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = placed.groupBy(*group, "_bucket").agg(*totals).withColumn(
-        "_n_before", F.coalesce(F.sum("_n").over(before), F.lit(0))
+    placed = df.join(cuts, group).selectExpr(
+        *(f"`{c}`" for c in columns), f"size(filter(cuts, cut -> cut <= {position})) AS bucket"
     )
-    in_bucket = W.partitionBy(*group, "_bucket").orderBy(*ordering(by, entity))
-    if measure is None:
-        offsets = offsets.drop("_n")
-    else:
-        offsets = offsets.withColumn("_s_before", F.coalesce(F.sum("_s").over(before), F.lit(0))).withColumn(
-            "group_sum", F.sum("_s").over(W.partitionBy(*group))
-        )
-        if below is not None:
-            # Whole ranges past the threshold never reach the row-level sort.
-            offsets = offsets.where(_under(F.col("_s_before"), F.col("group_sum"), below))
-        offsets = offsets.drop("_n", "_s")
-
-    out = placed.join(offsets, [*group, "_bucket"]).withColumn(
-        "row_rank", F.col("_n_before") + F.row_number().over(in_bucket)
+    counted = placed.groupBy(*group, "bucket").agg(
+        F.count(F.lit(1)).alias("n"), *([F.sum(measure).alias("s")] if measure else [])
     )
+    before = _window(group, entity=["bucket"], frame=_BEFORE)
+    exprs = [f"coalesce(sum(n) {before}, 0) AS n_before"]
     if measure is not None:
-        earlier = in_bucket.rowsBetween(W.unboundedPreceding, -1)
-        out = out.withColumn(
-            "prior_sum", F.col("_s_before") + F.coalesce(F.sum(measure).over(earlier), F.lit(0))
-        ).drop("_s_before")
-        if below is not None:
-            out = out.where(_under(F.col("prior_sum"), F.col("group_sum"), below))
-    return out.drop("_bucket", "_n_before")
-
-
-def _ordered_plain(df, by, entity, measure, group, below):
-    w = W.partitionBy(*group).orderBy(*ordering(by, entity))
-    out = df.withColumn("row_rank", F.row_number().over(w).cast("bigint"))
+        exprs += [f"coalesce(sum(s) {before}, 0) AS s_before", f"sum(s) {_window(group)} AS group_sum"]
+    offsets = counted.selectExpr(*group, "bucket", *exprs)
+    if below is not None:
+        # Whole ranges past the threshold never reach the row-level sort.
+        offsets = offsets.where(_under("s_before", "group_sum", below))
+
+    bucket = [*group, "bucket"]
+    exprs = [f"n_before + row_number() {_window(bucket, by, entity)} AS row_rank"]
     if measure is not None:
-        earlier = w.rowsBetween(W.unboundedPreceding, -1)
-        out = out.withColumn("prior_sum", F.coalesce(F.sum(measure).over(earlier), F.lit(0))).withColumn(
-            "group_sum", F.sum(measure).over(W.partitionBy(*group))
-        )
-        if below is not None:
-            out = out.where(_under(F.col("prior_sum"), F.col("group_sum"), below))
-    return out
+        earlier = _window(bucket, by, entity, _BEFORE)
+        exprs += [f"s_before + coalesce(sum({measure}) {earlier}, 0) AS prior_sum", "group_sum"]
+    out = placed.join(offsets, bucket).selectExpr(*(f"`{c}`" for c in columns), *exprs)
+    return out if below is None else out.where(_under("prior_sum", "group_sum", below))
 
 
-def _under(prior: Column, total: Column, percent: Decimal) -> Column:
-    # Integer comparison; a zero total has no shares, so nothing is under.
-    wide = "decimal(20,0)"
-    return (total > 0) & (prior.cast(wide) * F.lit(Decimal(100)) < total.cast(wide) * F.lit(percent))
+def _under(prior: str, total: str, percent: float) -> str:
+    # Exact comparison; a zero total has no shares, so nothing is under.
+    return (
+        f"{total} > 0 AND CAST({prior} AS DECIMAL(20,0)) * 100 < CAST({total} AS DECIMAL(20,0)) * {percent}BD"
+    )
 
 
 def share_rank(
@@ -151,9 +138,7 @@ def share_rank(
 ) -> DataFrame:
     """Add the rank by ``measure`` and its percentage of the group's total."""
     ranked = ordered(df, [measure], entity, measure, group, strategy)
-    return ranked.withColumn("share", percent_of(F.col(measure), F.col("group_sum"), 5, 2)).drop(
-        "prior_sum", "group_sum"
-    )
+    return ranked.selectExpr("*", f"{percent_of(measure, 'group_sum', 5, 2)} AS share")
 
 
 def pareto_prefix(
@@ -168,8 +153,7 @@ def pareto_prefix(
 
     A row stays while the share of the rows before it is still under the
     threshold, so the row that crosses it is kept and the first always is.
-    Adds ``row_rank`` and ``group_sum``.
+    Adds ``row_rank``, ``prior_sum`` and ``group_sum``.
     """
-    known = df.where(F.col(measure).isNotNull())
-    limit = Decimal(str(threshold))
-    return ordered(known, [measure], entity, measure, group, strategy, below=limit).drop("prior_sum")
+    known = df.where(f"{measure} IS NOT NULL")
+    return ordered(known, [measure], entity, measure, group, strategy, below=threshold)

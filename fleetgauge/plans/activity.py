@@ -5,46 +5,44 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from fleetgauge.functions.clock import hour_bucket
+from fleetgauge.functions.text import literal
 from fleetgauge.operators.lookup import at_latest, with_program_label
 from fleetgauge.operators.ranking import ordering
-from fleetgauge.sources.schemas import KEYS
+from fleetgauge.sources.schemas import KEYS, PARTITION
 
 Moment = str | dt.datetime
 
 # What tells two rows of the history apart.
 _ROW = ["collection_time", "session_id", "start_time"]
-
-
-def _elapsed() -> Column:
-    return F.col("`dd hh:mm:ss.mss`").alias("duration")
+_DURATION = "`dd hh:mm:ss.mss` AS duration"
+_IS_BLOCKED = "blocking_session_id IS NOT NULL"
+_IS_BLOCKING = "blocking_session_count <> 0"
 
 
 def _between(activity: DataFrame, start: Moment, end: Moment) -> DataFrame:
-    """Polls from ``start`` to ``end``, both included."""
-    low, high = (F.lit(t).cast("timestamp_ntz") for t in (start, end))
-    return activity.where(F.col("collection_time").between(low, high))
-
-
-def _is_blocked() -> Column:
-    return F.col("blocking_session_id").isNotNull()
-
+    """Polls from ``start`` to ``end``, both included.
 
-def _is_blocking() -> Column:
-    return F.col("blocking_session_count") != 0
+    The history is partitioned by the date of the poll, so the same range on
+    dates keeps other days' files closed.
+    """
+    low, high = (f"CAST({literal(str(t))} AS TIMESTAMP_NTZ)" for t in (start, end))
+    return activity.where(
+        f"{PARTITION} BETWEEN CAST({low} AS DATE) AND CAST({high} AS DATE) AND collection_time BETWEEN {low} AND {high}"
+    )
 
 
 def _sessions(rows: DataFrame, jobs: DataFrame) -> DataFrame:
     """Session lines with resolved program labels, by start time."""
     return (
         with_program_label(rows, jobs, _ROW)
-        .select(
+        .selectExpr(
             *KEYS,
             "start_time",
             "collection_time",
-            _elapsed(),
+            _DURATION,
             "session_id",
             "blocking_session_id",
             "blocking_session_count",
@@ -54,7 +52,7 @@ def _sessions(rows: DataFrame, jobs: DataFrame) -> DataFrame:
             "writes",
             "login_name",
             "database_name",
-            "program_name",
+            "program_label AS program_name",
             "host_name",
             "wait_info",
             "sql_text",
@@ -71,26 +69,26 @@ def activity_latest(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 def activity_blocking(tables: Mapping[str, DataFrame], start: Moment, end: Moment) -> DataFrame:
     """Sessions that were blocked or blocked others."""
-    rows = _between(tables["activity"], start, end).where(_is_blocked() | _is_blocking())
+    rows = _between(tables["activity"], start, end).where(f"{_IS_BLOCKED} OR {_IS_BLOCKING}")
     return _sessions(rows, tables["jobs"])
 
 
 def activity_io_offenders(tables: Mapping[str, DataFrame], start: Moment, end: Moment) -> DataFrame:
     """Sessions by writes plus physical reads."""
-    rows = _between(tables["activity"], start, end).withColumn(
-        "_io", F.col("writes") + F.col("physical_reads")
+    rows = _between(tables["activity"], start, end).selectExpr(
+        "*", "writes + physical_reads AS total_io"
     )
     return (
         with_program_label(rows, tables["jobs"], _ROW)
-        .orderBy(*ordering([], KEYS), *ordering(["_io"], _ROW))
-        .select(
+        .orderBy(*KEYS, *ordering(["total_io"], _ROW))
+        .selectExpr(
             *KEYS,
             "start_time",
-            _elapsed(),
+            _DURATION,
             "writes",
             "physical_reads",
             "database_name",
-            "program_name",
+            "program_label AS program_name",
             "host_name",
             "wait_info",
             "sql_text",
@@ -106,31 +104,25 @@ def _count_by_program(rows: DataFrame, jobs: DataFrame, by: list[str], name: str
     of programs instead of for every session, and a busy program costs one row
     per task.
     """
-    raw = rows.groupBy(*KEYS, *by, "program_name").agg(F.count(F.lit(1)).alias("_n"))
-    labelled = with_program_label(raw, jobs, [*KEYS, *by, "program_name"])
-    return (
-        labelled.withColumnRenamed("program_name", "program")
-        .groupBy(*KEYS, *by, "program")
-        .agg(F.sum("_n").alias(name))
-    )
+    raw = rows.groupBy(*KEYS, *by, "program_name").agg(F.count(F.lit(1)).alias("n"))
+    labelled = with_program_label(raw, jobs, [*by, "program_name"])
+    return labelled.groupBy(*KEYS, *by, F.col("program_label").alias("program")).agg(F.sum("n").alias(name))
 
 
 def _per_hour(rows: DataFrame, jobs: DataFrame, name: str) -> DataFrame:
-    hourly = rows.withColumn("hour", hour_bucket(F.col("collection_time")))
-    return _count_by_program(hourly, jobs, ["hour"], name).orderBy(
-        *KEYS, "hour", F.col(name).desc(), "program"
-    )
+    hourly = rows.selectExpr(*KEYS, f"{hour_bucket('collection_time')} AS hour", "program_name")
+    return _count_by_program(hourly, jobs, ["hour"], name).orderBy(*KEYS, "hour", F.desc(name), "program")
 
 
 def blocked_per_hour(tables: Mapping[str, DataFrame], start: Moment, end: Moment) -> DataFrame:
     """Blocked sessions per hour and program."""
-    rows = _between(tables["activity"], start, end).where(_is_blocked())
+    rows = _between(tables["activity"], start, end).where(_IS_BLOCKED)
     return _per_hour(rows, tables["jobs"], "blocked_count")
 
 
 def blocking_per_hour(tables: Mapping[str, DataFrame], start: Moment, end: Moment) -> DataFrame:
     """Blocking sessions per hour and program."""
-    rows = _between(tables["activity"], start, end).where(_is_blocking())
+    rows = _between(tables["activity"], start, end).where(_IS_BLOCKING)
     return _per_hour(rows, tables["jobs"], "blocking_count")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fleetgauge.functions.arithmetic import int_avg, int_div
 from fleetgauge.functions.clock import boundary_diff, duration_text, minus_millis
-from fleetgauge.functions.text import contains_all, statement_slice
+from fleetgauge.functions.text import contains_all, literal, one_of, statement_slice
 from fleetgauge.operators.lookup import in_databases, with_database_name, with_object_name
 from fleetgauge.operators.ranking import ordering, share_rank, top_k
 from fleetgauge.sources.schemas import KEYS
@@ -25,7 +25,18 @@ _MONITOR_SCHEMA = (
     "_id INT, SchedulerMonitorEvent STRUCT<SystemHealth: STRUCT<SystemIdle: INT, ProcessUtilization: INT>>"
 )
 # What tells two rows of query_stats in one snapshot apart.
-_STATEMENT_ID = ["plan_handle", "sql_handle", "statement_start_offset", "statement_end_offset"]
+STATEMENT_ID = ["plan_handle", "sql_handle", "statement_start_offset", "statement_end_offset"]
+
+
+def search_log(
+    tables: Mapping[str, DataFrame], terms: Sequence[str], generations: Sequence[int]
+) -> DataFrame:
+    """Lines of the given log generations that hold every term."""
+    return (
+        tables["error_log"]
+        .where(f"{one_of('log_generation', generations)} AND {contains_all('log_text', terms)}")
+        .select(*KEYS, "log_date", "process_info", "log_text")
+    )
 
 
 def log_search(
@@ -34,21 +45,16 @@ def log_search(
     generations: Sequence[int] = (0,),
 ) -> DataFrame:
     """Log lines that hold every term; the default finds the core counts."""
-    return (
-        tables["error_log"]
-        .where(F.col("log_generation").isin(*generations) & contains_all(F.col("log_text"), terms))
-        .select(*KEYS, "log_date", "process_info", "log_text")
-        .orderBy(*KEYS, "log_date", "process_info", "log_text")
-    )
+    return search_log(tables, terms, generations).orderBy(*KEYS, "log_date", "process_info", "log_text")
 
 
 def scheduler_count_by_node(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Online schedulers per node."""
     return (
         tables["schedulers"]
-        .where(F.col("status") == ONLINE_SCHEDULER)
+        .where(f"status = {literal(ONLINE_SCHEDULER)}")
         .groupBy(*KEYS, "parent_node_id")
-        .agg(F.count(F.lit(1)).alias("scheduler_count"))
+        .agg(F.expr("count(*) AS scheduler_count"))
         .orderBy(*KEYS, "parent_node_id")
     )
 
@@ -59,11 +65,11 @@ def scheduler_load(tables: Mapping[str, DataFrame]) -> DataFrame:
         tables["schedulers"]
         .groupBy(*KEYS, "status")
         .agg(
-            F.count(F.lit(1)).alias("scheduler_count"),
-            F.sum("current_tasks_count").alias("current_tasks_count"),
-            F.sum("runnable_tasks_count").alias("runnable_tasks_count"),
-            F.sum("active_workers_count").alias("active_workers_count"),
-            int_avg(F.col("load_factor")).alias("load_factor"),
+            F.expr("count(*) AS scheduler_count"),
+            F.expr("sum(current_tasks_count) AS current_tasks_count"),
+            F.expr("sum(runnable_tasks_count) AS runnable_tasks_count"),
+            F.expr("sum(active_workers_count) AS active_workers_count"),
+            F.expr(f"{int_avg('load_factor')} AS load_factor"),
         )
         .orderBy(*KEYS, "status")
     )
@@ -75,33 +81,33 @@ def cpu_history(tables: Mapping[str, DataFrame], k: int = 256) -> DataFrame:
     The marker is tested on the raw text, ahead of parsing.  Missing nodes and
     malformed records read as NULL.
     """
-    health = F.col("event.SchedulerMonitorEvent.SystemHealth")
+    health = "event.SchedulerMonitorEvent.SystemHealth"
     samples = (
         tables["ring_buffer"]
-        .where((F.col("ring_buffer_type") == MONITOR_RECORD) & F.col("record").contains(HEALTH_MARKER))
-        .withColumn("event", F.from_xml("record", _MONITOR_SCHEMA))
-        .select(
+        .where(f"ring_buffer_type = {literal(MONITOR_RECORD)} AND contains(record, {literal(HEALTH_MARKER)})")
+        .selectExpr(*KEYS, "timestamp AS ticks", f"from_xml(record, '{_MONITOR_SCHEMA}') AS event")
+        .selectExpr(
             *KEYS,
-            F.col("event._id").alias("record_id"),
-            health.ProcessUtilization.alias("process_cpu"),
-            health.SystemIdle.alias("system_idle"),
-            F.col("timestamp").alias("ticks"),
+            "ticks",
+            "event._id AS record_id",
+            f"{health}.ProcessUtilization AS process_cpu",
+            f"{health}.SystemIdle AS system_idle",
         )
     )
     newest = top_k(samples, ["record_id"], ["ticks"], k)
-    # cpu_ticks per millisecond is itself truncated.
-    now = tables["sys_info"].select(
-        *KEYS, int_div(F.col("cpu_ticks"), int_div(F.col("cpu_ticks"), F.col("ms_ticks"))).alias("now_ticks")
+    # The number of CPU ticks per millisecond is itself truncated.
+    now = tables["sys_info"].selectExpr(
+        *KEYS, f"{int_div('cpu_ticks', int_div('cpu_ticks', 'ms_ticks'))} AS now_ticks"
     )
     return (
         newest.join(now, KEYS, "left")
-        .orderBy(*KEYS, F.col("record_id").desc(), "ticks")
-        .select(
+        .orderBy(*KEYS, F.desc("record_id"), "ticks")
+        .selectExpr(
             *KEYS,
             "process_cpu",
             "system_idle",
-            (100 - F.col("system_idle") - F.col("process_cpu")).alias("other_cpu"),
-            minus_millis(F.col("collected_at"), F.col("now_ticks") - F.col("ticks")).alias("event_time"),
+            "100 - system_idle - process_cpu AS other_cpu",
+            f"{minus_millis('collected_at', 'now_ticks - ticks')} AS event_time",
         )
     )
 
@@ -116,13 +122,13 @@ def cpu_by_database(tables: Mapping[str, DataFrame], strategy: str = "plain") ->
     by_plan = (
         tables["query_stats"]
         .groupBy(*KEYS, "plan_handle")
-        .agg(F.sum(int_div(F.col("total_worker_time"), 1000)).alias("cpu_ms"))
+        .agg(F.expr(f"sum({int_div('total_worker_time', 1000)}) AS cpu_ms"))
     )
     plan_database = (
         tables["plan_attributes"]
-        .where(F.col("attribute") == DATABASE_ATTRIBUTE)
-        .select(*KEYS, "plan_handle", F.expr("try_cast(value AS BIGINT)").alias("database_id"))
-        .where(F.col("database_id") != RESOURCE_DATABASE_ID)
+        .where(f"attribute = {literal(DATABASE_ATTRIBUTE)}")
+        .selectExpr(*KEYS, "plan_handle", "try_cast(value AS BIGINT) AS database_id")
+        .where(f"database_id <> {RESOURCE_DATABASE_ID}")
     )
     by_database = (
         by_plan.join(plan_database, [*KEYS, "plan_handle"])
@@ -132,28 +138,24 @@ def cpu_by_database(tables: Mapping[str, DataFrame], strategy: str = "plain") ->
     ranked = share_rank(by_database, "cpu_time_ms", ["database_id"], strategy=strategy)
     return (
         with_database_name(ranked, tables["databases"])
-        .select(
-            *KEYS,
-            F.col("row_rank").alias("cpu_rank"),
-            "database_name",
-            "cpu_time_ms",
-            F.col("share").alias("cpu_percent"),
-        )
+        .selectExpr(*KEYS, "row_rank AS cpu_rank", "database_name", "cpu_time_ms", "share AS cpu_percent")
         .orderBy(*KEYS, "cpu_rank")
     )
 
 
-def _per_execution(total: str):
-    return int_div(F.col(total), F.col("execution_count"))
+def per_execution(total: str) -> str:
+    """Truncated average per execution; NULL for a statement that never ended."""
+    return int_div(total, "execution_count")
 
 
-def _text_ids(tables: Mapping[str, DataFrame], handle: str) -> DataFrame:
-    """Handles with a known text, without the text itself."""
-    return tables["sql_text"].select(*KEYS, F.col("handle").alias(handle), "dbid", "objectid")
+def text_owners(tables: Mapping[str, DataFrame], handle: str) -> DataFrame:
+    """Database and object of every known text, without the text."""
+    return tables["sql_text"].selectExpr(*KEYS, f"handle AS {handle}", "dbid", "objectid")
 
 
-def _texts(tables: Mapping[str, DataFrame], handle: str) -> DataFrame:
-    return tables["sql_text"].select(*KEYS, F.col("handle").alias(handle), "text")
+def texts(tables: Mapping[str, DataFrame], handle: str) -> DataFrame:
+    """Text of every handle."""
+    return tables["sql_text"].selectExpr(*KEYS, f"handle AS {handle}", "text")
 
 
 def top_queries_by_worker_time(tables: Mapping[str, DataFrame], k: int = 50) -> DataFrame:
@@ -161,25 +163,25 @@ def top_queries_by_worker_time(tables: Mapping[str, DataFrame], k: int = 50) ->
 
     Ranking runs on counters only; the texts are joined to the ``k`` winners.
     """
-    stats = tables["query_stats"].join(_text_ids(tables, "plan_handle"), [*KEYS, "plan_handle"])
-    winners = top_k(stats, ["total_worker_time"], _STATEMENT_ID, k)
+    stats = tables["query_stats"].join(text_owners(tables, "plan_handle"), [*KEYS, "plan_handle"])
+    winners = top_k(stats, ["total_worker_time"], STATEMENT_ID, k)
     named = with_database_name(winners, tables["databases"], "dbid")
     return (
-        named.join(_texts(tables, "plan_handle"), [*KEYS, "plan_handle"])
-        .orderBy(*ordering([], KEYS), *ordering(["total_worker_time"], _STATEMENT_ID))
-        .select(
+        named.join(texts(tables, "plan_handle"), [*KEYS, "plan_handle"])
+        .orderBy(*KEYS, *ordering(["total_worker_time"], STATEMENT_ID))
+        .selectExpr(
             *KEYS,
             "database_name",
-            F.col("text").alias("query_text"),
+            "text AS query_text",
             "total_worker_time",
             "min_worker_time",
-            _per_execution("total_worker_time").alias("avg_worker_time"),
+            f"{per_execution('total_worker_time')} AS avg_worker_time",
             "max_worker_time",
             "min_elapsed_time",
-            _per_execution("total_elapsed_time").alias("avg_elapsed_time"),
+            f"{per_execution('total_elapsed_time')} AS avg_elapsed_time",
             "max_elapsed_time",
             "min_logical_reads",
-            _per_execution("total_logical_reads").alias("avg_logical_reads"),
+            f"{per_execution('total_logical_reads')} AS avg_logical_reads",
             "max_logical_reads",
             "execution_count",
             "creation_time",
@@ -198,31 +200,32 @@ def top_queries_by_avg_cpu(tables: Mapping[str, DataFrame], k: int = 50) -> Data
 
 
 def _top_queries_by_cpu(tables: Mapping[str, DataFrame], by: str, k: int) -> DataFrame:
-    stats = (
-        tables["query_stats"]
-        .join(_text_ids(tables, "sql_handle"), [*KEYS, "sql_handle"])
-        .withColumn("total_cpu_time", F.col("total_worker_time"))
-        .withColumn("average_cpu_time", _per_execution("total_worker_time"))
+    stats = tables["query_stats"].selectExpr(
+        "*",
+        "total_worker_time AS total_cpu_time",
+        f"{per_execution('total_worker_time')} AS average_cpu_time",
+    )
+    winners = top_k(
+        stats.join(text_owners(tables, "sql_handle"), [*KEYS, "sql_handle"]), [by], STATEMENT_ID, k
     )
-    winners = top_k(stats, [by], _STATEMENT_ID, k)
     named = with_object_name(
         with_database_name(winners, tables["databases"], "dbid"), tables["objects"]
     )
     return (
-        named.join(_texts(tables, "sql_handle"), [*KEYS, "sql_handle"])
-        .orderBy(*ordering([], KEYS), *ordering([by], _STATEMENT_ID))
-        .select(
+        named.join(texts(tables, "sql_handle"), [*KEYS, "sql_handle"])
+        .orderBy(*KEYS, *ordering([by], STATEMENT_ID))
+        .selectExpr(
             *KEYS,
-            F.concat("schema_name", F.lit("."), "bare_name").alias("object_name"),
-            F.col("text").alias("text_data"),
-            F.col("total_physical_reads").alias("disk_reads"),
-            F.col("total_logical_reads").alias("memory_reads"),
-            F.col("execution_count").alias("executions"),
+            "concat(schema_name, '.', bare_name) AS object_name",
+            "text AS text_data",
+            "total_physical_reads AS disk_reads",
+            "total_logical_reads AS memory_reads",
+            "execution_count AS executions",
             "total_cpu_time",
             "average_cpu_time",
-            F.col("total_elapsed_time").alias("disk_wait_and_cpu_time"),
-            F.col("max_logical_writes").alias("memory_writes"),
-            F.col("creation_time").alias("date_cached"),
+            "total_elapsed_time AS disk_wait_and_cpu_time",
+            "max_logical_writes AS memory_writes",
+            "creation_time AS date_cached",
             "database_name",
             "last_execution_time",
         )
@@ -254,54 +257,54 @@ def top_procedures(
     total, more, only_positive, calls = _PROCEDURE_METRICS[metric]
     stats = tables["proc_stats"]
     if only_positive:
-        stats = stats.where(F.col(total) > 0)
-    names = tables["procedures"].select(*KEYS, "database_id", "object_id", F.col("name").alias("sp_name"))
+        stats = stats.where(f"{total} > 0")
+    names = tables["procedures"].selectExpr(*KEYS, "database_id", "object_id", "name AS sp_name")
     procedures = in_databases(
         stats.join(names, [*KEYS, "database_id", "object_id"]), tables["databases"], database
     )
     by, entity = [total, *more], ["object_id", "cached_time"]
     winners = top_k(procedures, by, entity, k, group=[*KEYS, "database_id"])
 
-    columns = [F.col(total), _per_execution(total).alias(total.replace("total", "avg")), F.col("execution_count")]
-    if calls is not None:
-        minutes = boundary_diff("minute", F.col("cached_time"), F.col("collected_at"))
-        rate = F.coalesce(int_div(F.col("execution_count"), minutes), F.lit(0))
-        if calls == "null":
-            rate = F.when(minutes > 0, rate)
-        columns.append(rate.alias("calls_per_minute"))
-    columns += [F.col(c) for c in more]
-    return winners.orderBy(
-        *ordering([], [*KEYS, "database_id"]), *ordering(by, entity)
-    ).select(
+    minutes = boundary_diff("minute", "cached_time", "collected_at")
+    rate = f"coalesce({int_div('execution_count', minutes)}, 0)"
+    calls_per_minute = {
+        "null": [f"CASE WHEN {minutes} > 0 THEN {rate} END AS calls_per_minute"],
+        "zero": [f"{rate} AS calls_per_minute"],
+        None: [],
+    }[calls]
+    return winners.orderBy(*KEYS, "database_id", *ordering(by, entity)).selectExpr(
         *KEYS,
         "database_name",
         "sp_name",
-        *columns,
+        total,
+        f"{per_execution(total)} AS {total.replace('total', 'avg')}",
+        "execution_count",
+        *calls_per_minute,
+        *more,
         "total_elapsed_time",
-        _per_execution("total_elapsed_time").alias("avg_elapsed_time"),
+        f"{per_execution('total_elapsed_time')} AS avg_elapsed_time",
         "cached_time",
     )
 
 
 def active_requests(tables: Mapping[str, DataFrame], exclude_sessions: Iterable[int] = ()) -> DataFrame:
     """Requests running now, but for the collector's own sessions."""
-    requests = tables["requests"].where(~F.col("session_id").isin(*exclude_sessions))
     sessions = tables["sessions"].select(*KEYS, "session_id", "host_name", "program_name")
     plans = tables["query_plan"].select(*KEYS, "plan_handle", "query_plan")
     joined = (
-        requests.join(sessions, [*KEYS, "session_id"])
-        .join(_texts(tables, "sql_handle"), [*KEYS, "sql_handle"])
+        tables["requests"]
+        .where(f"NOT {one_of('session_id', exclude_sessions)}")
+        .join(sessions, [*KEYS, "session_id"])
+        .join(texts(tables, "sql_handle"), [*KEYS, "sql_handle"])
         .join(plans, [*KEYS, "plan_handle"], "left")
     )
-    statement = statement_slice(
-        F.col("text"), F.col("statement_start_offset"), F.col("statement_end_offset"), "exact"
-    )
+    statement = statement_slice("text", "statement_start_offset", "statement_end_offset", "exact")
     return (
         with_database_name(joined, tables["databases"])
-        .select(
+        .selectExpr(
             *KEYS,
             "session_id",
-            F.col("text").alias("text_command"),
+            "text AS text_command",
             "database_name",
             "host_name",
             "program_name",
@@ -310,13 +313,13 @@ def active_requests(tables: Mapping[str, DataFrame], exclude_sessions: Iterable[
             "cpu_time",
             "reads",
             "writes",
-            duration_text(F.col("start_time"), F.col("collected_at")).alias("duration"),
+            f"{duration_text('start_time', 'collected_at')} AS duration",
             "start_time",
             "blocking_session_id",
             "wait_type",
             "wait_time",
             "last_wait_type",
-            F.concat(F.lit("<?query --\r"), statement, F.lit("\r--?>")).alias("sql_statement"),
+            f"concat('<?query --', char(13), {statement}, char(13), '--?>') AS sql_statement",
             "query_plan",
         )
         .orderBy(*KEYS, "start_time", "session_id")
@@ -327,36 +330,36 @@ def head_blockers(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Sessions that block others and are not blocked themselves."""
     processes = tables["processes"]
     # A blocker is listed once, however many sessions wait for it.
-    blockers = processes.select(*KEYS, F.col("blocked").alias("spid")).distinct()
+    blockers = processes.selectExpr(*KEYS, "blocked AS spid").distinct()
     heads = with_database_name(
-        processes.where(F.col("blocked") == 0).join(blockers, [*KEYS, "spid"], "left_semi"),
+        processes.where("blocked = 0").join(blockers, [*KEYS, "spid"], "left_semi"),
         tables["databases"],
         "dbid",
     )
-    requests = tables["requests"].select(
+    requests = tables["requests"].selectExpr(
         *KEYS,
-        F.col("session_id").alias("spid"),
+        "session_id AS spid",
         "statement_start_offset",
         "statement_end_offset",
         "sql_handle",
     )
-    running = heads.join(requests, [*KEYS, "spid"], "left").join(
-        _texts(tables, "sql_handle"), [*KEYS, "sql_handle"], "left"
-    )
-    return running.select(
-        *KEYS,
-        "spid",
-        "status",
-        F.substring("loginame", 1, 12).alias("loginame"),
-        F.substring("hostname", 1, 12).alias("hostname"),
-        F.rpad(F.col("blocked").cast("string"), 3, " ").alias("blk"),
-        "open_tran",
-        F.substring("database_name", 1, 10).alias("dbname"),
-        "cmd",
-        "waittype",
-        "waittime",
-        "last_batch",
-        statement_slice(
-            F.col("text"), F.col("statement_start_offset"), F.col("statement_end_offset"), "legacy"
-        ).alias("sql_statement"),
+    statement = statement_slice("text", "statement_start_offset", "statement_end_offset", "legacy")
+    return (
+        heads.join(requests, [*KEYS, "spid"], "left")
+        .join(texts(tables, "sql_handle"), [*KEYS, "sql_handle"], "left")
+        .selectExpr(
+            *KEYS,
+            "spid",
+            "status",
+            "left(loginame, 12) AS loginame",
+            "left(hostname, 12) AS hostname",
+            "rpad(CAST(blocked AS STRING), 3, ' ') AS blk",
+            "open_tran",
+            "left(database_name, 10) AS dbname",
+            "cmd",
+            "waittype",
+            "waittime",
+            "last_batch",
+            f"{statement} AS sql_statement",
+        )
     )

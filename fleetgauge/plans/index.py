@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from fleetgauge.functions.arithmetic import int_div
-from fleetgauge.functions.text import last_name_part
+from fleetgauge.functions.text import last_name_part, literal, one_of
 from fleetgauge.operators.lookup import in_databases
 from fleetgauge.operators.ranking import ordering, top_k
 from fleetgauge.sources.schemas import KEYS, PARTITION
@@ -19,7 +19,8 @@ PRIMARY_KEY_PATTERN = "PK_%"
 ONLINE = "ONLINE"
 PAGE_KB = 8
 
-_INDEX = [*KEYS, "database_id", "object_id", "index_id"]
+_OBJECT = [*KEYS, "database_id", "object_id"]
+_INDEX = [*_OBJECT, "index_id"]
 
 
 def missing_indexes(tables: Mapping[str, DataFrame], k: int = 50) -> DataFrame:
@@ -27,51 +28,41 @@ def missing_indexes(tables: Mapping[str, DataFrame], k: int = 50) -> DataFrame:
 
     The CREATE INDEX text is data for a person to read; nothing runs it.
     """
-    seeks, cost, impact = F.col("user_seeks"), F.col("avg_total_user_cost"), F.col("avg_user_impact")
-    wanted = (
-        tables["mi_group_stats"]
-        .withColumnRenamed("group_handle", "index_group_handle")
-        .join(tables["mi_groups"].select(*KEYS, "index_group_handle", "index_handle"), [*KEYS, "index_group_handle"])
-        .withColumn("index_advantage", (seeks * cost * (impact * 0.01)).cast("decimal(18,2)"))
+    stats = tables["mi_group_stats"].selectExpr(
+        *KEYS,
+        "group_handle AS index_group_handle",
+        "CAST(user_seeks * avg_total_user_cost * (avg_user_impact * 0.01D) AS DECIMAL(18,2)) AS index_advantage",
+        "avg_user_impact AS user_impact",
+        "CAST(avg_total_user_cost AS DECIMAL(18,2)) AS avg_cost",
+        "user_seeks AS seeks",
+        "last_user_seek AS last_seek",
     )
+    groups = tables["mi_groups"].select(*KEYS, "index_group_handle", "index_handle")
     details = tables["mi_details"].select(
         *KEYS, "index_handle", "statement", "equality_columns", "inequality_columns", "included_columns"
     )
+    asked = stats.join(groups, [*KEYS, "index_group_handle"]).join(details, [*KEYS, "index_handle"])
     entity = ["index_group_handle", "index_handle"]
-    winners = top_k(wanted.join(details, [*KEYS, "index_handle"]), ["index_advantage"], entity, k)
-
-    def or_empty(column: str):
-        return F.coalesce(column, F.lit(""))
-
-    both = F.col("equality_columns").isNotNull() & F.col("inequality_columns").isNotNull()
-    create = F.concat(
-        F.lit("CREATE INDEX [missing_index_"),
-        F.col("index_group_handle").cast("string"),
-        F.lit("_"),
-        F.col("index_handle").cast("string"),
-        F.lit("_"),
-        F.left(last_name_part(F.col("statement")), F.lit(32)),
-        F.lit("] ON "),
-        F.col("statement"),
-        F.lit(" ("),
-        or_empty("equality_columns"),
-        F.when(both, F.lit(",")).otherwise(F.lit("")),
-        or_empty("inequality_columns"),
-        F.lit(")"),
-        F.coalesce(F.concat(F.lit(" INCLUDE ("), "included_columns", F.lit(")")), F.lit("")),
-    )
-    return winners.orderBy(*ordering([], KEYS), *ordering(["index_advantage"], entity)).select(
-        *KEYS,
-        "index_advantage",
-        impact.alias("user_impact"),
-        cost.cast("decimal(18,2)").alias("avg_cost"),
-        seeks.alias("seeks"),
-        F.col("statement").alias("table_name"),
-        or_empty("equality_columns").alias("equality_columns"),
-        or_empty("inequality_columns").alias("inequality_columns"),
-        or_empty("included_columns").alias("included_columns"),
-        F.col("last_user_seek").alias("last_seek"),
-        create.alias("create_index_statement"),
+    create = f"""concat('CREATE INDEX [missing_index_', index_group_handle, '_', index_handle, '_',
+        left({last_name_part('statement')}, 32), '] ON ', statement, ' (', coalesce(equality_columns, ''),
+        CASE WHEN equality_columns IS NOT NULL AND inequality_columns IS NOT NULL THEN ',' ELSE '' END,
+        coalesce(inequality_columns, ''), ')', coalesce(concat(' INCLUDE (', included_columns, ')'), ''))"""
+    return (
+        top_k(asked, ["index_advantage"], entity, k)
+        .orderBy(*KEYS, *ordering(["index_advantage"], entity))
+        .selectExpr(
+            *KEYS,
+            "index_advantage",
+            "user_impact",
+            "avg_cost",
+            "seeks",
+            "statement AS table_name",
+            "coalesce(equality_columns, '') AS equality_columns",
+            "coalesce(inequality_columns, '') AS inequality_columns",
+            "coalesce(included_columns, '') AS included_columns",
+            "last_seek",
+            f"{create} AS create_index_statement",
+        )
     )
 
 
@@ -88,42 +79,36 @@ def unused_indexes(
     same name in two schemas are one line when index and usage agree.  The DROP
     INDEX text is data for a person to read; nothing runs it.
     """
-    databases = tables["databases"].where(F.col("state_desc") == ONLINE)
+    databases = tables["databases"].where(f"state_desc = {literal(ONLINE)}")
     if allowed_databases is not None:
-        databases = databases.where(F.col("name").isin(*allowed_databases))
-    candidates = tables["indexes"].where(
-        F.col("name").isNotNull()
-        & ~F.col("name").like(PRIMARY_KEY_PATTERN)
-        & (F.col("type") == NONCLUSTERED)
-        & ~F.col("is_unique")
-    ).select(*_INDEX, F.col("name").alias("index_name"))
-    objects = tables["objects"].select(*KEYS, "database_id", "object_id", F.col("name").alias("table_view"))
-    usage = tables["index_usage"].select(
-        *_INDEX,
-        F.coalesce("user_seeks", F.lit(0)).alias("seeks"),
-        F.coalesce("user_scans", F.lit(0)).alias("scans"),
-        F.coalesce("user_lookups", F.lit(0)).alias("lookups"),
-        F.coalesce("user_updates", F.lit(0)).alias("updates"),
+        databases = databases.where(one_of("name", allowed_databases))
+    candidates = (
+        tables["indexes"]
+        .where(f"type = {NONCLUSTERED} AND NOT is_unique AND NOT name LIKE {literal(PRIMARY_KEY_PATTERN)}")
+        .selectExpr(*_INDEX, "name AS index_name")
     )
+    usage = tables["index_usage"].selectExpr(
+        *_INDEX, "user_seeks AS seeks", "user_scans AS scans", "user_lookups AS lookups", "user_updates AS updates"
+    )
+    objects = tables["objects"].selectExpr(*_OBJECT, "name AS table_view")
     # One row per index, whatever the number of its partitions.
     pages = tables["partition_stats"].groupBy(*_INDEX).agg(F.sum("used_page_count").alias("pages"))
 
-    touched = candidates.join(usage, _INDEX, "left" if include_never_touched else "inner").fillna(
-        0, ["seeks", "scans", "lookups", "updates"]
+    unused = (
+        candidates.join(usage, _INDEX, "left" if include_never_touched else "inner")
+        .fillna(0, ["seeks", "scans", "lookups", "updates"])
+        .where("seeks = 0 AND scans = 0 AND lookups = 0")
     )
-    unused = touched.where((F.col("seeks") == 0) & (F.col("scans") == 0) & (F.col("lookups") == 0))
     lines = (
-        in_databases(unused, databases, None)
-        .join(objects, [*KEYS, "database_id", "object_id"])
-        .join(pages, _INDEX, "left")
-        .groupBy(
-            *KEYS, "database_name", "table_view", "index_name", "seeks", "scans", "lookups", "updates"
-        )
-        .agg(F.coalesce(F.sum("pages") * PAGE_KB, F.lit(0)).alias("size_kb"))
+        in_databases(unused.join(pages, _INDEX, "left"), databases, None)
+        .join(objects, _OBJECT)
+        .groupBy(*KEYS, "database_name", "table_view", "index_name", "seeks", "scans", "lookups", "updates")
+        .agg(F.expr(f"coalesce(sum(pages) * {PAGE_KB}, 0) AS size_kb"))
     )
+    drop = "concat('DROP INDEX [', index_name, '] ON [', database_name, '].[dbo].[', table_view, '] WITH ( ONLINE = OFF )')"
     return lines.orderBy(
-        *KEYS, F.col("size_kb").desc(), "database_name", "table_view", "index_name", "updates"
-    ).select(
+        *KEYS, F.desc("size_kb"), "database_name", "table_view", "index_name", "updates"
+    ).selectExpr(
         *KEYS,
         "database_name",
         "table_view",
@@ -132,16 +117,8 @@ def unused_indexes(
         "scans",
         "lookups",
         "updates",
-        int_div(F.col("size_kb"), 1024).alias("index_size_mb"),
-        F.concat(
-            F.lit("DROP INDEX ["),
-            "index_name",
-            F.lit("] ON ["),
-            "database_name",
-            F.lit("].[dbo].["),
-            "table_view",
-            F.lit("] WITH ( ONLINE = OFF )"),
-        ).alias("drop_index_statement"),
+        f"{int_div('size_kb', 1024)} AS index_size_mb",
+        f"{drop} AS drop_index_statement",
     )
 
 
@@ -157,52 +134,45 @@ def index_profile(
     are joined per index, not per partition, so an index with n partitions
     gives n x n lines; ``match_partition`` pairs the partitions up.
     """
-    objects = tables["objects"].select(*KEYS, "database_id", "object_id", F.col("name").alias("table_name"))
+    objects = tables["objects"].selectExpr(*_OBJECT, "name AS table_name")
     if table is not None:
-        objects = objects.where(F.col("table_name") == table)
-    indexes = tables["indexes"].select(
+        objects = objects.where(f"table_name = {literal(table)}")
+    indexes = tables["indexes"].selectExpr(
         *_INDEX,
-        F.col("name").alias("index_name"),
+        "name AS index_name",
         "type_desc",
         "allow_row_locks",
         "allow_page_locks",
         "fill_factor",
         "is_padded",
     )
-    pages = tables["partition_stats"].select(
-        *_INDEX, "partition_number", "in_row_used_page_count", "in_row_reserved_page_count"
+    by_partition = [*_INDEX, "partition_number"]
+    page_key = by_partition if match_partition else _INDEX
+    # Single precision, like the counter this has always been quoted in.
+    pages = tables["partition_stats"].selectExpr(
+        *page_key,
+        "in_row_used_page_count AS used_pages",
+        "in_row_reserved_page_count AS reserved_pages",
+        "CAST(CAST(in_row_used_page_count AS FLOAT) * 8192 / 1024 / 1024 AS FLOAT) AS used_mb",
+        "CAST(CAST(in_row_reserved_page_count AS FLOAT) * 8192 / 1024 / 1024 AS FLOAT) AS reserved_mb",
     )
-    if match_partition:
-        with_pages = [*_INDEX, "partition_number"]
-    else:
-        with_pages = _INDEX
-        pages = pages.drop("partition_number")
-
-    seeks, scans, lookups = F.col("user_seeks"), F.col("user_scans"), F.col("user_lookups")
-    reads, updates = seeks + scans + lookups, F.col("user_updates")
-
-    def megabytes(pages_column: str):
-        # Single precision, like the counter this has always been quoted in.
-        return (F.col(pages_column).cast("float") * 8192 / 1024 / 1024).cast("float")
-
+    reads = "user_scans + user_seeks + user_lookups"
     return (
-        in_databases(tables["index_usage"], tables["databases"], database)
-        .join(objects, [*KEYS, "database_id", "object_id"])
+        in_databases(tables["index_usage"].drop(PARTITION), tables["databases"], database)
+        .join(objects, _OBJECT)
         .join(indexes, _INDEX)
         .join(tables["index_operational"].drop(PARTITION), _INDEX)
-        .join(tables["index_physical"].drop(PARTITION), [*_INDEX, "partition_number"])
-        .join(pages, with_pages)
+        .join(tables["index_physical"].drop(PARTITION), by_partition)
+        .join(pages, page_key)
         .orderBy(
             *KEYS,
-            seeks.desc(),
-            scans.desc(),
-            "database_id",
-            "object_id",
-            "index_id",
+            F.desc("user_seeks"),
+            F.desc("user_scans"),
+            *_INDEX[len(KEYS) :],
             "partition_number",
-            "in_row_used_page_count",
+            "used_pages",
         )
-        .select(
+        .selectExpr(
             *KEYS,
             "database_name",
             "table_name",
@@ -214,9 +184,9 @@ def index_profile(
             "user_scans",
             "last_user_scan",
             "user_lookups",
-            updates.alias("total_user_writes"),
-            reads.alias("total_user_reads"),
-            (updates - reads).alias("write_read_difference"),
+            "user_updates AS total_user_writes",
+            f"{reads} AS total_user_reads",
+            f"user_updates - ({reads}) AS write_read_difference",
             "allow_row_locks",
             "row_lock_count",
             "row_lock_wait_count",
@@ -229,10 +199,10 @@ def index_profile(
             "is_padded",
             "avg_fragmentation_in_percent",
             "avg_page_space_used_in_percent",
-            F.col("in_row_used_page_count").alias("used_pages"),
-            F.col("in_row_reserved_page_count").alias("reserved_pages"),
-            megabytes("in_row_used_page_count").alias("used_mb"),
-            megabytes("in_row_reserved_page_count").alias("reserved_mb"),
+            "used_pages",
+            "reserved_pages",
+            "used_mb",
+            "reserved_mb",
             "page_io_latch_wait_count",
             "page_io_latch_wait_in_ms",
         )

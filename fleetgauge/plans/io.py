@@ -7,12 +7,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from fleetgauge.functions.arithmetic import half_up_ratio, int_div, int_div_or_zero, percent_of
-from fleetgauge.functions.text import contains_all, statement_slice
+from fleetgauge.functions.text import statement_slice
 from fleetgauge.operators.lookup import in_databases, with_database_name, with_object_name
 from fleetgauge.operators.ranking import ordering, share_rank, top_k
+from fleetgauge.plans.cpu import STATEMENT_ID, per_execution, search_log, text_owners, texts
 from fleetgauge.sources.schemas import KEYS
 
-# Message of a stalled I/O request, and bytes per unit.
+# Message of a stalled I/O request, and sizes.
 SLOW_IO_TERM = "taking longer than 15 seconds"
 MB = 1024 * 1024
 GB = 1024 * MB
@@ -23,53 +24,46 @@ _FILE = [*KEYS, "database_id", "file_id"]
 
 def log_segment_count(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Virtual log files per database, 0 where there are none."""
-    counts = (
-        tables["log_segments"].groupBy(*KEYS, "database_name").agg(F.count(F.lit(1)).alias("segments"))
-    )
+    counts = tables["log_segments"].groupBy(*KEYS, "database_name").agg(F.expr("count(*) AS segments"))
     return (
         tables["databases"]
-        .select(*KEYS, F.col("name").alias("database_name"))
+        .selectExpr(*KEYS, "name AS database_name")
         .join(counts, [*KEYS, "database_name"], "left")
-        .select(*KEYS, "database_name", F.coalesce("segments", F.lit(0)).alias("segment_count"))
-        .orderBy(*KEYS, F.col("segment_count").desc(), "database_name")
+        .selectExpr(*KEYS, "database_name", "coalesce(segments, 0) AS segment_count")
+        .orderBy(*KEYS, F.desc("segment_count"), "database_name")
     )
 
 
 def drive_latency(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Latency and transfer size per drive and mount point."""
-    files = tables["files"].select(
-        *_FILE, F.left(F.upper("physical_name"), F.lit(2)).alias("drive")
-    )
+    files = tables["files"].selectExpr(*_FILE, "left(upper(physical_name), 2) AS drive")
     volumes = tables["volumes"].select(*_FILE, "volume_mount_point")
-    counters = (
-        "num_of_reads",
-        "io_stall_read_ms",
-        "num_of_writes",
-        "io_stall_write_ms",
-        "num_of_bytes_read",
-        "num_of_bytes_written",
-        "io_stall",
-    )
     drives = (
         tables["file_io"]
         .join(files, _FILE)
         .join(volumes, _FILE)
         .groupBy(*KEYS, "drive", "volume_mount_point")
-        .agg(*(F.sum(c).alias(c) for c in counters))
+        .agg(
+            F.sum("num_of_reads").alias("reads"),
+            F.sum("num_of_writes").alias("writes"),
+            F.sum("io_stall_read_ms").alias("read_stall"),
+            F.sum("io_stall_write_ms").alias("write_stall"),
+            F.sum("io_stall").alias("stall"),
+            F.sum("num_of_bytes_read").alias("read_bytes"),
+            F.sum("num_of_bytes_written").alias("write_bytes"),
+        )
     )
-    reads, writes = F.col("num_of_reads"), F.col("num_of_writes")
-    read_bytes, write_bytes = F.col("num_of_bytes_read"), F.col("num_of_bytes_written")
-    return drives.select(
+    return drives.selectExpr(
         *KEYS,
         "drive",
         "volume_mount_point",
-        int_div_or_zero(F.col("io_stall_read_ms"), reads).alias("read_latency"),
-        int_div_or_zero(F.col("io_stall_write_ms"), writes).alias("write_latency"),
-        int_div_or_zero(F.col("io_stall"), reads + writes).alias("overall_latency"),
-        int_div_or_zero(read_bytes, reads).alias("avg_bytes_per_read"),
-        int_div_or_zero(write_bytes, writes).alias("avg_bytes_per_write"),
-        int_div_or_zero(read_bytes + write_bytes, reads + writes).alias("avg_bytes_per_transfer"),
-    ).orderBy(*KEYS, F.col("overall_latency").desc(), "drive", "volume_mount_point")
+        f"{int_div_or_zero('read_stall', 'reads')} AS read_latency",
+        f"{int_div_or_zero('write_stall', 'writes')} AS write_latency",
+        f"{int_div_or_zero('stall', 'reads + writes')} AS overall_latency",
+        f"{int_div_or_zero('read_bytes', 'reads')} AS avg_bytes_per_read",
+        f"{int_div_or_zero('write_bytes', 'writes')} AS avg_bytes_per_write",
+        f"{int_div_or_zero('read_bytes + write_bytes', 'reads + writes')} AS avg_bytes_per_transfer",
+    ).orderBy(*KEYS, F.desc("overall_latency"), "drive", "volume_mount_point")
 
 
 def io_stalls_by_file(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -78,27 +72,30 @@ def io_stalls_by_file(tables: Mapping[str, DataFrame]) -> DataFrame:
     Denominators carry +1, so an idle file reads as 0 instead of failing.
     """
     files = tables["files"].select(*_FILE, "physical_name", "type_desc", "size")
-    reads, writes = F.col("num_of_reads"), F.col("num_of_writes")
-    read_stall, write_stall = F.col("io_stall_read_ms"), F.col("io_stall_write_ms")
-    named = with_database_name(tables["file_io"].join(files, _FILE), tables["databases"])
+    stalls = tables["file_io"].selectExpr(
+        "*",
+        "io_stall_read_ms + io_stall_write_ms AS io_stalls",
+        "num_of_reads + num_of_writes AS total_io",
+    )
     return (
-        named.withColumn("avg_io_stall_ms", half_up_ratio(read_stall + write_stall, reads + writes + 1, 10, 1))
-        .orderBy(*KEYS, F.col("avg_io_stall_ms").desc(), "database_id", "file_id")
-        .select(
+        with_database_name(stalls.join(files, _FILE), tables["databases"])
+        .selectExpr("*", f"{half_up_ratio('io_stalls', 'total_io + 1', 10, 1)} AS avg_io_stall_ms")
+        .orderBy(*KEYS, F.desc("avg_io_stall_ms"), "database_id", "file_id")
+        .selectExpr(
             *KEYS,
             "database_name",
-            half_up_ratio(read_stall, reads + 1, 10, 1).alias("avg_read_stall_ms"),
-            half_up_ratio(write_stall, writes + 1, 10, 1).alias("avg_write_stall_ms"),
+            f"{half_up_ratio('io_stall_read_ms', 'num_of_reads + 1', 10, 1)} AS avg_read_stall_ms",
+            f"{half_up_ratio('io_stall_write_ms', 'num_of_writes + 1', 10, 1)} AS avg_write_stall_ms",
             "avg_io_stall_ms",
-            half_up_ratio(F.col("size"), PAGES_PER_MB, 18, 2).alias("file_size_mb"),
+            f"{half_up_ratio('size', PAGES_PER_MB, 18, 2)} AS file_size_mb",
             "physical_name",
             "type_desc",
             "io_stall_read_ms",
             "num_of_reads",
             "io_stall_write_ms",
             "num_of_writes",
-            (read_stall + write_stall).alias("io_stalls"),
-            (reads + writes).alias("total_io"),
+            "io_stalls",
+            "total_io",
         )
     )
 
@@ -111,18 +108,18 @@ def io_by_database(tables: Mapping[str, DataFrame], strategy: str = "plain") ->
     by_database = (
         tables["file_io"]
         .groupBy(*KEYS, "database_id")
-        .agg(F.sum(F.col("num_of_bytes_read") + F.col("num_of_bytes_written")).alias("bytes"))
-        .select(*KEYS, "database_id", int_div(F.col("bytes"), MB).alias("io_mb"))
+        .agg(F.expr("sum(num_of_bytes_read + num_of_bytes_written) AS bytes"))
+        .selectExpr(*KEYS, "database_id", f"{int_div('bytes', MB)} AS io_mb")
     )
     ranked = share_rank(by_database, "io_mb", ["database_id"], strategy=strategy)
     return (
         with_database_name(ranked, tables["databases"])
-        .select(
+        .selectExpr(
             *KEYS,
-            F.col("row_rank").alias("io_rank"),
+            "row_rank AS io_rank",
             "database_name",
-            F.col("io_mb").cast("decimal(12,2)").alias("total_io_mb"),
-            F.col("share").alias("io_percent"),
+            "CAST(io_mb AS DECIMAL(12,2)) AS total_io_mb",
+            "share AS io_percent",
         )
         .orderBy(*KEYS, "io_rank")
     )
@@ -134,28 +131,24 @@ def io_warnings(
     term: str = SLOW_IO_TERM,
 ) -> DataFrame:
     """Slow-I/O messages of the most recent logs, newest first."""
-    return (
-        tables["error_log"]
-        .where(F.col("log_generation").isin(*generations) & contains_all(F.col("log_text"), [term]))
-        .select(*KEYS, "log_date", "process_info", "log_text")
-        .orderBy(*KEYS, F.col("log_date").desc(), "process_info", "log_text")
+    return search_log(tables, [term], generations).orderBy(
+        *KEYS, F.desc("log_date"), "process_info", "log_text"
     )
 
 
 def volume_space(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Size and free space of the volumes that hold database files."""
-    total, free = F.col("total_bytes"), F.col("available_bytes")
     return (
         tables["volumes"]
         .join(tables["files"].select(*_FILE), _FILE, "left_semi")
-        .select(
+        .selectExpr(
             *KEYS,
             "volume_mount_point",
             "file_system_type",
             "logical_volume_name",
-            half_up_ratio(total, GB, 18, 2).alias("total_gb"),
-            half_up_ratio(free, GB, 18, 2).alias("available_gb"),
-            percent_of(free, total, 18, 2).alias("free_percent"),
+            f"{half_up_ratio('total_bytes', GB, 18, 2)} AS total_gb",
+            f"{half_up_ratio('available_bytes', GB, 18, 2)} AS available_gb",
+            f"{percent_of('available_bytes', 'total_bytes', 18, 2)} AS free_percent",
         )
         .distinct()
         .orderBy(*KEYS, "volume_mount_point", "file_system_type", "logical_volume_name", "total_gb", "available_gb")
@@ -169,64 +162,54 @@ def top_statements_by_avg_io(
 
     Without a ``database`` every database gets its own top ``k``.
     """
-    entity = ["sql_handle", "plan_handle", "statement_start_offset", "statement_end_offset"]
-    known = tables["sql_text"].select(*KEYS, F.col("handle").alias("sql_handle"), "dbid", "objectid")
-    owned = in_databases(known, tables["databases"], database, "dbid")
-    stats = (
-        tables["query_stats"]
-        .join(owned, [*KEYS, "sql_handle"])
-        .withColumn(
-            "avg_io",
-            int_div(F.col("total_logical_reads") + F.col("total_logical_writes"), F.col("execution_count")),
-        )
+    owned = in_databases(text_owners(tables, "sql_handle"), tables["databases"], database, "dbid")
+    stats = tables["query_stats"].selectExpr(
+        "*", f"{per_execution('total_logical_reads + total_logical_writes')} AS avg_io"
     )
-    winners = with_object_name(
-        top_k(stats, ["avg_io"], entity, k, group=[*KEYS, "dbid"]), tables["objects"]
+    winners = top_k(
+        stats.join(owned, [*KEYS, "sql_handle"]), ["avg_io"], STATEMENT_ID, k, group=[*KEYS, "dbid"]
     )
-    texts = tables["sql_text"].select(*KEYS, F.col("handle").alias("sql_handle"), "text")
+    statement = statement_slice("text", "statement_start_offset", "statement_end_offset", "legacy")
     return (
-        winners.join(texts, [*KEYS, "sql_handle"])
-        .orderBy(*ordering([], [*KEYS, "dbid"]), *ordering(["avg_io"], entity))
-        .select(
+        with_object_name(winners, tables["objects"])
+        .join(texts(tables, "sql_handle"), [*KEYS, "sql_handle"])
+        .orderBy(*KEYS, "dbid", *ordering(["avg_io"], STATEMENT_ID))
+        .selectExpr(
             *KEYS,
             "database_name",
-            F.col("bare_name").alias("sp_name"),
+            "bare_name AS sp_name",
             "avg_io",
             "execution_count",
-            statement_slice(
-                F.col("text"), F.col("statement_start_offset"), F.col("statement_end_offset"), "legacy"
-            ).alias("query_text"),
+            f"{statement} AS query_text",
         )
     )
 
 
 def io_profile_by_file(tables: Mapping[str, DataFrame], database: str | None = None) -> DataFrame:
     """Read and write profile of the files of a database, or of every database."""
-    files = tables["db_files"].select(
-        *_FILE, F.col("name").alias("logical_name"), "type_desc", "physical_name"
-    )
-    reads, writes = F.col("num_of_reads"), F.col("num_of_writes")
-    read_stall, write_stall = F.col("io_stall_read_ms"), F.col("io_stall_write_ms")
-    read_bytes, write_bytes = F.col("num_of_bytes_read"), F.col("num_of_bytes_written")
-    return in_databases(tables["file_io"].join(files, _FILE), tables["databases"], database).select(
+    files = tables["db_files"].selectExpr(*_FILE, "name AS logical_name", "type_desc", "physical_name")
+    stall = "io_stall_read_ms + io_stall_write_ms"
+    requests = "num_of_reads + num_of_writes"
+    moved = "num_of_bytes_read + num_of_bytes_written"
+    return in_databases(tables["file_io"].join(files, _FILE), tables["databases"], database).selectExpr(
         *KEYS,
         "database_name",
         "logical_name",
         "file_id",
         "type_desc",
         "physical_name",
-        half_up_ratio(F.col("size_on_disk_bytes"), MB, 10, 2).alias("size_on_disk_mb"),
+        f"{half_up_ratio('size_on_disk_bytes', MB, 10, 2)} AS size_on_disk_mb",
         "num_of_reads",
         "num_of_writes",
         "io_stall_read_ms",
         "io_stall_write_ms",
-        percent_of(read_stall, read_stall + write_stall, 10, 1).alias("io_stall_reads_pct"),
-        percent_of(write_stall, read_stall + write_stall, 10, 1).alias("io_stall_writes_pct"),
-        (reads + writes).alias("total_io"),
-        half_up_ratio(read_bytes, MB, 10, 2).alias("mb_read"),
-        half_up_ratio(write_bytes, MB, 10, 2).alias("mb_written"),
-        percent_of(reads, reads + writes, 10, 1).alias("reads_pct"),
-        percent_of(writes, reads + writes, 10, 1).alias("writes_pct"),
-        percent_of(read_bytes, read_bytes + write_bytes, 10, 1).alias("read_bytes_pct"),
-        percent_of(write_bytes, read_bytes + write_bytes, 10, 1).alias("written_bytes_pct"),
+        f"{percent_of('io_stall_read_ms', stall, 10, 1)} AS io_stall_reads_pct",
+        f"{percent_of('io_stall_write_ms', stall, 10, 1)} AS io_stall_writes_pct",
+        f"{requests} AS total_io",
+        f"{half_up_ratio('num_of_bytes_read', MB, 10, 2)} AS mb_read",
+        f"{half_up_ratio('num_of_bytes_written', MB, 10, 2)} AS mb_written",
+        f"{percent_of('num_of_reads', requests, 10, 1)} AS reads_pct",
+        f"{percent_of('num_of_writes', requests, 10, 1)} AS writes_pct",
+        f"{percent_of('num_of_bytes_read', moved, 10, 1)} AS read_bytes_pct",
+        f"{percent_of('num_of_bytes_written', moved, 10, 1)} AS written_bytes_pct",
     )

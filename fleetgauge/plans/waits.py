@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from fleetgauge.functions.arithmetic import half_up_ratio, percent_of
-from fleetgauge.operators.ranking import ordering, pareto_prefix
+from fleetgauge.functions.text import literal, one_of
+from fleetgauge.operators.ranking import pareto_prefix
 from fleetgauge.sources.schemas import KEYS
 
 # Wait types that mean "nothing to do" and are left out, by
@@ -59,22 +60,21 @@ def latch_pareto(
     """Latch classes that make up most of the latch wait time."""
     latches = (
         tables["latch_stats"]
-        .where((F.col("wait_time_ms") > 0) & ~F.col("latch_class").isin(*ignore))
+        .where(f"wait_time_ms > 0 AND NOT {one_of('latch_class', ignore)}")
         .select(*KEYS, "latch_class", "waiting_requests_count", "wait_time_ms")
     )
-    wait, count = F.col("wait_time_ms"), F.col("waiting_requests_count")
     return (
         pareto_prefix(latches, "wait_time_ms", ["latch_class"], threshold, strategy=strategy)
-        .select(
+        .selectExpr(
             *KEYS,
             "row_rank",
             "latch_class",
-            half_up_ratio(wait, 1000, 14, 2).alias("wait_s"),
-            count.alias("wait_count"),
-            percent_of(wait, F.col("group_sum"), 14, 2).alias("percentage"),
-            half_up_ratio(wait, count * 1000, 14, 4).alias("avg_wait_s"),
+            f"{half_up_ratio('wait_time_ms', 1000, 14, 2)} AS wait_s",
+            "waiting_requests_count AS wait_count",
+            f"{percent_of('wait_time_ms', 'group_sum', 14, 2)} AS percentage",
+            f"{half_up_ratio('wait_time_ms', 'waiting_requests_count * 1000', 14, 4)} AS avg_wait_s",
         )
-        .orderBy(*ordering([], [*KEYS, "row_rank"]))
+        .orderBy(*KEYS, "row_rank")
     )
 
 
@@ -88,26 +88,25 @@ def wait_pareto(
     ignore = benign_waits() if ignore is None else ignore
     waits = (
         tables["wait_stats"]
-        .where((F.col("waiting_tasks_count") > 0) & ~F.col("wait_type").isin(*ignore))
+        .where(f"waiting_tasks_count > 0 AND NOT {one_of('wait_type', ignore)}")
         .select(*KEYS, "wait_type", "waiting_tasks_count", "wait_time_ms", "signal_wait_time_ms")
     )
-    wait, signal = F.col("wait_time_ms"), F.col("signal_wait_time_ms")
-    resource, count = wait - signal, F.col("waiting_tasks_count")
+    resource, per_task = "wait_time_ms - signal_wait_time_ms", "waiting_tasks_count * 1000"
     return (
         pareto_prefix(waits, "wait_time_ms", ["wait_type"], threshold, strategy=strategy)
-        .select(
+        .selectExpr(
             *KEYS,
             "row_rank",
             "wait_type",
-            half_up_ratio(wait, 1000, 16, 2).alias("wait_s"),
-            half_up_ratio(resource, 1000, 16, 2).alias("resource_s"),
-            half_up_ratio(signal, 1000, 16, 2).alias("signal_s"),
-            count.alias("wait_count"),
-            percent_of(wait, F.col("group_sum"), 5, 2).alias("percentage"),
-            half_up_ratio(wait, count * 1000, 16, 4).alias("avg_wait_s"),
-            half_up_ratio(resource, count * 1000, 16, 4).alias("avg_resource_s"),
-            half_up_ratio(signal, count * 1000, 16, 4).alias("avg_signal_s"),
-            F.concat(F.lit(HELP_URL), F.col("wait_type")).alias("help_url"),
+            f"{half_up_ratio('wait_time_ms', 1000, 16, 2)} AS wait_s",
+            f"{half_up_ratio(resource, 1000, 16, 2)} AS resource_s",
+            f"{half_up_ratio('signal_wait_time_ms', 1000, 16, 2)} AS signal_s",
+            "waiting_tasks_count AS wait_count",
+            f"{percent_of('wait_time_ms', 'group_sum', 5, 2)} AS percentage",
+            f"{half_up_ratio('wait_time_ms', per_task, 16, 4)} AS avg_wait_s",
+            f"{half_up_ratio(resource, per_task, 16, 4)} AS avg_resource_s",
+            f"{half_up_ratio('signal_wait_time_ms', per_task, 16, 4)} AS avg_signal_s",
+            f"concat({literal(HELP_URL)}, wait_type) AS help_url",
         )
-        .orderBy(*ordering([], [*KEYS, "row_rank"]))
+        .orderBy(*KEYS, "row_rank")
     )

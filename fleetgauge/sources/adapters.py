@@ -5,9 +5,9 @@ to a deterministic projection of the test tables.  The SQL below is plain
 enough for both Spark and the checking database; ``{name}`` stands for a test
 table.  Keys, hot values and NULLs follow the data, so the work grows with it.
 
-Servers are the five regions, databases the 25 nations (nation n lives on
-server n % 5).  Parts, customers and suppliers belong to the server of their
-nation.  Money and quantities become integer counters.
+Servers are the five regions, databases the 25 nations; nation n lives on
+server n % 5.  Parts, customers and suppliers are dealt out to the nations by
+key.  Money and quantities become integer counters.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetgauge.sources.schemas import TABLES
 from fleetgauge.sources.snapshots import conform
 
 COLLECTED_AT = "CAST('2024-02-01 00:00:00' AS TIMESTAMP)"
@@ -40,10 +39,12 @@ def _sum(expression: str) -> str:
 _K = "CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT)"
 _QUANTITY = "CAST(l_quantity AS BIGINT)"
 _EVENTS = f"(SELECT *, {_K} AS k, {_cents('value')} AS cents FROM {{events}}) AS e"
-_SUPPLIED = "{lineitem} JOIN {supplier} ON s_suppkey = l_suppkey"
-_FILE = "s_nationkey AS database_id, l_suppkey * 8 + l_linenumber AS file_id"
-_FILE_GROUP = "GROUP BY s_nationkey, l_suppkey, l_linenumber"
-_DRIVE_FILE = "chr(CAST(97 + s_nationkey % 3 AS INT)) || ':/data/f' || CAST(l_suppkey AS STRING) || '_' || CAST(l_linenumber AS STRING) || '.dat'"
+_SUPPLIER_FILE = "s_suppkey % 25 AS database_id, s_suppkey AS file_id"
+_FILE_TYPE = "CASE WHEN s_suppkey % 4 = 0 THEN 'LOG' ELSE 'ROWS' END AS type_desc"
+_FILE_NAME = "chr(CAST(97 + s_suppkey % 3 AS INT)) || ':/data/f' || CAST(s_suppkey AS STRING) || '.dat' AS physical_name"
+_INDEX = "p_partkey % 25 AS database_id, p_partkey AS object_id, p_partkey % 4 AS index_id"
+_LINE_INDEX = "l_partkey % 25 AS database_id, l_partkey AS object_id, l_partkey % 4 AS index_id"
+
 # The same text under its statement handle (S) and its plan handle (P).
 _TEXTS = f"""
         SELECT {_server('p_partkey % 5')}, 'KIND' || CAST(p_partkey AS STRING) AS handle,
@@ -65,12 +66,12 @@ SQL = {
                  CASE user_id % 10 WHEN 0 THEN 'LAZYWRITER_SLEEP' WHEN 3 THEN 'XE_TIMER_EVENT' WHEN 7 THEN 'WAITFOR'
                       ELSE 'W' || CAST(user_id AS STRING) END""",
     "latch_stats": f"""
-        SELECT {_server('s_nationkey % 5')},
+        SELECT {_server('l_suppkey % 5')},
                CASE WHEN l_suppkey % 20 = 0 THEN 'BUFFER' ELSE 'L' || CAST(l_suppkey AS STRING) END AS latch_class,
                COUNT(*) AS waiting_requests_count,
                {_sum(_QUANTITY)} AS wait_time_ms
-        FROM {_SUPPLIED}
-        GROUP BY s_nationkey % 5,
+        FROM {{lineitem}}
+        GROUP BY l_suppkey % 5,
                  CASE WHEN l_suppkey % 20 = 0 THEN 'BUFFER' ELSE 'L' || CAST(l_suppkey AS STRING) END""",
     "activity": f"""
         SELECT {_server('user_id % 5')},
@@ -153,18 +154,17 @@ SQL = {
                '<ShowPlan name="' || p_type || '"/>' AS query_plan
         FROM {{part}}""",
     "procedures": f"""
-        SELECT {_server('c_nationkey % 5')}, c_nationkey AS database_id, c_custkey AS object_id, c_name AS name
+        SELECT {_server('c_custkey % 5')}, c_custkey % 25 AS database_id, c_custkey AS object_id, c_name AS name
         FROM {{customer}}""",
     "proc_stats": f"""
-        SELECT {_server('c_nationkey % 5')}, c_nationkey AS database_id, c_custkey AS object_id,
+        SELECT {_server('o_custkey % 5')}, o_custkey % 25 AS database_id, o_custkey AS object_id,
                MAX(o_orderdate) AS cached_time, COUNT(*) * 1000000 AS execution_count,
                {_sum(_cents('o_totalprice'))} AS total_worker_time,
                {_sum('o_orderkey % 1000')} AS total_elapsed_time,
                {_sum('o_orderkey % 97 + 1')} AS total_logical_reads,
                {_sum("CASE WHEN o_orderstatus = 'F' THEN o_orderkey % 13 ELSE 0 END")} AS total_logical_writes,
                {_sum("CASE WHEN o_orderstatus = 'P' THEN o_orderkey % 7 ELSE 0 END")} AS total_physical_reads
-        FROM {{orders}} JOIN {{customer}} ON c_custkey = o_custkey
-        GROUP BY c_nationkey, c_custkey""",
+        FROM {{orders}} GROUP BY o_custkey""",
     "requests": f"""
         SELECT {_server('event_id % 5')}, event_id AS session_id, event_id % 5 + 5 * (k % 6) AS database_id,
                CASE WHEN event_type = 'error' THEN 'suspended' ELSE 'running' END AS status, event_type AS command,
@@ -189,13 +189,13 @@ SQL = {
                CASE WHEN event_type = 'error' THEN 'LCK_M_X' END AS waittype, k * 10 AS waittime, ts AS last_batch
         FROM {_EVENTS}""",
     "log_segments": f"""
-        SELECT {_server('s_nationkey % 5')},
-               'NATION_' || CAST(CASE WHEN s_nationkey = 3 THEN 8 ELSE s_nationkey END AS STRING) AS database_name,
+        SELECT {_server('l_suppkey % 5')},
+               'NATION_' || CAST(CASE WHEN l_suppkey % 25 = 3 THEN 8 ELSE l_suppkey % 25 END AS STRING) AS database_name,
                0 AS recovery_unit_id, l_linenumber AS file_id, {_cents('l_extendedprice')} AS file_size,
                l_orderkey AS start_offset, l_orderkey AS fseq_no, 2 AS status, 64 AS parity, l_partkey AS create_lsn
-        FROM {_SUPPLIED}""",
+        FROM {{lineitem}}""",
     "file_io": f"""
-        SELECT {_server('s_nationkey % 5')}, {_FILE},
+        SELECT {_server('l_suppkey % 5')}, l_suppkey % 25 AS database_id, l_suppkey AS file_id,
                {_sum("CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END")} AS num_of_reads,
                {_sum("CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END")} AS num_of_writes,
                {_sum(f"CASE WHEN l_returnflag = 'R' THEN {_cents('l_extendedprice')} ELSE 0 END")} AS num_of_bytes_read,
@@ -204,23 +204,21 @@ SQL = {
                {_sum(f"CASE WHEN l_returnflag = 'N' THEN {_QUANTITY} ELSE 0 END")} AS io_stall_write_ms,
                {_sum(_QUANTITY)} AS io_stall,
                {_sum(_cents('l_extendedprice'))} AS size_on_disk_bytes
-        FROM {_SUPPLIED} {_FILE_GROUP}""",
+        FROM {{lineitem}} GROUP BY l_suppkey""",
     "files": f"""
-        SELECT {_server('s_nationkey % 5')}, {_FILE}, {_DRIVE_FILE} AS physical_name,
-               CASE WHEN l_linenumber = 7 THEN 'LOG' ELSE 'ROWS' END AS type_desc, {_sum(_QUANTITY)} AS size
-        FROM {_SUPPLIED} {_FILE_GROUP}""",
+        SELECT {_server('s_suppkey % 5')}, {_SUPPLIER_FILE}, {_FILE_NAME}, {_FILE_TYPE},
+               {_cents('s_acctbal + 3000')} AS size
+        FROM {{supplier}}""",
     "db_files": f"""
-        SELECT {_server('s_nationkey % 5')}, {_FILE}, 'f' || CAST(l_suppkey AS STRING) AS name,
-               CASE WHEN l_linenumber = 7 THEN 'LOG' ELSE 'ROWS' END AS type_desc, {_DRIVE_FILE} AS physical_name
-        FROM {_SUPPLIED} {_FILE_GROUP}""",
+        SELECT {_server('s_suppkey % 5')}, {_SUPPLIER_FILE}, s_name AS name, {_FILE_TYPE}, {_FILE_NAME}
+        FROM {{supplier}}""",
     "volumes": f"""
-        SELECT {_server('s_nationkey % 5')}, {_FILE},
-               'M' || CAST(l_suppkey % 7 AS STRING) || ':/' AS volume_mount_point,
+        SELECT {_server('s_suppkey % 5')}, {_SUPPLIER_FILE},
+               'M' || CAST(s_suppkey % 7 AS STRING) || ':/' AS volume_mount_point,
                CASE WHEN s_nationkey % 2 = 0 THEN 'NTFS' ELSE 'ReFS' END AS file_system_type,
-               'vol' || CAST(l_suppkey AS STRING) AS logical_volume_name,
-               MAX({_cents('s_acctbal + 3000')}) * 1234567 AS total_bytes,
-               MAX({_cents('s_acctbal + 1000')}) * 1234567 AS available_bytes
-        FROM {_SUPPLIED} {_FILE_GROUP}""",
+               'vol' || CAST(s_nationkey AS STRING) AS logical_volume_name,
+               (s_suppkey % 3 + 3) * 123456789012 AS total_bytes, (s_suppkey % 3 + 1) * 98765432109 AS available_bytes
+        FROM {{supplier}}""",
     "databases": f"""
         SELECT {_server('n_regionkey')}, n_nationkey AS database_id, n_name AS name,
                CASE WHEN n_nationkey % 7 = 0 THEN 'OFFLINE' ELSE 'ONLINE' END AS state_desc
@@ -231,8 +229,7 @@ SQL = {
                p_name || ' ' || CAST(p_size AS STRING) AS name
         FROM {{part}}""",
     "indexes": f"""
-        SELECT {_server('p_partkey % 5')}, p_partkey % 25 AS database_id, p_partkey AS object_id,
-               p_size % 5 AS index_id,
+        SELECT {_server('p_partkey % 5')}, {_INDEX},
                CASE p_size % 4 WHEN 0 THEN 'PK_' || p_name WHEN 1 THEN NULL ELSE 'IX_' || p_brand END AS name,
                CASE WHEN p_size % 9 = 0 THEN 1 ELSE 2 END AS type,
                CASE WHEN p_size % 9 = 0 THEN 'CLUSTERED' ELSE 'NONCLUSTERED' END AS type_desc,
@@ -240,41 +237,37 @@ SQL = {
                p_size AS fill_factor, p_size > 25 AS is_padded
         FROM {{part}}""",
     "index_usage": f"""
-        SELECT {_server('p_partkey % 5')}, p_partkey % 25 AS database_id, p_partkey AS object_id,
-               p_size % 5 AS index_id,
+        SELECT {_server('l_partkey % 5')}, {_LINE_INDEX},
                {_sum("CASE WHEN l_returnflag = 'R' AND l_quantity = 50 THEN 1 ELSE 0 END")} AS user_seeks,
                {_sum("CASE WHEN l_returnflag = 'R' AND l_quantity = 49 THEN 1 ELSE 0 END")} AS user_scans,
                {_sum("CASE WHEN l_returnflag = 'R' AND l_quantity = 48 THEN 1 ELSE 0 END")} AS user_lookups,
                COUNT(*) AS user_updates,
                MAX(CASE WHEN l_returnflag = 'R' AND l_quantity = 50 THEN l_shipdate END) AS last_user_seek,
                MAX(CASE WHEN l_returnflag = 'R' AND l_quantity = 49 THEN l_shipdate END) AS last_user_scan
-        FROM {{lineitem}} JOIN {{part}} ON p_partkey = l_partkey
-        GROUP BY p_partkey, p_size""",
-    "partition_stats": f"""
-        SELECT {_server('p_partkey % 5')}, p_partkey % 25 AS database_id, p_partkey AS object_id,
-               p_size % 5 AS index_id, l_linenumber % 2 + 1 AS partition_number,
-               {_sum(_QUANTITY + ' * 40')} AS used_page_count,
-               {_sum(_QUANTITY + ' * 3')} AS in_row_used_page_count,
-               {_sum(_QUANTITY + ' * 4')} AS in_row_reserved_page_count
-        FROM {{lineitem}} JOIN {{part}} ON p_partkey = l_partkey
-        GROUP BY p_partkey, p_size, l_linenumber % 2""",
+        FROM {{lineitem}} GROUP BY l_partkey""",
+    "partition_stats": " UNION ALL ".join(
+        f"""
+        SELECT {_server('p_partkey % 5')}, {_INDEX}, {n} AS partition_number, p_size * {400 * n} AS used_page_count,
+               p_size * {30 * n} + 1 AS in_row_used_page_count, p_size * {40 * n} + 1 AS in_row_reserved_page_count
+        FROM {{part}}"""
+        for n in (1, 2)
+    ),
     "index_operational": f"""
-        SELECT {_server('p_partkey % 5')}, p_partkey % 25 AS database_id, p_partkey AS object_id,
-               p_size % 5 AS index_id, l_linenumber % 2 + 1 AS partition_number,
+        SELECT {_server('l_partkey % 5')}, {_LINE_INDEX}, l_linenumber % 2 + 1 AS partition_number,
                COUNT(*) AS row_lock_count, {_sum('l_linenumber')} AS row_lock_wait_count,
                {_sum(_QUANTITY)} AS row_lock_wait_in_ms, MIN({_QUANTITY}) AS page_lock_count,
                MAX({_QUANTITY}) AS page_lock_wait_count, {_sum(_QUANTITY + ' * 2')} AS page_lock_wait_in_ms,
                {_sum(_cents('l_discount'))} AS page_io_latch_wait_count,
                {_sum(_cents('l_tax'))} AS page_io_latch_wait_in_ms
-        FROM {{lineitem}} JOIN {{part}} ON p_partkey = l_partkey
-        GROUP BY p_partkey, p_size, l_linenumber % 2""",
-    "index_physical": f"""
-        SELECT {_server('p_partkey % 5')}, p_partkey % 25 AS database_id, p_partkey AS object_id,
-               p_size % 5 AS index_id, l_linenumber % 2 + 1 AS partition_number,
-               CAST(COUNT(*) AS DOUBLE) * 1.5 AS avg_fragmentation_in_percent,
-               CAST({_sum('l_linenumber')} AS DOUBLE) * 0.25 AS avg_page_space_used_in_percent
-        FROM {{lineitem}} JOIN {{part}} ON p_partkey = l_partkey
-        GROUP BY p_partkey, p_size, l_linenumber % 2""",
+        FROM {{lineitem}} GROUP BY l_partkey, l_linenumber % 2""",
+    "index_physical": " UNION ALL ".join(
+        f"""
+        SELECT {_server('p_partkey % 5')}, {_INDEX}, {n} AS partition_number,
+               CAST(p_size AS DOUBLE) * {n} / 2 AS avg_fragmentation_in_percent,
+               CAST(p_size AS DOUBLE) * {n} / 4 AS avg_page_space_used_in_percent
+        FROM {{part}}"""
+        for n in (1, 2)
+    ),
     "mi_group_stats": f"""
         SELECT {_server('p_partkey % 5')}, p_partkey AS group_handle, p_size * 3 AS user_seeks,
                CAST(ROUND(p_retailprice) AS DOUBLE) AS avg_total_user_cost,
@@ -306,25 +299,48 @@ ERROR_LOG_CHECK = f"""
         FROM {{documents}}"""
 
 
-def _read(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    names = sorted(set(re.findall(r"\{(\w+)\}", sql)))
-    frames = {n: spark.read.parquet(os.path.join(sf_dir, f"{n}.parquet")) for n in names}
-    return spark.sql(sql, **frames)
+# Columns of the test tables that are read, so that no job has to look them up.
+_TEST_TABLES = {
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "part": (
+        "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE"
+    ),
+    "orders": (
+        "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ"
+    ),
+    "lineitem": (
+        "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+        "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_shipdate TIMESTAMP_NTZ"
+    ),
+    "events": (
+        "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
+    ),
+    "documents": "doc_id BIGINT, text STRING, source STRING",
+}
 
 
 def telemetry(spark: SparkSession, sf_dir: str, tables: Iterable[str]) -> dict[str, DataFrame]:
     """Telemetry tables over the test tables in ``sf_dir``, in declared types."""
+    sources = {}
+    for name, columns in _TEST_TABLES.items():
+        if any(f"{{{name}}}" in _spark_sql(table) for table in tables):
+            sources[name] = spark.read.schema(columns).parquet(os.path.join(sf_dir, f"{name}.parquet"))
     out = {}
     for table in tables:
-        if table not in TABLES:
-            raise KeyError(table)
-        df = _read(spark, sf_dir, ERROR_LOG_SPARK if table == "error_log" else SQL[table])
+        sql = _spark_sql(table)
+        df = spark.sql(sql, **{name: df for name, df in sources.items() if f"{{{name}}}" in sql})
         if table == "activity":
             df = df.withColumnRenamed("duration", "dd hh:mm:ss.mss")
         out[table] = conform(df, table)
     return out
 
 
+def _spark_sql(table: str) -> str:
+    return ERROR_LOG_SPARK if table == "error_log" else SQL[table]
+
+
 def check_sql(table: str) -> str:
     """The same table as SQL text for the checking database."""
     sql = ERROR_LOG_CHECK if table == "error_log" else SQL[table]

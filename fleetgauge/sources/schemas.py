@@ -1,7 +1,9 @@
 """Schemas of the captured telemetry tables.
 
 Every table is a set of snapshots: ``server_name`` and ``collected_at`` say
-which server was read and when, ``collected_date`` is the partition column.
+which server was read and when.  ``collected_date`` is the partition column:
+the date of ``collected_at``, or of the poll (``collection_time``) in the
+activity history, which one snapshot carries whole.
 Times are TIMESTAMP_NTZ: servers report local wall-clock values without zone.
 """
 
@@ -118,6 +120,11 @@ _COLUMNS = {
 TABLES = tuple(_COLUMNS)
 
 
+def partition_time(table: str) -> str:
+    """Column whose date the table is partitioned by."""
+    return "collection_time" if table == "activity" else "collected_at"
+
+
 def ddl(table: str) -> str:
     """Column list of a table as DDL text."""
     return f"{_FLEET}, {_COLUMNS[table]}"

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetgauge.sources.schemas import PARTITION, schema
+from fleetgauge.sources.schemas import PARTITION, partition_time, schema
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
@@ -15,10 +15,12 @@ def conform(df: DataFrame, table: str) -> DataFrame:
 
     ``collected_date`` is derived when the frame does not carry it.
     """
-    if PARTITION not in df.columns:
-        df = df.withColumn(PARTITION, F.to_date("collected_at"))
-    return df.select(
-        *(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema(table).fields)
+    derived = {PARTITION: partition_time(table)} if PARTITION not in df.columns else {}
+    return df.selectExpr(
+        *(
+            f"CAST(`{derived.get(f.name, f.name)}` AS {f.dataType.simpleString()}) AS `{f.name}`"
+            for f in schema(table).fields
+        )
     )
 
 
@@ -33,7 +35,7 @@ def read_table(
     """Snapshots of one table, both dates inclusive.
 
     The dates filter the partition column, so files outside them are never
-    listed; the server filter is pushed to the Parquet scan.
+    opened; the server filter is pushed to the Parquet scan.
     """
     df = spark.read.schema(schema(table)).parquet(f"{root}/{table}")
     if first_date is not None:
