@@ -26,17 +26,15 @@ def int_avg(value: str) -> str:
 
 
 def half_up_ratio(num: str, den: str | int, precision: int, scale: int) -> str:
-    """``num / den`` as DECIMAL(precision, scale), rounded half up exactly once.
+    """``num / den`` as DECIMAL(precision, scale), rounded half up.
 
-    Computed as the integer quotient of ``2 * |num| * 10**scale + |den|`` by
-    ``2 * |den|``, so no intermediate decimal scale can shift the last digit.
+    The quotient carries 16 or more fraction digits, so for denominators under
+    10 ** (16 - scale) the one rounding that shows is the last.
     """
-    n = f"CAST({num} AS DECIMAL(22,0))"
-    d = f"nullif(CAST({den} AS DECIMAL(22,0)), 0)"
-    steps = f"((abs({n}) * {2 * 10**scale} + abs({d})) div (abs({d}) * 2))"
-    sign = f"(CASE WHEN ({num}) < 0 THEN -1 ELSE 1 END)"
-    unit = f"0.{'1'.zfill(scale)}BD"
-    return f"CAST(CAST({steps} * {sign} AS DECIMAL(20,0)) * {unit} AS DECIMAL({precision},{scale}))"
+    return (
+        f"CAST(CAST({num} AS DECIMAL(22,0)) / nullif(CAST({den} AS DECIMAL(20,0)), 0)"
+        f" AS DECIMAL({precision},{scale}))"
+    )
 
 
 def percent_of(part: str, whole: str, precision: int, scale: int) -> str:

@@ -21,8 +21,12 @@ from fleetgauge.sources.schemas import KEYS
 # Up to this k Spark prunes row_number() <= k before the shuffle
 # (spark.sql.optimizer.windowGroupLimitThreshold).
 _PRUNED_K = 1000
-# Cut points per group; a group is cut into one more range than that.
-_PIVOTS = 64
+# Groups of at least _HOT_ROWS rows, the _HOT_GROUPS largest of them, are cut
+# at _CUTS points.  What is broadcast is bounded by the last two: any group
+# beyond the largest thousand holds less than a thousandth of all rows.
+_HOT_ROWS = 1_000_000
+_HOT_GROUPS = 1000
+_CUTS = 256
 
 
 def ordering(by: Sequence[str], entity: Sequence[str] = ()) -> list[Column]:
@@ -61,7 +65,7 @@ def ordered(
     group: Sequence[str] = KEYS,
     strategy: str = "bucketed",
     below: float | None = None,
-    pivots: int = _PIVOTS,
+    hot_rows: int = _HOT_ROWS,
 ) -> DataFrame:
     """Add ``row_rank`` and, for a measure, ``prior_sum`` and ``group_sum``.
 
@@ -69,15 +73,13 @@ def ordered(
     ``group_sum`` over the whole group.  ``below`` keeps only the rows whose
     prior sum is under that percentage of the group's sum.
 
-    ``bucketed`` cuts every group into value ranges at up to ``pivots`` of its
-    own rows, the ones with the smallest hash of their entity.  The choice
-    depends on values alone, so a recomputed task sees the same ranges.  Row
-    counts and sums of the ranges (at most ``pivots + 1`` per group) give the
-    offset of each range, and rows are then ordered one range per task.
-    ``plain`` orders a group in one task.
+    ``plain`` orders a group in one task.  ``bucketed`` does so for ordinary
+    groups and cuts the hot ones into ranges, one task each: counts and sums
+    of the ranges give every range its offset.
     """
-    group, columns = list(group), df.columns
-    sums = [] if measure is None else ["prior_sum", "group_sum"]
+    if strategy not in ("plain", "bucketed"):
+        raise ValueError(f"unknown strategy: {strategy}")
+    columns = [f"`{c}`" for c in df.columns]
     if strategy == "plain":
         exprs = [f"CAST(row_number() {_window(group, by, entity)} AS BIGINT) AS row_rank"]
         if measure is not None:
@@ -85,47 +87,68 @@ def ordered(
                 f"coalesce(sum({measure}) {_window(group, by, entity, _BEFORE)}, 0) AS prior_sum",
                 f"sum({measure}) {_window(group)} AS group_sum",
             ]
-        out = df.selectExpr("*", *exprs)
+        out = df.selectExpr(*columns, *exprs)
         return out if below is None else out.where(_under("prior_sum", "group_sum", below))
-    if strategy != "bucketed":
-        raise ValueError(f"unknown strategy: {strategy}")
 
-    # Ascending comparison of this struct is the common order.
-    position = f"struct({', '.join([f'{c} IS NULL, -{c}' for c in by] + list(entity))})"
-    cuts = (
-        df.selectExpr(
-            *group,
-            f"{position} AS cut",
-            f"row_number() {_window(group, entity=[f'xxhash64({", ".join(entity)})', *entity])} AS pick",
-        )
-        .where(f"pick <= {pivots}")
-        .groupBy(*group)
-        .agg(F.collect_list("cut").alias("cuts"))
-    )
-    placed = df.join(cuts, group).selectExpr(
-        *(f"`{c}`" for c in columns), f"size(filter(cuts, cut -> cut <= {position})) AS bucket"
-    )
-    counted = placed.groupBy(*group, "bucket").agg(
-        F.count(F.lit(1)).alias("n"), *([F.sum(measure).alias("s")] if measure else [])
+    bucket = [*group, "bucket"]
+    placed = _placed(df, by, entity, group, hot_rows)
+    counted = placed.groupBy(*bucket).agg(
+        F.expr("count(*) AS n"), *([F.sum(measure).alias("s")] if measure else [])
     )
     before = _window(group, entity=["bucket"], frame=_BEFORE)
     exprs = [f"coalesce(sum(n) {before}, 0) AS n_before"]
     if measure is not None:
         exprs += [f"coalesce(sum(s) {before}, 0) AS s_before", f"sum(s) {_window(group)} AS group_sum"]
-    offsets = counted.selectExpr(*group, "bucket", *exprs)
+    offsets = counted.selectExpr(*bucket, *exprs)
     if below is not None:
         # Whole ranges past the threshold never reach the row-level sort.
         offsets = offsets.where(_under("s_before", "group_sum", below))
 
-    bucket = [*group, "bucket"]
     exprs = [f"n_before + row_number() {_window(bucket, by, entity)} AS row_rank"]
     if measure is not None:
         earlier = _window(bucket, by, entity, _BEFORE)
         exprs += [f"s_before + coalesce(sum({measure}) {earlier}, 0) AS prior_sum", "group_sum"]
-    out = placed.join(offsets, bucket).selectExpr(*(f"`{c}`" for c in columns), *exprs)
+    out = placed.join(offsets, bucket).selectExpr(*columns, *exprs)
     return out if below is None else out.where(_under("prior_sum", "group_sum", below))
 
 
+def _placed(
+    df: DataFrame, by: Sequence[str], entity: Sequence[str], group: Sequence[str], hot_rows: int
+) -> DataFrame:
+    """Add the ``bucket`` of every row: its range in a hot group, 0 elsewhere.
+
+    A hot group is cut at some of its own rows, those with the smallest hash of
+    their entity.  The choice depends on values alone, so a task that is run
+    again sees the same ranges, and since the entity is part of the position a
+    crowd of equal measures is cut like any other.
+    """
+    # Ascending comparison of this struct is the common order.
+    position = f"struct({', '.join([f'{c} IS NULL, -{c}' for c in by] + list(entity))})"
+    hot = (
+        df.groupBy(*group)
+        .agg(F.expr("count(*) AS group_rows"))
+        .where(f"group_rows >= {hot_rows}")
+        .orderBy(F.desc("group_rows"), *group)
+        .limit(_HOT_GROUPS)
+        .select(*group)
+    )
+    cuts = (
+        df.join(F.broadcast(hot), list(group), "left_semi")
+        .selectExpr(
+            *group,
+            f"{position} AS cut",
+            f"row_number() {_window(group, entity=[f'xxhash64({", ".join(entity)})', *entity])} AS pick",
+        )
+        .where(f"pick <= {_CUTS}")
+        .groupBy(*group)
+        .agg(F.collect_list("cut").alias("cuts"))
+    )
+    bucket = f"coalesce(nullif(size(filter(cuts, cut -> cut <= {position})), -1), 0)"
+    return df.join(F.broadcast(cuts), list(group), "left").selectExpr(
+        *(f"`{c}`" for c in df.columns), f"{bucket} AS bucket"
+    )
+
+
 def _under(prior: str, total: str, percent: float) -> str:
     # Exact comparison; a zero total has no shares, so nothing is under.
     return (
@@ -134,7 +157,11 @@ def _under(prior: str, total: str, percent: float) -> str:
 
 
 def share_rank(
-    df: DataFrame, measure: str, entity: Sequence[str], group: Sequence[str] = KEYS, strategy: str = "bucketed"
+    df: DataFrame,
+    measure: str,
+    entity: Sequence[str],
+    group: Sequence[str] = KEYS,
+    strategy: str = "bucketed",
 ) -> DataFrame:
     """Add the rank by ``measure`` and its percentage of the group's total."""
     ranked = ordered(df, [measure], entity, measure, group, strategy)

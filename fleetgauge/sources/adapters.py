@@ -28,7 +28,7 @@ def _server(number: str) -> str:
 
 
 def _cents(column: str) -> str:
-    return f"CAST(ROUND({column} * 100) AS BIGINT)"
+    return f"CAST(FLOOR({column} * 100 + 0.5) AS BIGINT)"
 
 
 def _sum(expression: str) -> str:
@@ -37,8 +37,10 @@ def _sum(expression: str) -> str:
 
 # The integer k of an event's props, '{"k": 69}'.
 _K = "CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT)"
-_QUANTITY = "CAST(l_quantity AS BIGINT)"
 _EVENTS = f"(SELECT *, {_K} AS k, {_cents('value')} AS cents FROM {{events}}) AS e"
+_LINES = f"""(
+            SELECT *, CAST(l_quantity AS BIGINT) AS quantity, {_cents('l_extendedprice')} AS price,
+                   {_cents('l_tax')} AS tax, {_cents('l_discount')} AS discount FROM {{lineitem}}) AS l"""
 _SUPPLIER_FILE = "s_suppkey % 25 AS database_id, s_suppkey AS file_id"
 _FILE_TYPE = "CASE WHEN s_suppkey % 4 = 0 THEN 'LOG' ELSE 'ROWS' END AS type_desc"
 _FILE_NAME = "chr(CAST(97 + s_suppkey % 3 AS INT)) || ':/data/f' || CAST(s_suppkey AS STRING) || '.dat' AS physical_name"
@@ -69,8 +71,8 @@ SQL = {
         SELECT {_server('l_suppkey % 5')},
                CASE WHEN l_suppkey % 20 = 0 THEN 'BUFFER' ELSE 'L' || CAST(l_suppkey AS STRING) END AS latch_class,
                COUNT(*) AS waiting_requests_count,
-               {_sum(_QUANTITY)} AS wait_time_ms
-        FROM {{lineitem}}
+               {_sum('quantity')} AS wait_time_ms
+        FROM {_LINES}
         GROUP BY l_suppkey % 5,
                  CASE WHEN l_suppkey % 20 = 0 THEN 'BUFFER' ELSE 'L' || CAST(l_suppkey AS STRING) END""",
     "activity": f"""
@@ -127,19 +129,19 @@ SQL = {
                CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 4 ELSE 8 END AS statement_start_offset,
                CASE l_returnflag WHEN 'A' THEN -1 WHEN 'N' THEN 18 ELSE 4000 END AS statement_end_offset,
                COUNT(*) AS execution_count,
-               {_sum(_cents('l_extendedprice'))} AS total_worker_time,
-               MIN({_cents('l_extendedprice')}) AS min_worker_time,
-               MAX({_cents('l_extendedprice')}) AS max_worker_time,
-               {_sum(_cents('l_tax') + ' * 1000 + ' + _QUANTITY)} AS total_elapsed_time,
-               MIN({_cents('l_tax')} * 1000 + {_QUANTITY}) AS min_elapsed_time,
-               MAX({_cents('l_tax')} * 1000 + {_QUANTITY}) AS max_elapsed_time,
-               {_sum(_QUANTITY)} AS total_logical_reads,
-               MIN({_QUANTITY}) AS min_logical_reads, MAX({_QUANTITY}) AS max_logical_reads,
-               {_sum(_cents('l_discount'))} AS total_logical_writes,
-               MAX({_cents('l_discount')}) AS max_logical_writes,
+               {_sum('price')} AS total_worker_time,
+               MIN(price) AS min_worker_time,
+               MAX(price) AS max_worker_time,
+               {_sum('tax * 1000 + quantity')} AS total_elapsed_time,
+               MIN(tax * 1000 + quantity) AS min_elapsed_time,
+               MAX(tax * 1000 + quantity) AS max_elapsed_time,
+               {_sum('quantity')} AS total_logical_reads,
+               MIN(quantity) AS min_logical_reads, MAX(quantity) AS max_logical_reads,
+               {_sum('discount')} AS total_logical_writes,
+               MAX(discount) AS max_logical_writes,
                {_sum('l_linenumber')} AS total_physical_reads,
                MIN(l_shipdate) AS creation_time, MAX(l_shipdate) AS last_execution_time
-        FROM {{lineitem}} GROUP BY l_partkey, l_returnflag""",
+        FROM {_LINES} GROUP BY l_partkey, l_returnflag""",
     "plan_attributes": f"""
         SELECT {_server('p_partkey % 5')}, 'P' || CAST(p_partkey AS STRING) AS plan_handle, 'dbid' AS attribute,
                CASE WHEN p_partkey % 100 = 7 THEN '32767' ELSE CAST(p_partkey % 25 AS STRING) END AS value
@@ -191,20 +193,20 @@ SQL = {
     "log_segments": f"""
         SELECT {_server('l_suppkey % 5')},
                'NATION_' || CAST(CASE WHEN l_suppkey % 25 = 3 THEN 8 ELSE l_suppkey % 25 END AS STRING) AS database_name,
-               0 AS recovery_unit_id, l_linenumber AS file_id, {_cents('l_extendedprice')} AS file_size,
+               0 AS recovery_unit_id, l_linenumber AS file_id, price AS file_size,
                l_orderkey AS start_offset, l_orderkey AS fseq_no, 2 AS status, 64 AS parity, l_partkey AS create_lsn
-        FROM {{lineitem}}""",
+        FROM {_LINES}""",
     "file_io": f"""
         SELECT {_server('l_suppkey % 5')}, l_suppkey % 25 AS database_id, l_suppkey AS file_id,
                {_sum("CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END")} AS num_of_reads,
                {_sum("CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END")} AS num_of_writes,
-               {_sum(f"CASE WHEN l_returnflag = 'R' THEN {_cents('l_extendedprice')} ELSE 0 END")} AS num_of_bytes_read,
-               {_sum(f"CASE WHEN l_returnflag = 'N' THEN {_cents('l_extendedprice')} ELSE 0 END")} AS num_of_bytes_written,
-               {_sum(f"CASE WHEN l_returnflag = 'R' THEN {_QUANTITY} ELSE 0 END")} AS io_stall_read_ms,
-               {_sum(f"CASE WHEN l_returnflag = 'N' THEN {_QUANTITY} ELSE 0 END")} AS io_stall_write_ms,
-               {_sum(_QUANTITY)} AS io_stall,
-               {_sum(_cents('l_extendedprice'))} AS size_on_disk_bytes
-        FROM {{lineitem}} GROUP BY l_suppkey""",
+               {_sum("CASE WHEN l_returnflag = 'R' THEN price ELSE 0 END")} AS num_of_bytes_read,
+               {_sum("CASE WHEN l_returnflag = 'N' THEN price ELSE 0 END")} AS num_of_bytes_written,
+               {_sum("CASE WHEN l_returnflag = 'R' THEN quantity ELSE 0 END")} AS io_stall_read_ms,
+               {_sum("CASE WHEN l_returnflag = 'N' THEN quantity ELSE 0 END")} AS io_stall_write_ms,
+               {_sum('quantity')} AS io_stall,
+               {_sum('price')} AS size_on_disk_bytes
+        FROM {_LINES} GROUP BY l_suppkey""",
     "files": f"""
         SELECT {_server('s_suppkey % 5')}, {_SUPPLIER_FILE}, {_FILE_NAME}, {_FILE_TYPE},
                {_cents('s_acctbal + 3000')} AS size
@@ -244,7 +246,7 @@ SQL = {
                COUNT(*) AS user_updates,
                MAX(CASE WHEN l_returnflag = 'R' AND l_quantity = 50 THEN l_shipdate END) AS last_user_seek,
                MAX(CASE WHEN l_returnflag = 'R' AND l_quantity = 49 THEN l_shipdate END) AS last_user_scan
-        FROM {{lineitem}} GROUP BY l_partkey""",
+        FROM {_LINES} GROUP BY l_partkey""",
     "partition_stats": " UNION ALL ".join(
         f"""
         SELECT {_server('p_partkey % 5')}, {_INDEX}, {n} AS partition_number, p_size * {400 * n} AS used_page_count,
@@ -255,11 +257,11 @@ SQL = {
     "index_operational": f"""
         SELECT {_server('l_partkey % 5')}, {_LINE_INDEX}, l_linenumber % 2 + 1 AS partition_number,
                COUNT(*) AS row_lock_count, {_sum('l_linenumber')} AS row_lock_wait_count,
-               {_sum(_QUANTITY)} AS row_lock_wait_in_ms, MIN({_QUANTITY}) AS page_lock_count,
-               MAX({_QUANTITY}) AS page_lock_wait_count, {_sum(_QUANTITY + ' * 2')} AS page_lock_wait_in_ms,
-               {_sum(_cents('l_discount'))} AS page_io_latch_wait_count,
-               {_sum(_cents('l_tax'))} AS page_io_latch_wait_in_ms
-        FROM {{lineitem}} GROUP BY l_partkey, l_linenumber % 2""",
+               {_sum('quantity')} AS row_lock_wait_in_ms, MIN(quantity) AS page_lock_count,
+               MAX(quantity) AS page_lock_wait_count, {_sum('quantity * 2')} AS page_lock_wait_in_ms,
+               {_sum('discount')} AS page_io_latch_wait_count,
+               {_sum('tax')} AS page_io_latch_wait_in_ms
+        FROM {_LINES} GROUP BY l_partkey, l_linenumber % 2""",
     "index_physical": " UNION ALL ".join(
         f"""
         SELECT {_server('p_partkey % 5')}, {_INDEX}, {n} AS partition_number,
@@ -270,7 +272,7 @@ SQL = {
     ),
     "mi_group_stats": f"""
         SELECT {_server('p_partkey % 5')}, p_partkey AS group_handle, p_size * 3 AS user_seeks,
-               CAST(ROUND(p_retailprice) AS DOUBLE) AS avg_total_user_cost,
+               FLOOR(p_retailprice) * 1.0 AS avg_total_user_cost,
                CAST(p_partkey % 100 AS DOUBLE) AS avg_user_impact,
                {COLLECTED_AT} - p_size * INTERVAL '1' HOUR AS last_user_seek
         FROM {{part}}""",
