@@ -1,0 +1,134 @@
+from __future__ import annotations
+
+from decimal import Decimal as D
+
+import pytest
+from conftest import rows
+from hypothesis import HealthCheck, given, settings, strategies as st
+
+from fleetgauge.operators.ranking import ordered, pareto_prefix, share_rank, top_k
+from fleetgauge.plans.waits import BENIGN_WAITS, benign_waits, latch_pareto, wait_pareto
+
+STRATEGIES = pytest.mark.parametrize("strategy", ["plain", "bucketed"])
+
+
+def test_ignore_list():
+    assert len(benign_waits()) == len(set(benign_waits())) == 67
+    assert len(benign_waits(["mirroring"])) == 4 and len(benign_waits(["availability"])) == 6
+    assert set(BENIGN_WAITS) == {"background", "mirroring", "availability"}
+
+
+def wait(name, ms, tasks=1, signal=0, **more):
+    return {"wait_type": name, "wait_time_ms": ms, "waiting_tasks_count": tasks, "signal_wait_time_ms": signal, **more}
+
+
+@STRATEGIES
+def test_prefix_keeps_the_row_that_crosses(table, strategy):
+    waits = table("wait_stats", wait("A", 50), wait("B", 45), wait("C", 4), wait("D", 1))
+    got = rows(wait_pareto({"wait_stats": waits}, strategy=strategy), "row_rank", "wait_type", "percentage")
+    # After A and B exactly 95 percent is reached, so C is out.
+    assert got == [(1, "A", D("50.00")), (2, "B", D("45.00"))]
+    got = rows(wait_pareto({"wait_stats": waits}, threshold=95.5, strategy=strategy), "wait_type")
+    assert got == [("A",), ("B",), ("C",)]
+
+
+@STRATEGIES
+def test_ignored_and_idle_waits_do_not_count_in_the_total(table, strategy):
+    waits = table("wait_stats", wait("LAZYWRITER_SLEEP", 10**9), wait("IDLE", 10**9, tasks=0), wait("A", 3), wait("B", 1))
+    got = rows(wait_pareto({"wait_stats": waits}, strategy=strategy), "wait_type", "percentage")
+    assert got == [("A", D("75.00")), ("B", D("25.00"))]
+    kept = wait_pareto({"wait_stats": waits}, ignore=[], strategy=strategy)
+    assert rows(kept, "wait_type") == [("LAZYWRITER_SLEEP",)]
+
+
+@STRATEGIES
+def test_ties_at_the_cut_go_by_name(table, strategy):
+    waits = table("wait_stats", *(wait(n, 10) for n in "DBCA"))
+    got = rows(wait_pareto({"wait_stats": waits}, threshold=50, strategy=strategy), "row_rank", "wait_type")
+    assert got == [(1, "A"), (2, "B")]
+
+
+@STRATEGIES
+def test_single_row_and_nothing_left(table, strategy):
+    one = wait_pareto({"wait_stats": table("wait_stats", wait("A", 7))}, strategy=strategy)
+    assert rows(one, "wait_type", "percentage") == [("A", D("100.00"))]
+    for left in (wait("LAZYWRITER_SLEEP", 5), wait("A", 0), wait("A", 5, tasks=0), wait("A", None)):
+        assert rows(wait_pareto({"wait_stats": table("wait_stats", left)}, strategy=strategy)) == []
+
+
+def test_seconds_and_averages(table):
+    waits = table("wait_stats", wait("A", 12345, tasks=7, signal=2345))
+    assert rows(wait_pareto({"wait_stats": waits})) == [
+        (1, "A", D("12.35"), D("10.00"), D("2.35"), 7, D("100.00"), D("1.7636"), D("1.4286"), D("0.3350"),
+         "https://www.sqlskills.com/help/waits/A")
+    ]
+
+
+def test_latches(table):
+    def latch(name, ms, requests=1):
+        return {"latch_class": name, "wait_time_ms": ms, "waiting_requests_count": requests}
+
+    latches = table("latch_stats", latch("BUFFER", 10**6), latch("A", 900, 0), latch("B", 100, 3), latch("C", 0))
+    assert rows(latch_pareto({"latch_stats": latches}), "latch_class", "wait_s", "percentage", "avg_wait_s") == [
+        ("A", D("0.90"), D("90.00"), None),  # no requests: no average
+        ("B", D("0.10"), D("10.00"), D("0.0333")),
+    ]
+
+
+def test_three_equal_shares(table, spark):
+    df = spark.createDataFrame([("s", n, 1) for n in "abc"], "g string, e string, m bigint")
+    got = [tuple(r) for r in share_rank(df, "m", ["e"], ["g"]).select("row_rank", "e", "share").collect()]
+    assert sorted(got) == [(1, "a", D("33.33")), (2, "b", D("33.33")), (3, "c", D("33.33"))]
+
+
+_rows = st.lists(
+    st.tuples(st.sampled_from(["g1", "g2", "g3"]), st.sampled_from([0, 1, 1, 5, 10, 1000, None])), max_size=60
+)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(data=_rows, below=st.sampled_from([None, 95, 50.5]))
+def test_ranges_give_what_one_sort_gives(spark, data, below):
+    """Against brute force, with every group treated as hot and with none."""
+    data = [(g, f"e{i:03}", m) for i, (g, m) in enumerate(data)]
+    df = spark.createDataFrame(data, "g string, e string, m bigint").repartition(3)
+    expected = []
+    for group in sorted({r[0] for r in data}):
+        members = sorted((r for r in data if r[0] == group), key=lambda r: (r[2] is None, -(r[2] or 0), r[1]))
+        total, prior = sum(r[2] or 0 for r in members), 0
+        for rank, (g, e, m) in enumerate(members, 1):
+            if below is None or (total > 0 and prior * 100 < below * total):
+                expected.append((g, e, rank, prior))
+            prior += m or 0
+    for options in ({"hot_rows": 1}, {}, {"strategy": "plain"}):
+        got = ordered(df, ["m"], ["e"], "m", ["g"], below=below, **options)
+        got = sorted(tuple(r) for r in got.select("g", "e", "row_rank", "prior_sum").collect())
+        assert got == sorted(expected), options
+
+
+def test_hot_group_is_cut_into_even_ranges(spark):
+    from fleetgauge.operators.ranking import _placed
+
+    # One group holds most rows, and most of those share one value.
+    df = spark.range(30_000).selectExpr(
+        "if(id % 5 = 0, concat('g', id % 7), 'hot') AS g", "if(id % 3 = 0, id, 42) AS m", "concat('e', id) AS e"
+    )
+    per_range = _placed(df, ["m"], ["e"], ["g"], 10_000).groupBy("g", "bucket").count().collect()
+    hot = [r["count"] for r in per_range if r["g"] == "hot"]
+    assert len(hot) > 200 and max(hot) < 24_000 / 20
+    assert all(r["bucket"] == 0 for r in per_range if r["g"] != "hot")
+
+
+def test_top_k_beyond_the_pruned_size(spark):
+    df = spark.range(3000).selectExpr("id % 2 AS g", "id % 100 AS m", "id AS e")
+    got = top_k(df, ["m"], ["e"], 1100, ["g"])
+    small = top_k(df, ["m"], ["e"], 1000, ["g"])
+    assert sorted(got.groupBy("g").count().collect()) == [(0, 1100), (1, 1100)]
+    assert small.select("e").exceptAll(got.select("e")).count() == 0
+
+
+def test_prefix_is_minimal(spark):
+    df = spark.range(500).selectExpr("id % 3 AS g", "(id * id) % 97 AS m", "id AS e")
+    kept = pareto_prefix(df, "m", ["e"], 80, ["g"])
+    for r in kept.groupBy("g").agg({"m": "sum", "group_sum": "max", "prior_sum": "max"}).collect():
+        assert r["max(prior_sum)"] * 100 < 80 * r["max(group_sum)"] <= r["sum(m)"] * 100
