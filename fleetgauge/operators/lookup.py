@@ -12,10 +12,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from fleetgauge.functions.text import JOB_LABEL, job_key_of_program, job_key_of_uuid, literal
-from fleetgauge.sources.schemas import KEYS
+from fleetgauge.sources.schemas import KEYS, PARTITION
 
 # Rows without a job key are dealt out over this many join keys.
 _SPREAD = 4096
+# Fixed value: no server stores an earlier time.
+_FIRST_TIME = "TIMESTAMP_NTZ'1753-01-01 00:00:00'"
 
 
 def with_database_name(
@@ -68,6 +70,18 @@ def with_program_label(df: DataFrame, jobs: DataFrame, row_id: Sequence[str]) ->
 
 
 def at_latest(df: DataFrame, time: str) -> DataFrame:
-    """Rows whose ``time`` is the newest of their snapshot."""
-    newest = df.groupBy(*KEYS).agg(F.max(time).alias(time))
-    return df.join(newest, [*KEYS, time], "left_semi")
+    """Rows whose ``time`` is the newest of their snapshot.
+
+    ``time`` must be the column the table is partitioned by.  The newest times
+    are found on two narrow columns; joined on the partition column too, they
+    keep the wide scan to the files of those days.
+    """
+    newest = (
+        df.groupBy(*KEYS)
+        .agg(F.max(time).alias(time))
+        # Spark prunes partitions through a join only if the pruning side is
+        # filtered by a comparison.  This one holds for every time there is.
+        .where(f"{time} >= {_FIRST_TIME}")
+        .selectExpr(*KEYS, time, f"CAST({time} AS DATE) AS {PARTITION}")
+    )
+    return df.join(newest, [*KEYS, PARTITION, time], "left_semi")

@@ -37,7 +37,9 @@ def read_table(
     The dates filter the partition column, so files outside them are never
     opened; the server filter is pushed to the Parquet scan.
     """
-    df = spark.read.schema(schema(table)).parquet(f"{root}/{table}")
+    declared = schema(table)
+    # Parquet puts the partition column last; bring it back to its place.
+    df = spark.read.schema(declared).parquet(f"{root}/{table}").select(*(f"`{c}`" for c in declared.names))
     if first_date is not None:
         df = df.where(F.col(PARTITION) >= F.lit(first_date))
     if last_date is not None:

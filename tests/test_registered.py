@@ -1,0 +1,144 @@
+"""Registered queries: against the SQL check, across join strategies, per server, plans."""
+
+from __future__ import annotations
+
+import re
+
+import pytest
+from conftest import SMALL_DIR
+from pyspark.sql import functions as F
+
+import __spark_entry__
+from checks.compare import connect, differences
+from checks.oracle import oracle_sql
+from checks.queries import BINDINGS, queries
+from fleetgauge import REPORTS, report
+from fleetgauge.operators import ranking
+from fleetgauge.sources.adapters import telemetry
+from fleetgauge.sources.snapshots import read_tables, write_table
+
+NAMES = list(BINDINGS)
+
+
+@pytest.fixture(scope="module")
+def con():
+    return connect(SMALL_DIR)
+
+
+def test_every_report_is_registered_and_checked():
+    assert set(__spark_entry__.queries()) == set(__spark_entry__.oracle_sql()) == set(NAMES)
+    assert {fn.__name__ for fn, _, _ in BINDINGS.values()} == set(REPORTS)
+
+
+def test_entry(spark):
+    assert __spark_entry__.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_same_rows_as_the_check(spark, con, name):
+    assert differences(spark, con, SMALL_DIR, name) == []
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_same_rows_without_any_broadcast(spark, con, name):
+    """As on data where no side is small."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert differences(spark, con, SMALL_DIR, name) == []
+        plan = plan_text(queries()[name](spark, SMALL_DIR))
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("name", ["wait_pareto", "latch_pareto"])
+def test_same_rows_with_every_group_hot(spark, con, name, monkeypatch):
+    hot = ranking.ordered
+    monkeypatch.setattr(ranking, "ordered", lambda *args, **more: hot(*args, **{**more, "hot_rows": 1}))
+    assert differences(spark, con, SMALL_DIR, name) == []
+
+
+def plan_text(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_plan(spark, name):
+    plan = plan_text(queries()[name](spark, SMALL_DIR))
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert "SinglePartition" not in plan
+    assert "Python" not in plan and "ScanExistingRDD" not in plan
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_fleet_is_the_union_of_its_servers(spark, name):
+    """A join that forgets a fleet key multiplies rows across servers."""
+    _, needed, params = BINDINGS[name]
+    tables = telemetry(spark, SMALL_DIR, needed)
+    fn = BINDINGS[name][0].__name__
+    fleet = report(fn, tables, **params).collect()
+    one = [
+        r
+        for server in ("srv0", "srv3")
+        for r in report(fn, {t: df.where(f"server_name = '{server}'") for t, df in tables.items()}, **params).collect()
+    ]
+    assert sorted(map(repr, (r for r in fleet if r["server_name"] in ("srv0", "srv3")))) == sorted(map(repr, one))
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_two_snapshots_do_not_mix(spark, name):
+    """The same rows captured again a day later give the same report twice."""
+    _, needed, params = BINDINGS[name]
+    tables = telemetry(spark, SMALL_DIR, needed)
+    fn = BINDINGS[name][0].__name__
+    again = "collected_at + INTERVAL '1' DAY"
+    twice = {
+        t: df.unionByName(df.withColumns({"collected_at": F.expr(again)})) for t, df in tables.items()
+    }
+    alone = report(fn, {t: df.withColumns({"collected_at": F.expr(again)}) for t, df in tables.items()}, **params)
+    both = report(fn, twice, **params)
+    first = report(fn, tables, **params)
+    expected = sorted(map(repr, first.collect() + alone.collect()))
+    assert sorted(map(repr, both.collect())) == expected
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_empty_tables_give_an_empty_report(spark, name):
+    _, needed, params = BINDINGS[name]
+    tables = telemetry(spark, SMALL_DIR, needed)
+    full = report(BINDINGS[name][0].__name__, tables, **params)
+    empty = report(BINDINGS[name][0].__name__, {t: df.where("false") for t, df in tables.items()}, **params)
+    assert empty.schema == full.schema
+    assert empty.count() == 0
+
+
+@pytest.fixture
+def stored(spark, tmp_path):
+    """Tables written as partitioned snapshots; plans print in full."""
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    for name in ("wait_stats", "activity"):
+        write_table(telemetry(spark, SMALL_DIR, [name])[name], str(tmp_path), name)
+    yield {
+        **read_tables(spark, str(tmp_path), ["wait_stats", "activity"]),
+        **telemetry(spark, SMALL_DIR, ["jobs"]),
+    }
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+
+
+def test_filters_reach_the_scan(stored):
+    plan = plan_text(report("wait_pareto", stored))
+    assert re.search(r"PushedFilters: \[[^\]]*GreaterThan\(waiting_tasks_count,0\)", plan)
+    plan = plan_text(report("blocked_per_hour", stored, start="2024-01-03 10:00:00", end="2024-01-04 09:00:00"))
+    assert re.search(r"PartitionFilters: \[[^\]]*collected_date[^\]]*2024-01-03[^\]]*2024-01-04", plan)
+    assert re.search(r"PushedFilters: \[[^\]]*IsNotNull\(blocking_session_id\)", plan)
+    schema = re.findall(r"ReadSchema: struct<(.*)", plan)[0]
+    assert "sql_text" not in schema and "blocking_session_id" in schema
+
+
+def test_latest_poll_opens_only_its_own_days(spark, con, stored):
+    got = report("activity_latest", stored)
+    assert "dynamicpruning" in plan_text(got)
+    direct = report("activity_latest", telemetry(spark, SMALL_DIR, ["activity", "jobs"]))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, direct.collect()))
