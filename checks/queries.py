@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import DecimalType, FloatType
 
-from fleetgauge.plans import activity, cpu, index, io, waits
+from fleetgauge import REPORTS, report
 from fleetgauge.sources.adapters import telemetry
 
 RANGE = {"start": "2024-01-01 00:00:00", "end": "2024-01-31 00:00:00"}
@@ -19,72 +19,30 @@ LOG_TERMS = ("the", "and")
 WARNING_TERM = "of the"
 OWN_SESSIONS = (7,)
 
-_TOP_QUERIES = ("query_stats", "sql_text", "databases", "objects")
-_PROCEDURES = ("proc_stats", "procedures", "databases")
-_INDEX_PROFILE = (
-    "index_usage",
-    "databases",
-    "objects",
-    "indexes",
-    "index_operational",
-    "index_physical",
-    "partition_stats",
-)
-_UNUSED = ("databases", "indexes", "objects", "index_usage", "partition_stats")
-_ACTIVITY = ("activity", "jobs")
-
-# name -> (report, tables it reads, parameters)
-BINDINGS = {
-    "wait_pareto": (waits.wait_pareto, ("wait_stats",), {}),
-    "latch_pareto": (waits.latch_pareto, ("latch_stats",), {}),
-    "log_search": (cpu.log_search, ("error_log",), {"terms": LOG_TERMS}),
-    "scheduler_count_by_node": (cpu.scheduler_count_by_node, ("schedulers",), {}),
-    "scheduler_load": (cpu.scheduler_load, ("schedulers",), {}),
-    "cpu_history": (cpu.cpu_history, ("ring_buffer", "sys_info"), {}),
-    "cpu_by_database": (cpu.cpu_by_database, ("query_stats", "plan_attributes", "databases"), {}),
-    "top_queries_by_worker_time": (
-        cpu.top_queries_by_worker_time,
-        ("query_stats", "sql_text", "databases"),
-        {},
-    ),
-    "top_queries_by_total_cpu": (cpu.top_queries_by_total_cpu, _TOP_QUERIES, {}),
-    "top_queries_by_avg_cpu": (cpu.top_queries_by_avg_cpu, _TOP_QUERIES, {}),
-    "top_procedures_by_worker_time": (cpu.top_procedures, _PROCEDURES, {"metric": "worker_time"}),
-    "top_procedures_by_logical_reads": (cpu.top_procedures, _PROCEDURES, {"metric": "logical_reads"}),
-    "top_procedures_by_logical_writes": (cpu.top_procedures, _PROCEDURES, {"metric": "logical_writes"}),
-    "top_procedures_by_physical_reads": (cpu.top_procedures, _PROCEDURES, {"metric": "physical_reads"}),
-    "active_requests": (
-        cpu.active_requests,
-        ("requests", "sessions", "sql_text", "query_plan", "databases"),
-        {"exclude_sessions": OWN_SESSIONS},
-    ),
-    "head_blockers": (cpu.head_blockers, ("processes", "requests", "sql_text", "databases"), {}),
-    "log_segment_count": (io.log_segment_count, ("log_segments", "databases"), {}),
-    "drive_latency": (io.drive_latency, ("file_io", "files", "volumes"), {}),
-    "io_stalls_by_file": (io.io_stalls_by_file, ("file_io", "files", "databases"), {}),
-    "io_by_database": (io.io_by_database, ("file_io", "databases"), {}),
-    "io_warnings": (io.io_warnings, ("error_log",), {"term": WARNING_TERM}),
-    "volume_space": (io.volume_space, ("files", "volumes"), {}),
-    "top_statements_by_avg_io": (io.top_statements_by_avg_io, _TOP_QUERIES, {}),
-    "io_profile_by_file": (io.io_profile_by_file, ("file_io", "db_files", "databases"), {}),
-    "missing_indexes": (index.missing_indexes, ("mi_group_stats", "mi_groups", "mi_details"), {}),
-    "unused_indexes": (index.unused_indexes, _UNUSED, {}),
-    "unused_indexes_with_untouched": (index.unused_indexes, _UNUSED, {"include_never_touched": True}),
-    "index_profile": (index.index_profile, _INDEX_PROFILE, {}),
-    "index_profile_by_partition": (index.index_profile, _INDEX_PROFILE, {"match_partition": True}),
-    "activity_latest": (activity.activity_latest, _ACTIVITY, {}),
-    "activity_io_offenders": (activity.activity_io_offenders, _ACTIVITY, RANGE),
-    "activity_blocking": (activity.activity_blocking, _ACTIVITY, RANGE),
-    "blocked_per_hour": (activity.blocked_per_hour, _ACTIVITY, RANGE),
-    "blocking_per_hour": (activity.blocking_per_hour, _ACTIVITY, RANGE),
-    "sessions_per_program": (activity.sessions_per_program, _ACTIVITY, RANGE),
-}
-
-
-def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+# Query -> (report, parameters).  Reports are registered under their own name;
+# those with parameters worth telling apart under several.
+BINDINGS: dict[str, tuple[str, dict]] = {name: (name, {}) for name in REPORTS if name != "top_procedures"}
+BINDINGS["log_search"] = ("log_search", {"terms": LOG_TERMS})
+BINDINGS["io_warnings"] = ("io_warnings", {"term": WARNING_TERM})
+BINDINGS["active_requests"] = ("active_requests", {"exclude_sessions": OWN_SESSIONS})
+BINDINGS["unused_indexes_with_untouched"] = ("unused_indexes", {"include_never_touched": True})
+BINDINGS["index_profile_by_partition"] = ("index_profile", {"match_partition": True})
+for metric in ("worker_time", "logical_reads", "logical_writes", "physical_reads"):
+    BINDINGS[f"top_procedures_by_{metric}"] = ("top_procedures", {"metric": metric})
+for ranged in (
+    "activity_io_offenders",
+    "activity_blocking",
+    "blocked_per_hour",
+    "blocking_per_hour",
+    "sessions_per_program",
+):
+    BINDINGS[ranged] = (ranged, RANGE)
+
+
+def run(query: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report over the test tables, in the report's own types."""
-    report, tables, params = BINDINGS[name]
-    return report(telemetry(spark, sf_dir, tables), **params)
+    name, params = BINDINGS[query]
+    return report(name, telemetry(spark, sf_dir, REPORTS[name].tables), **params)
 
 
 def comparable(df: DataFrame) -> DataFrame:
@@ -96,7 +54,7 @@ def comparable(df: DataFrame) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    def bind(name: str) -> Callable[[SparkSession, str], DataFrame]:
-        return lambda spark, sf_dir: comparable(run(name, spark, sf_dir))
+    def bind(query: str) -> Callable[[SparkSession, str], DataFrame]:
+        return lambda spark, sf_dir: comparable(run(query, spark, sf_dir))
 
-    return {name: bind(name) for name in BINDINGS}
+    return {query: bind(query) for query in BINDINGS}

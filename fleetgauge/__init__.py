@@ -1,5 +1,5 @@
 """Diagnostic reports over database-server telemetry, as lazy Spark DataFrames."""
 
-from fleetgauge.plans import REPORTS, report
+from fleetgauge.plans import REPORTS, Report, report, report_over
 
-__all__ = ["REPORTS", "report"]
+__all__ = ["REPORTS", "Report", "report", "report_over"]

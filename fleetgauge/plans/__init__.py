@@ -8,48 +8,94 @@ computed per ``(server_name, collected_at)``.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from fleetgauge.plans import activity, cpu, index, io, waits
+from fleetgauge.sources.snapshots import read_tables
 
-REPORTS: dict[str, Callable[..., DataFrame]] = {
-    fn.__name__: fn
-    for fn in (
-        cpu.log_search,
-        cpu.scheduler_count_by_node,
-        cpu.scheduler_load,
-        cpu.cpu_history,
-        cpu.cpu_by_database,
-        cpu.top_queries_by_worker_time,
-        cpu.top_procedures,
-        cpu.active_requests,
-        cpu.top_queries_by_total_cpu,
-        cpu.top_queries_by_avg_cpu,
-        cpu.head_blockers,
-        io.log_segment_count,
-        io.drive_latency,
-        io.io_stalls_by_file,
-        io.io_by_database,
-        io.io_warnings,
-        io.volume_space,
-        io.top_statements_by_avg_io,
-        io.io_profile_by_file,
-        activity.activity_latest,
-        activity.activity_io_offenders,
-        activity.activity_blocking,
-        activity.blocked_per_hour,
-        activity.blocking_per_hour,
-        activity.sessions_per_program,
-        index.missing_indexes,
-        index.unused_indexes,
-        index.index_profile,
-        waits.latch_pareto,
-        waits.wait_pareto,
+
+@dataclass(frozen=True)
+class Report:
+    """A report function and the tables it reads."""
+
+    run: Callable[..., DataFrame]
+    tables: tuple[str, ...]
+
+
+_STATEMENTS = ("query_stats", "sql_text", "databases", "objects")
+_ACTIVITY = ("activity", "jobs")
+
+REPORTS = {
+    entry.run.__name__: entry
+    for entry in (
+        # processors, statements, sessions
+        Report(cpu.log_search, ("error_log",)),
+        Report(cpu.scheduler_count_by_node, ("schedulers",)),
+        Report(cpu.scheduler_load, ("schedulers",)),
+        Report(cpu.cpu_history, ("ring_buffer", "sys_info")),
+        Report(cpu.cpu_by_database, ("query_stats", "plan_attributes", "databases")),
+        Report(cpu.top_queries_by_worker_time, ("query_stats", "sql_text", "databases")),
+        Report(cpu.top_queries_by_total_cpu, _STATEMENTS),
+        Report(cpu.top_queries_by_avg_cpu, _STATEMENTS),
+        Report(cpu.top_procedures, ("proc_stats", "procedures", "databases")),
+        Report(cpu.active_requests, ("requests", "sessions", "sql_text", "query_plan", "databases")),
+        Report(cpu.head_blockers, ("processes", "requests", "sql_text", "databases")),
+        # storage
+        Report(io.log_segment_count, ("log_segments", "databases")),
+        Report(io.drive_latency, ("file_io", "files", "volumes")),
+        Report(io.io_stalls_by_file, ("file_io", "files", "databases")),
+        Report(io.io_by_database, ("file_io", "databases")),
+        Report(io.io_warnings, ("error_log",)),
+        Report(io.volume_space, ("files", "volumes")),
+        Report(io.top_statements_by_avg_io, _STATEMENTS),
+        Report(io.io_profile_by_file, ("file_io", "db_files", "databases")),
+        # session activity
+        Report(activity.activity_latest, _ACTIVITY),
+        Report(activity.activity_io_offenders, _ACTIVITY),
+        Report(activity.activity_blocking, _ACTIVITY),
+        Report(activity.blocked_per_hour, _ACTIVITY),
+        Report(activity.blocking_per_hour, _ACTIVITY),
+        Report(activity.sessions_per_program, _ACTIVITY),
+        # indexes
+        Report(index.missing_indexes, ("mi_group_stats", "mi_groups", "mi_details")),
+        Report(index.unused_indexes, ("databases", "indexes", "objects", "index_usage", "partition_stats")),
+        Report(
+            index.index_profile,
+            (
+                "index_usage",
+                "databases",
+                "objects",
+                "indexes",
+                "index_operational",
+                "index_physical",
+                "partition_stats",
+            ),
+        ),
+        # waits
+        Report(waits.latch_pareto, ("latch_stats",)),
+        Report(waits.wait_pareto, ("wait_stats",)),
     )
 }
 
 
 def report(name: str, tables: Mapping[str, DataFrame], **params) -> DataFrame:
-    """Run one report by name."""
-    return REPORTS[name](tables, **params)
+    """Run one report over given tables."""
+    return REPORTS[name].run(tables, **params)
+
+
+def report_over(
+    spark: SparkSession,
+    root: str,
+    name: str,
+    first_date=None,
+    last_date=None,
+    servers=None,
+    **params,
+) -> DataFrame:
+    """Run one report over the snapshot tables stored under ``root``."""
+    tables = read_tables(
+        spark, root, REPORTS[name].tables, first_date=first_date, last_date=last_date, servers=servers
+    )
+    return report(name, tables, **params)

@@ -26,16 +26,20 @@ _MONITOR_SCHEMA = (
 )
 # What tells two rows of query_stats in one snapshot apart.
 STATEMENT_ID = ["plan_handle", "sql_handle", "statement_start_offset", "statement_end_offset"]
-
-
 def search_log(
-    tables: Mapping[str, DataFrame], terms: Sequence[str], generations: Sequence[int]
+    tables: Mapping[str, DataFrame], terms: Sequence[str], generations: Sequence[int], newest_first: bool
 ) -> DataFrame:
-    """Lines of the given log generations that hold every term."""
+    """Lines of the given log generations that hold every term, by time.
+
+    Lines of the same time go by process and by a hash of their text: sort keys
+    are sampled to the driver, and a line can be of any length.
+    """
+    time = F.desc("log_date") if newest_first else F.asc("log_date")
     return (
         tables["error_log"]
         .where(f"{one_of('log_generation', generations)} AND {contains_all('log_text', terms)}")
         .select(*KEYS, "log_date", "process_info", "log_text")
+        .orderBy(*KEYS, time, "process_info", F.xxhash64("log_text"))
     )
 
 
@@ -45,7 +49,7 @@ def log_search(
     generations: Sequence[int] = (0,),
 ) -> DataFrame:
     """Log lines that hold every term; the default finds the core counts."""
-    return search_log(tables, terms, generations).orderBy(*KEYS, "log_date", "process_info", "log_text")
+    return search_log(tables, terms, generations, newest_first=False)
 
 
 def scheduler_count_by_node(tables: Mapping[str, DataFrame]) -> DataFrame:

@@ -131,9 +131,7 @@ def io_warnings(
     term: str = SLOW_IO_TERM,
 ) -> DataFrame:
     """Slow-I/O messages of the most recent logs, newest first."""
-    return search_log(tables, [term], generations).orderBy(
-        *KEYS, F.desc("log_date"), "process_info", "log_text"
-    )
+    return search_log(tables, [term], generations, newest_first=True)
 
 
 def volume_space(tables: Mapping[str, DataFrame]) -> DataFrame:

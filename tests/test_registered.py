@@ -27,7 +27,7 @@ def con():
 
 def test_every_report_is_registered_and_checked():
     assert set(__spark_entry__.queries()) == set(__spark_entry__.oracle_sql()) == set(NAMES)
-    assert {fn.__name__ for fn, _, _ in BINDINGS.values()} == set(REPORTS)
+    assert {name for name, _ in BINDINGS.values()} == set(REPORTS)
 
 
 def test_entry(spark):
@@ -75,9 +75,8 @@ def test_plan(spark, name):
 @pytest.mark.parametrize("name", NAMES)
 def test_fleet_is_the_union_of_its_servers(spark, name):
     """A join that forgets a fleet key multiplies rows across servers."""
-    _, needed, params = BINDINGS[name]
-    tables = telemetry(spark, SMALL_DIR, needed)
-    fn = BINDINGS[name][0].__name__
+    fn, params = BINDINGS[name]
+    tables = telemetry(spark, SMALL_DIR, REPORTS[fn].tables)
     fleet = report(fn, tables, **params).collect()
     one = [
         r
@@ -90,9 +89,8 @@ def test_fleet_is_the_union_of_its_servers(spark, name):
 @pytest.mark.parametrize("name", NAMES)
 def test_two_snapshots_do_not_mix(spark, name):
     """The same rows captured again a day later give the same report twice."""
-    _, needed, params = BINDINGS[name]
-    tables = telemetry(spark, SMALL_DIR, needed)
-    fn = BINDINGS[name][0].__name__
+    fn, params = BINDINGS[name]
+    tables = telemetry(spark, SMALL_DIR, REPORTS[fn].tables)
     again = "collected_at + INTERVAL '1' DAY"
     twice = {
         t: df.unionByName(df.withColumns({"collected_at": F.expr(again)})) for t, df in tables.items()
@@ -106,10 +104,10 @@ def test_two_snapshots_do_not_mix(spark, name):
 
 @pytest.mark.parametrize("name", NAMES)
 def test_empty_tables_give_an_empty_report(spark, name):
-    _, needed, params = BINDINGS[name]
-    tables = telemetry(spark, SMALL_DIR, needed)
-    full = report(BINDINGS[name][0].__name__, tables, **params)
-    empty = report(BINDINGS[name][0].__name__, {t: df.where("false") for t, df in tables.items()}, **params)
+    fn, params = BINDINGS[name]
+    tables = telemetry(spark, SMALL_DIR, REPORTS[fn].tables)
+    full = report(fn, tables, **params)
+    empty = report(fn, {t: df.where("false") for t, df in tables.items()}, **params)
     assert empty.schema == full.schema
     assert empty.count() == 0
 
@@ -137,6 +135,62 @@ def test_filters_reach_the_scan(stored):
     assert "sql_text" not in schema and "blocking_session_id" in schema
 
 
+def test_command_line(spark, stored, tmp_path, capsys):
+    import run_report
+
+    run_report.main([str(tmp_path), "wait_pareto", "--param", "threshold=50", "--server", "srv1", "--first-date",
+                     "2024-02-01", "--last-date", "2024-02-01", "--out", str(tmp_path / "out")])
+    direct = report("wait_pareto", stored, threshold=50).where("server_name = 'srv1'")
+    written = spark.read.parquet(str(tmp_path / "out"))
+    assert written.count() > 0
+    assert sorted(map(repr, written.collect())) == sorted(map(repr, direct.collect()))
+    run_report.main([str(tmp_path), "wait_pareto", "--param", "ignore=[]"])
+    assert "wait_type" in capsys.readouterr().out
+
+
+# Thresholds scaled down to the test tables, so that a third of the rows is a
+# skewed partition here too.
+_SMALL_SKEW = {
+    "spark.sql.shuffle.partitions": "16",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4KB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2KB",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1KB",
+}
+
+
+@pytest.mark.parametrize(
+    "name, fact, column, value",
+    [
+        ("activity_io_offenders", "activity", "program_name",
+         "'SQLAgent - TSQL JobStep (Job 0x05000000221144335566778899AABBCC : Step 1)'"),
+        ("active_requests", "requests", "sql_handle", "'S5'"),
+        ("active_requests", "requests", "database_id", "5"),
+    ],
+)
+def test_hot_keys_are_split(spark, name, fact, column, value):
+    fn, params = BINDINGS[name]
+    tables = telemetry(spark, SMALL_DIR, REPORTS[fn].tables)
+    hot = f"IF(pmod(xxhash64(session_id), 3) = 0, {value}, {column})"
+    server = "IF(pmod(xxhash64(session_id), 3) = 0, 'srv0', server_name)"
+    skewed = {**tables, fact: tables[fact].withColumns({column: F.expr(hot), "server_name": F.expr(server)})}
+    if "sessions" in skewed:
+        skewed["sessions"] = skewed["sessions"].withColumn("server_name", F.expr(server))
+    expected = sorted(map(repr, report(fn, skewed, **params).collect()))
+    for key, setting in _SMALL_SKEW.items():
+        spark.conf.set(key, setting)
+    try:
+        split = report(fn, {t: df.repartition(8) for t, df in skewed.items()}, **params)
+        assert sorted(map(repr, split.collect())) == expected
+        assert "SortMergeJoin(skew=true)" in plan_text(split)
+    finally:
+        for key in _SMALL_SKEW:
+            spark.conf.unset(key)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_latest_poll_opens_only_its_own_days(spark, con, stored):
     got = report("activity_latest", stored)
     assert "dynamicpruning" in plan_text(got)
