@@ -34,6 +34,16 @@ def ordering(by: Sequence[str], entity: Sequence[str] = ()) -> list[Column]:
     return [F.desc_nulls_last(c) for c in by] + [F.asc_nulls_first(c) for c in entity]
 
 
+def sort_filtered(df: DataFrame, spread: Sequence[str | Column], *order: str | Column) -> DataFrame:
+    """Global sort of what a filter leaves of a scan.
+
+    A global sort first samples its input for the range bounds.  Through the
+    exchange (over the ``spread`` columns) both passes read the few rows left,
+    instead of scanning and filtering the source a second time.
+    """
+    return df.repartition(*spread).orderBy(*order)
+
+
 def _window(group: Sequence[str], by: Sequence[str] = (), entity: Sequence[str] = (), frame: str = "") -> str:
     order = ", ".join([f"{c} DESC NULLS LAST" for c in by] + [f"{c} ASC NULLS FIRST" for c in entity])
     return f"OVER (PARTITION BY {', '.join(group)} {f'ORDER BY {order}' if order else ''} {frame})"

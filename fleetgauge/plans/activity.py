@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from fleetgauge.functions.clock import hour_bucket
 from fleetgauge.functions.text import literal
 from fleetgauge.operators.lookup import at_latest, with_program_label
-from fleetgauge.operators.ranking import ordering
+from fleetgauge.operators.ranking import ordering, sort_filtered
 from fleetgauge.sources.schemas import KEYS, PARTITION
 
 Moment = str | dt.datetime
@@ -36,30 +36,27 @@ def _between(activity: DataFrame, start: Moment, end: Moment) -> DataFrame:
 
 def _sessions(rows: DataFrame, jobs: DataFrame) -> DataFrame:
     """Session lines with resolved program labels, by start time."""
-    return (
-        with_program_label(rows, jobs, _ROW)
-        .selectExpr(
-            *KEYS,
-            "start_time",
-            "collection_time",
-            _DURATION,
-            "session_id",
-            "blocking_session_id",
-            "blocking_session_count",
-            "cpu",
-            "used_memory",
-            "reads",
-            "writes",
-            "login_name",
-            "database_name",
-            "program_label AS program_name",
-            "host_name",
-            "wait_info",
-            "sql_text",
-            "sql_command",
-        )
-        .orderBy(*KEYS, "start_time", "collection_time", "session_id")
+    lines = with_program_label(rows, jobs, _ROW).selectExpr(
+        *KEYS,
+        "start_time",
+        "collection_time",
+        _DURATION,
+        "session_id",
+        "blocking_session_id",
+        "blocking_session_count",
+        "cpu",
+        "used_memory",
+        "reads",
+        "writes",
+        "login_name",
+        "database_name",
+        "program_label AS program_name",
+        "host_name",
+        "wait_info",
+        "sql_text",
+        "sql_command",
     )
+    return sort_filtered(lines, _ROW, *KEYS, "start_time", "collection_time", "session_id")
 
 
 def activity_latest(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -78,22 +75,19 @@ def activity_io_offenders(tables: Mapping[str, DataFrame], start: Moment, end: M
     rows = _between(tables["activity"], start, end).selectExpr(
         "*", "writes + physical_reads AS total_io"
     )
-    return (
-        with_program_label(rows, tables["jobs"], _ROW)
-        .orderBy(*KEYS, *ordering(["total_io"], _ROW))
-        .selectExpr(
-            *KEYS,
-            "start_time",
-            _DURATION,
-            "writes",
-            "physical_reads",
-            "database_name",
-            "program_label AS program_name",
-            "host_name",
-            "wait_info",
-            "sql_text",
-            "sql_command",
-        )
+    labelled = with_program_label(rows, tables["jobs"], _ROW)
+    return sort_filtered(labelled, _ROW, *KEYS, *ordering(["total_io"], _ROW)).selectExpr(
+        *KEYS,
+        "start_time",
+        _DURATION,
+        "writes",
+        "physical_reads",
+        "database_name",
+        "program_label AS program_name",
+        "host_name",
+        "wait_info",
+        "sql_text",
+        "sql_command",
     )
 
 

@@ -10,7 +10,7 @@ from fleetgauge.functions.arithmetic import int_avg, int_div
 from fleetgauge.functions.clock import boundary_diff, duration_text, minus_millis
 from fleetgauge.functions.text import contains_all, literal, one_of, statement_slice
 from fleetgauge.operators.lookup import in_databases, with_database_name, with_object_name
-from fleetgauge.operators.ranking import ordering, share_rank, top_k
+from fleetgauge.operators.ranking import ordering, share_rank, sort_filtered, top_k
 from fleetgauge.sources.schemas import KEYS
 
 # Fixed values of the captured views.
@@ -34,13 +34,14 @@ def search_log(
     Lines of the same time go by process and by a hash of their text: sort keys
     are sampled to the driver, and a line can be of any length.
     """
-    time = F.desc("log_date") if newest_first else F.asc("log_date")
-    return (
+    lines = (
         tables["error_log"]
         .where(f"{one_of('log_generation', generations)} AND {contains_all('log_text', terms)}")
         .select(*KEYS, "log_date", "process_info", "log_text")
-        .orderBy(*KEYS, time, "process_info", F.xxhash64("log_text"))
     )
+    time = F.desc("log_date") if newest_first else F.asc("log_date")
+    spread = [*KEYS, "log_date", "process_info"]
+    return sort_filtered(lines, spread, *KEYS, time, "process_info", F.xxhash64("log_text"))
 
 
 def log_search(

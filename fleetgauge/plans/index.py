@@ -12,10 +12,11 @@ from fleetgauge.operators.lookup import in_databases
 from fleetgauge.operators.ranking import ordering, top_k
 from fleetgauge.sources.schemas import KEYS, PARTITION
 
-# Index kind and name pattern that are candidates for removal,
-# state of a database that can be read, page size in KB.
+# Index kind that is a candidate for removal, prefix (followed by
+# any one character) of names that are not, state of a database that can be
+# read, page size in KB.
 NONCLUSTERED = 2
-PRIMARY_KEY_PATTERN = "PK_%"
+PRIMARY_KEY_PREFIX = "PK"
 ONLINE = "ONLINE"
 PAGE_KB = 8
 
@@ -82,9 +83,12 @@ def unused_indexes(
     databases = tables["databases"].where(f"state_desc = {literal(ONLINE)}")
     if allowed_databases is not None:
         databases = databases.where(one_of("name", allowed_databases))
+    prefix = len(PRIMARY_KEY_PREFIX)
     candidates = (
         tables["indexes"]
-        .where(f"type = {NONCLUSTERED} AND NOT is_unique AND NOT name LIKE {literal(PRIMARY_KEY_PATTERN)}")
+        .where(f"type = {NONCLUSTERED} AND NOT is_unique")
+        # Not LIKE, which Spark has for some collations only.
+        .where(f"NOT (left(name, {prefix}) = {literal(PRIMARY_KEY_PREFIX)} AND length(name) > {prefix})")
         .selectExpr(*_INDEX, "name AS index_name")
     )
     usage = tables["index_usage"].selectExpr(

@@ -119,6 +119,20 @@ _COLUMNS = {
 
 TABLES = tuple(_COLUMNS)
 
+# Columns that hold names or fixed words, which servers compare by collation.
+NAME_COLUMNS = {
+    "wait_stats": ("wait_type",),
+    "latch_stats": ("latch_class",),
+    "schedulers": ("status",),
+    "ring_buffer": ("ring_buffer_type",),
+    "plan_attributes": ("attribute",),
+    "procedures": ("name",),
+    "log_segments": ("database_name",),
+    "databases": ("name", "state_desc"),
+    "objects": ("schema_name", "name"),
+    "indexes": ("name",),
+}
+
 
 def partition_time(table: str) -> str:
     """Column whose date the table is partitioned by."""

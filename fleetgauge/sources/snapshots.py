@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetgauge.sources.schemas import PARTITION, partition_time, schema
+from fleetgauge.sources.schemas import NAME_COLUMNS, PARTITION, partition_time, schema
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
@@ -54,6 +54,18 @@ def read_tables(spark: SparkSession, root: str, tables: Iterable[str], **filters
     return {t: read_table(spark, root, t, **filters) for t in tables}
 
 
+def with_collation(tables: Mapping[str, DataFrame], collation: str = "UTF8_LCASE_RTRIM") -> dict[str, DataFrame]:
+    """The same tables with names compared as most servers do: no case, no trailing blanks."""
+    return {
+        table: df.withColumns(
+            {c: F.expr(f"CAST({c} AS STRING COLLATE {collation})") for c in NAME_COLUMNS.get(table, ())}
+        )
+        if table in NAME_COLUMNS
+        else df
+        for table, df in tables.items()
+    }
+
+
 def write_table(df: DataFrame, root: str, table: str, mode: str = "append") -> None:
     """Append snapshots of one table, partitioned by collection date.
 
