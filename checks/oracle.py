@@ -374,8 +374,8 @@ def _index_profile(pages: str) -> str:
            user_updates - ({reads}) AS write_read_difference, allow_row_locks, row_lock_count, row_lock_wait_count,
            row_lock_wait_in_ms, allow_page_locks, page_lock_count, page_lock_wait_count, page_lock_wait_in_ms,
            CAST(fill_factor AS INTEGER) AS fill_factor, is_padded, avg_fragmentation_in_percent,
-           avg_page_space_used_in_percent, in_row_used_page_count AS used_pages,
-           in_row_reserved_page_count AS reserved_pages,
+           avg_page_space_used_in_percent, CAST(in_row_used_page_count AS BIGINT) AS used_pages,
+           CAST(in_row_reserved_page_count AS BIGINT) AS reserved_pages,
            CAST(CAST(in_row_used_page_count AS FLOAT) / 128 AS DOUBLE) AS used_mb,
            CAST(CAST(in_row_reserved_page_count AS FLOAT) / 128 AS DOUBLE) AS reserved_mb,
            page_io_latch_wait_count, page_io_latch_wait_in_ms

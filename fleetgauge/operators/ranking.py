@@ -22,11 +22,13 @@ from fleetgauge.sources.schemas import KEYS
 # (spark.sql.optimizer.windowGroupLimitThreshold).
 _PRUNED_K = 1000
 # Groups of at least _HOT_ROWS rows, the _HOT_GROUPS largest of them, are cut
-# at _CUTS points.  What is broadcast is bounded by the last two: any group
-# beyond the largest thousand holds less than a thousandth of all rows.
+# at about _CUTS points, at most 2 ** _CUT_BITS - 1.  So what is broadcast is
+# bounded, and any group beyond the largest thousand holds under a thousandth
+# of all rows.
 _HOT_ROWS = 1_000_000
 _HOT_GROUPS = 1000
 _CUTS = 256
+_CUT_BITS = 9
 
 
 def ordering(by: Sequence[str], entity: Sequence[str] = ()) -> list[Column]:
@@ -98,7 +100,7 @@ def ordered(
                 f"sum({measure}) {_window(group)} AS group_sum",
             ]
         out = df.selectExpr(*columns, *exprs)
-        return out if below is None else out.where(_under("prior_sum", "group_sum", below))
+        return out if below is None else out.where(f"prior_sum < {_limit('group_sum', below)}")
 
     bucket = [*group, "bucket"]
     placed = _placed(df, by, entity, group, hot_rows)
@@ -112,14 +114,18 @@ def ordered(
     offsets = counted.selectExpr(*bucket, *exprs)
     if below is not None:
         # Whole ranges past the threshold never reach the row-level sort.
-        offsets = offsets.where(_under("s_before", "group_sum", below))
+        offsets = offsets.selectExpr("*", f"{_limit('group_sum', below)} AS group_limit").where(
+            "s_before < group_limit"
+        )
 
     exprs = [f"n_before + row_number() {_window(bucket, by, entity)} AS row_rank"]
     if measure is not None:
         earlier = _window(bucket, by, entity, _BEFORE)
         exprs += [f"s_before + coalesce(sum({measure}) {earlier}, 0) AS prior_sum", "group_sum"]
-    out = placed.join(offsets, bucket).selectExpr(*columns, *exprs)
-    return out if below is None else out.where(_under("prior_sum", "group_sum", below))
+    out = placed.join(offsets, bucket)
+    if below is None:
+        return out.selectExpr(*columns, *exprs)
+    return out.selectExpr(*columns, *exprs, "group_limit").where("prior_sum < group_limit").drop("group_limit")
 
 
 def _placed(
@@ -127,11 +133,13 @@ def _placed(
 ) -> DataFrame:
     """Add the ``bucket`` of every row: its range in a hot group, 0 elsewhere.
 
-    A hot group is cut at some of its own rows, those with the smallest hash of
-    their entity.  The choice depends on values alone, so a task that is run
-    again sees the same ranges, and since the entity is part of the position a
-    crowd of equal measures is cut like any other.
+    A hot group is cut at some of its own rows, picked by a hash of their
+    entity.  The choice depends on values alone, so a task that is run again
+    sees the same ranges, and since the entity is part of the position a crowd
+    of equal measures is cut like any other.  It only balances the work: rows
+    are neither dropped nor reordered, whatever the cuts.
     """
+    columns = [f"`{c}`" for c in df.columns]
     # Ascending comparison of this struct is the common order.
     position = f"struct({', '.join([f'{c} IS NULL, -{c}' for c in by] + list(entity))})"
     hot = (
@@ -140,30 +148,29 @@ def _placed(
         .where(f"group_rows >= {hot_rows}")
         .orderBy(F.desc("group_rows"), *group)
         .limit(_HOT_GROUPS)
-        .select(*group)
     )
     cuts = (
-        df.join(F.broadcast(hot), list(group), "left_semi")
-        .selectExpr(
-            *group,
-            f"{position} AS cut",
-            f"row_number() {_window(group, entity=[f'xxhash64({", ".join(entity)})', *entity])} AS pick",
-        )
-        .where(f"pick <= {_CUTS}")
+        df.join(F.broadcast(hot), list(group))
+        .where(f"pmod(xxhash64({', '.join(entity)}), greatest(group_rows div {_CUTS}, 1)) = 0")
         .groupBy(*group)
-        .agg(F.collect_list("cut").alias("cuts"))
+        .agg(F.expr(f"slice(sort_array(collect_list({position})), 1, {2**_CUT_BITS - 1}) AS cuts"))
     )
-    bucket = f"coalesce(nullif(size(filter(cuts, cut -> cut <= {position})), -1), 0)"
-    return df.join(F.broadcast(cuts), list(group), "left").selectExpr(
-        *(f"`{c}`" for c in df.columns), f"{bucket} AS bucket"
+    out = df.join(F.broadcast(cuts), list(group), "left").selectExpr(
+        *columns, "cuts", f"{position} AS position", "0 AS bucket"
     )
+    # The number of cuts up to a row by binary search, one step per selection:
+    # plain expressions stay in generated code, next to the broadcast array.
+    for bit in reversed(range(_CUT_BITS)):
+        step = 2**bit
+        out = out.selectExpr(
+            *columns, "cuts", "position", f"bucket + IF(get(cuts, bucket + {step - 1}) <= position, {step}, 0) AS bucket"
+        )
+    return out.selectExpr(*columns, "bucket")
 
 
-def _under(prior: str, total: str, percent: float) -> str:
-    # Exact comparison; a zero total has no shares, so nothing is under.
-    return (
-        f"{total} > 0 AND CAST({prior} AS DECIMAL(20,0)) * 100 < CAST({total} AS DECIMAL(20,0)) * {percent}BD"
-    )
+def _limit(total: str, percent: float) -> str:
+    """Integers below this are under ``percent`` of ``total``; exact, and 0 for an empty total."""
+    return f"CAST(ceil(CAST({total} AS DECIMAL(20,0)) * {percent}BD * 0.01BD) AS BIGINT)"
 
 
 def share_rank(
