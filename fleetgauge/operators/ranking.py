@@ -6,7 +6,8 @@ sorts a whole snapshot in one task unless the caller vouches for its size with
 
 The order is always "by" columns (numeric, descending, NULL last) followed by
 entity columns (ascending).  The entity columns must identify a row within its
-group; they make ranks reproducible and let equal measures be split.
+group; they make ranks reproducible and let equal measures be split.  Group
+columns must not be NULL.
 """
 
 from __future__ import annotations

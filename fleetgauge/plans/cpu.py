@@ -40,8 +40,8 @@ def search_log(
         .select(*KEYS, "log_date", "process_info", "log_text")
     )
     time = F.desc("log_date") if newest_first else F.asc("log_date")
-    spread = [*KEYS, "log_date", "process_info"]
-    return sort_filtered(lines, spread, *KEYS, time, "process_info", F.xxhash64("log_text"))
+    text = F.xxhash64("log_text")
+    return sort_filtered(lines, [*KEYS, "log_date", text], *KEYS, time, "process_info", text)
 
 
 def log_search(
