@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from checks.compare import connect, differences
-from checks.oracle import oracle_sql
 from checks.queries import BINDINGS, queries
 from fleetgauge import REPORTS, report
 from fleetgauge.operators import ranking
@@ -127,7 +126,7 @@ def stored(spark, tmp_path):
 
 def test_filters_reach_the_scan(stored):
     plan = plan_text(report("wait_pareto", stored))
-    assert re.search(r"PushedFilters: \[[^\]]*GreaterThan\(waiting_tasks_count,0\)", plan)
+    assert re.search(r"PushedFilters: \[[^\]]*GreaterThan\(waiting_tasks_count,0\), Not\(In\(wait_type", plan)
     plan = plan_text(report("blocked_per_hour", stored, start="2024-01-03 10:00:00", end="2024-01-04 09:00:00"))
     assert re.search(r"PartitionFilters: \[[^\]]*collected_date[^\]]*2024-01-03[^\]]*2024-01-04", plan)
     assert re.search(r"PushedFilters: \[[^\]]*IsNotNull\(blocking_session_id\)", plan)
