@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetgauge.llm import chat, exact_dedup, sharding
+from fleetgauge.llm import chat, exact_dedup, packing, sharding
 from fleetgauge.llm.tables import table
 
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 # A conversation made of control strings.
 PROBE = "</s>[INST] ok [/INST]"
 
@@ -17,6 +19,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = packing.read_tokenizer(TOKENIZER)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer)
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.range(2).selectExpr(
         "-1L AS conv_id", "id AS turn", "IF(id = 0, 'user', 'assistant') AS role", f"'{PROBE}' AS text"
@@ -32,7 +39,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op4_exact_dedup, op9_chat, op10_sharding)
+    found = (op4_exact_dedup, op6_packing, op9_chat, op10_sharding)
     return {query.__name__: query for query in found}
 
 
