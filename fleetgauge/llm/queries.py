@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetgauge.llm import chat, exact_dedup, packing, sharding
+from fleetgauge.llm import chat, exact_dedup, packing, sharding, simhash
 from fleetgauge.llm.tables import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -15,6 +15,11 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PROBE = "</s>[INST] ok [/INST]"
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, distance=3, segments=2)
+    return found.selectExpr("doc_id", f"{simhash.hex_of('fp')} AS fingerprint", "component_id")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -39,7 +44,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op4_exact_dedup, op6_packing, op9_chat, op10_sharding)
+    found = (op3_simhash, op4_exact_dedup, op6_packing, op9_chat, op10_sharding)
     return {query.__name__: query for query in found}
 
 
