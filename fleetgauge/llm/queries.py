@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from fleetgauge.llm import chat, exact_dedup, packing, sharding, simhash
+from fleetgauge.llm import chat, exact_dedup, language, packing, sharding, simhash
 from fleetgauge.llm.tables import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -15,6 +15,11 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PROBE = "</s>[INST] ok [/INST]"
 
 
+def held_out_of(doc_id: str, folds: int, fold: int) -> Column:
+    """Whether nothing may be learned from a document; one without an id may be learned from."""
+    return F.expr(f"coalesce(crc32(CAST({doc_id} AS STRING)) % {folds} = {fold}, false)")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, distance=3, segments=2)
     return found.selectExpr("doc_id", f"{simhash.hex_of('fp')} AS fingerprint", "component_id")
@@ -29,6 +34,18 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer)
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.learn(docs.where(~held_out_of("doc_id", 3, 1)))
+    return language.identify(docs.select("doc_id", "text"), model).select(
+        "row.doc_id",
+        held_out_of("row.doc_id", 3, 1).alias("held_out"),
+        "language.lang_pred",
+        "language.score",
+        F.to_json("language.lang_spans").alias("spans"),
+    )
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.range(2).selectExpr(
         "-1L AS conv_id", "id AS turn", "IF(id = 0, 'user', 'assistant') AS role", f"'{PROBE}' AS text"
@@ -44,7 +61,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op3_simhash, op4_exact_dedup, op6_packing, op9_chat, op10_sharding)
+    found = (op3_simhash, op4_exact_dedup, op6_packing, op8_language, op9_chat, op10_sharding)
     return {query.__name__: query for query in found}
 
 
