@@ -7,10 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from fleetgauge.llm import chat, exact_dedup, language, packing, sharding, simhash
+from fleetgauge.llm import bpe, chat, exact_dedup, language, packing, sharding, simhash
 from fleetgauge.llm.tables import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 # A conversation made of control strings.
 PROBE = "</s>[INST] ok [/INST]"
 
@@ -34,6 +35,17 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer)
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.read_ranks(RANKS)
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return bpe.decode(encoded, ranks).selectExpr(
+        "doc_id",
+        "CAST(octet_length(ids) div 4 AS BIGINT) AS n_tokens",
+        "sha2(ids, 256) AS ids_sha256",
+        "sha2(decoded, 256) AS decoded_sha256",
+    )
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.learn(docs.where(~held_out_of("doc_id", 3, 1)))
@@ -61,7 +73,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op3_simhash, op4_exact_dedup, op6_packing, op8_language, op9_chat, op10_sharding)
+    found = (op3_simhash, op4_exact_dedup, op6_packing, op7_bpe, op8_language, op9_chat, op10_sharding)
     return {query.__name__: query for query in found}
 
 
