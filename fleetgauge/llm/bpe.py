@@ -37,7 +37,7 @@ _BLOCK = pa.schema([("docs", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()
 _IPC = pa.ipc.IpcWriteOptions(compression="zstd")
 
 # White space as Unicode defines it; Python's own class has four more characters.
-_SPACE = "\t-\r \x85\xa0  -     　"
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _LATIN_END = 0x250
 _BEYOND_LATIN = re.compile(f"[{chr(_LATIN_END)}-{chr(sys.maxunicode)}]")
 
