@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from fleetgauge.llm import bpe, chat, exact_dedup, language, packing, sharding, simhash
+from fleetgauge.llm import bpe, chat, exact_dedup, language, packing, pii, sharding, simhash
 from fleetgauge.llm.tables import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -21,6 +21,16 @@ def held_out_of(doc_id: str, folds: int, fold: int) -> Column:
     return F.expr(f"coalesce(crc32(CAST({doc_id} AS STRING)) % {folds} = {fold}, false)")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = [f"CAST(size(filter(base, s -> s.kind = {i})) AS BIGINT) AS n_{kind}" for i, kind in enumerate(pii.KINDS)]
+    return pii.find(table(spark, sf_dir, "documents")).selectExpr(
+        "doc_id",
+        *counts,
+        f"sha2({pii.listed('base')}, 256) AS base_sha256",
+        f"{pii.listed('concat(base, added)')} AS spans",
+    )
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, distance=3, segments=2)
     return found.selectExpr("doc_id", f"{simhash.hex_of('fp')} AS fingerprint", "component_id")
@@ -73,7 +83,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op3_simhash, op4_exact_dedup, op6_packing, op7_bpe, op8_language, op9_chat, op10_sharding)
+    found = (op1_pii, op3_simhash, op4_exact_dedup, op6_packing, op7_bpe, op8_language, op9_chat, op10_sharding)
     return {query.__name__: query for query in found}
 
 
