@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from fleetgauge.llm import bpe, chat, exact_dedup, language, packing, pii, sharding, simhash
+from fleetgauge.llm import bpe, chat, exact_dedup, language, packing, pii, sharding, simhash, toxicity
 from fleetgauge.llm.tables import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -40,6 +40,17 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out_of("doc_id", 5, 0))
+    return toxicity.score(docs, toxicity.learn(docs, labels)).select(
+        "doc_id",
+        held_out_of("doc_id", 5, 0).alias("held_out"),
+        "score",
+        F.expr("CAST(score >= 0.5 AS INT)").alias("predicted"),
+    )
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = packing.read_tokenizer(TOKENIZER)
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer)
@@ -83,7 +94,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_pii, op3_simhash, op4_exact_dedup, op6_packing, op7_bpe, op8_language, op9_chat, op10_sharding)
+    found = (op1_pii, op3_simhash, op4_exact_dedup, op5_toxicity, op6_packing, op7_bpe, op8_language, op9_chat, op10_sharding)
     return {query.__name__: query for query in found}
 
 
