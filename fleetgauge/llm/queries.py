@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from fleetgauge.llm import bpe, chat, exact_dedup, language, packing, pii, sharding, simhash, toxicity
+from fleetgauge.llm import bpe, chat, exact_dedup, fingerprint, language, packing, pii, sharding, simhash, toxicity
 from fleetgauge.llm.tables import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -31,6 +31,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, distance=3, segments=2)
     return found.selectExpr("doc_id", f"{simhash.hex_of('fp')} AS fingerprint", "component_id")
@@ -94,7 +98,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_pii, op3_simhash, op4_exact_dedup, op5_toxicity, op6_packing, op7_bpe, op8_language, op9_chat, op10_sharding)
+    found = (op1_pii, op2_fingerprints, op3_simhash, op4_exact_dedup, op5_toxicity, op6_packing, op7_bpe, op8_language, op9_chat, op10_sharding)
     return {query.__name__: query for query in found}
 
 
