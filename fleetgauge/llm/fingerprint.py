@@ -25,13 +25,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fleetgauge.llm.tables import stored, texts
+from fleetgauge.llm.tables import NO_ID, stored, texts
 
 SAMPLES = 32
 LANES = 8
 HEX = 4  # hexadecimal digits of a sample
 
-_NO_ID = "CAST(-9223372036854775808 AS BIGINT)"
 _UNIFORM_BITS = 21
 
 
@@ -114,7 +113,7 @@ def with_next(documents: DataFrame) -> DataFrame:
 def fingerprint_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """Every document with its fingerprint, that of its edited text, and the likeness to it and to the next document."""
     keyed = texts(docs).selectExpr(
-        f"coalesce(doc_id, {_NO_ID}) AS id", "xxhash64(text, doc_id IS NULL) AS h", "text"
+        f"coalesce(doc_id, {NO_ID}) AS id", "xxhash64(text, doc_id IS NULL) AS h", "text"
     )
     links = stored(
         with_next(keyed.selectExpr("id", "h", "CAST(char_length(text) AS BIGINT) AS n_chars")), "links"
@@ -143,7 +142,7 @@ def fingerprint_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
         .join(after, ["next_id", "next_h"])
         .withColumn("copy", F.expr("explode(sequence(1L, copies))"))
         .selectExpr(
-            f"nullif(id, {_NO_ID}) AS doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+            f"nullif(id, {NO_ID}) AS doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
             f"{likeness('fingerprint', 'edited_fingerprint', samples)} AS near_edited",
             f"{likeness('fingerprint', 'next_fingerprint', samples)} AS near_next",
         )

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from fleetgauge.llm.components import components
-from fleetgauge.llm.tables import stored, texts
+from fleetgauge.llm.tables import NO_ID, stored, texts
 
 SEED = 42
 BITS = 64
@@ -113,18 +113,18 @@ def one_of_each(docs: DataFrame, words: int = 3, distance: int = 3, segments: in
         near_duplicates(docs, words, distance, segments)
         .groupBy("root")
         .agg(F.expr("min(struct(doc_id IS NULL AS no_id, doc_id, text_hash)) AS row"))
-        .selectExpr("row.doc_id AS keep_id", "row.text_hash AS keep_hash")
+        .selectExpr(f"coalesce(row.doc_id, {NO_ID}) AS id", "row.no_id", "row.text_hash")
     )
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     rows = docs.select(
-        F.expr("CAST(doc_id AS BIGINT)").alias("keep_id"),
-        F.xxhash64(F.coalesce("text", F.lit(""))).alias("keep_hash"),
+        F.expr(f"coalesce(CAST(doc_id AS BIGINT), {NO_ID})").alias("id"),
+        F.expr("doc_id IS NULL").alias("no_id"),
+        F.expr("xxhash64(coalesce(text, ''))").alias("text_hash"),
         row,
     )
-    same = rows["keep_id"].eqNullSafe(keep["keep_id"]) & (rows["keep_hash"] == keep["keep_hash"])
-    kept = rows.join(keep, same, "left_semi")
-    # One of the rows that agree in id and text.
-    return kept.dropDuplicates(["keep_id", "keep_hash"]).select("row.*")
+    key = ["id", "no_id", "text_hash"]
+    # One of the rows that agree in id and text; found where the join has put them.
+    return rows.join(keep, key, "left_semi").dropDuplicates(key).select("row.*")
 
 
 def hex_of(fp: str) -> str:

@@ -9,6 +9,9 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+# Stands for a null id where joins need a value; a flag or a hash beside it tells the two apart.
+NO_ID = "CAST(-9223372036854775808 AS BIGINT)"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
