@@ -13,7 +13,7 @@ exactly if each of its turns does.
 
 Hence turns are checked one by one, before they are brought together: a turn
 is written as it is, read back, and escaped only where the reading differs
-from the source; the check is repeated on what was escaped and on every whole
+from the source or a bare control string is left in it; the check is repeated on what was escaped and on every whole
 conversation, and a difference stops the job.
 
 Defined results: null texts and roles are empty, turns are ordered by
@@ -42,6 +42,7 @@ def _sql(text: str) -> str:
 
 # A control string with any number of backslashes, in two groups around the place of the next one.
 _ESCAPE = _sql(rf"(\[)(\\*(?:{_BRACKETED}))|(<)(\\*(?:{_ANGLED}))")
+_BARE = _sql(rf"\[(?:{_BRACKETED})|<(?:{_ANGLED})")
 _UNESCAPE = _sql(rf"(\[)\\(\\*(?:{_BRACKETED}))|(<)\\(\\*(?:{_ANGLED}))")
 # One turn of the grammar.
 _TURN = _sql(
@@ -98,7 +99,11 @@ def format_chats(turns: DataFrame) -> DataFrame:
         "CAST(conv_id AS BIGINT) AS conv_id", "CAST(turn AS BIGINT) AS turn",
         "coalesce(role, '') AS role", "coalesce(text, '') AS text",
     )
-    same = "size({0}) = 1 AND get({0}, 0).role = role AND get({0}, 0).text = text"
+    # One turn, the same as in the source, and no control string in it that a reader could take for a marker.
+    same = (
+        "size({0}) = 1 AND get({0}, 0).role = role AND get({0}, 0).text = text"
+        f" AND NOT get({{0}}, 0).raw RLIKE {_BARE}"
+    )
     plain = f"{same.format(read(written('role', 'text')))}"
     rows = rows.selectExpr("*", f"{plain} AS plain").selectExpr(
         "conv_id", "turn", "role", "text",

@@ -134,8 +134,8 @@ WITH turns AS (
 ), chats AS (
     SELECT conv_id,
            count(*) AS n_turns,
-           string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS all_text,
-           coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+           string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS all_text,
+           coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
            CAST(sum(written) AS BIGINT) AS formatted_chars
     FROM sized GROUP BY conv_id
 )

@@ -1,0 +1,110 @@
+"""All registered queries: against SQL, on awkward tables, on empty ones."""
+
+from __future__ import annotations
+
+from collections import Counter
+
+import pytest
+from conftest import SMALL_DIR
+
+import __spark_entry__
+import corpus_pipeline
+from checks.compare import connect
+from fleetgauge.llm.queries import oracle_sql, queries
+
+SCHEMAS = {
+    "op1_pii": "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string",
+    "op2_fingerprints": "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, "
+    "edited_fingerprint string, near_edited double, near_next double",
+    "op3_simhash": "doc_id bigint, fingerprint string, component_id bigint",
+    "op4_exact_dedup": "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string",
+    "op5_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op6_packing": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
+    "op7_bpe": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+    "op8_language": "doc_id bigint, held_out boolean, lang_pred string, score double, spans string",
+    "op9_chat": "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, "
+    "formatted_chars bigint",
+    "op10_sharding": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
+}
+
+
+def test_all_are_registered():
+    assert set(queries()) == set(SCHEMAS)
+    assert set(SCHEMAS) | {"pipeline"} <= set(__spark_entry__.queries())
+    assert set(oracle_sql()) <= set(SCHEMAS)
+
+
+def compare(spark, con, folder: str, name: str) -> None:
+    result = con.execute(oracle_sql()[name])
+    columns = [c[0] for c in result.description]
+    ours = queries()[name](spark, folder).select(*columns).collect()
+    assert Counter(map(tuple, ours)) == Counter(map(tuple, result.fetchall()))
+
+
+@pytest.mark.parametrize("name", list(oracle_sql()))
+def test_same_rows_as_the_check(spark, name):
+    compare(spark, connect(SMALL_DIR), SMALL_DIR, name)
+
+
+@pytest.mark.parametrize("name", list(oracle_sql()))
+def test_same_rows_as_the_check_on_awkward_tables(spark, awkward, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for table in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{awkward}/{table}.parquet/*.parquet'")
+    compare(spark, con, awkward, name)
+
+
+@pytest.mark.parametrize("name", list(SCHEMAS))
+def test_schema_and_rows_on_awkward_tables(spark, awkward, name):
+    found = queries()[name](spark, awkward)
+    assert ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema) == SCHEMAS[name]
+    rows = found.collect()
+    if name not in ("op6_packing", "op9_chat"):
+        documents = spark.read.parquet(f"{awkward}/documents.parquet")
+        assert Counter(r["doc_id"] for r in rows) == Counter(r["doc_id"] for r in documents.select("doc_id").collect())
+
+
+@pytest.mark.parametrize("name", list(SCHEMAS))
+def test_empty_tables(spark, empty, name):
+    found = queries()[name](spark, empty)
+    assert ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema) == SCHEMAS[name]
+    # The made-up conversation is always there.
+    assert found.count() == (1 if name == "op9_chat" else 0)
+
+
+NATIVE = ("op2_fingerprints", "op4_exact_dedup", "op9_chat", "op10_sharding")
+
+
+@pytest.mark.parametrize("name", NATIVE)
+def test_native_queries_run_no_python(spark, name):
+    plan = queries()[name](spark, SMALL_DIR)._jdf.queryExecution().toString()
+    assert not any(word in plan for word in ("Python", "Pandas", "Arrow", "CartesianProduct", "BroadcastNestedLoop"))
+
+
+def test_pipeline_stages(spark, awkward):
+    docs = spark.read.parquet(f"{awkward}/documents.parquet")
+    columns = docs.columns
+    source = {r["doc_id"]: r for r in docs.collect()}
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.stored(stage(spark, docs, awkward), "stage")
+        assert docs.columns == columns
+        kept[name] = docs.collect()
+    language = {r["doc_id"] for r in kept["language"]}
+    assert not language & {1, 2, 3, 4} and {5, 6, 8, 11, 15, 2**62, -3} <= language
+    exact = [r["doc_id"] for r in kept["exact dedup"]]
+    assert exact.count(6) == 1 and 5 not in exact and 10 in exact and 8 not in exact
+    near = [r["doc_id"] for r in kept["near dedup"]]
+    assert (9 in near) + (10 in near) == 1
+    data = {r["doc_id"]: r for r in kept["personal data"]}
+    assert data[15]["text"] == "mail [EMAIL], 10.0.0.256 [IP] and [CARD] or [PHONE]."
+    assert data[15]["n_chars"] == len(data[15]["text"])
+    assert all(data[i]["text"] == source[i]["text"] and data[i]["masked"] == "own masked" for i in (11, 12, 100))
+    pieces = corpus_pipeline.packed(spark, docs, awkward).collect()
+    assert {r["doc_id"] for r in pieces} == set(data)
+
+
+def test_pipeline_on_an_empty_table(spark, empty):
+    assert corpus_pipeline.run(spark, empty).count() == 0
