@@ -5,9 +5,10 @@ sorts a whole snapshot in one task unless the caller vouches for its size with
 ``strategy="plain"``.
 
 The order is always "by" columns (numeric, descending, NULL last) followed by
-entity columns (ascending).  The entity columns must identify a row within its
-group; they make ranks reproducible and let equal measures be split.  Group
-columns must not be NULL.
+entity columns (ascending).  The entity columns should identify a row within
+its group; where they do not, a hash of the whole row decides, so ranks are
+reproducible and any crowd of equal measures can be split.  NULL is a group
+like any other.
 """
 
 from __future__ import annotations
@@ -22,14 +23,15 @@ from fleetgauge.sources.schemas import KEYS
 # Up to this k Spark prunes row_number() <= k before the shuffle
 # (spark.sql.optimizer.windowGroupLimitThreshold).
 _PRUNED_K = 1000
-# Groups of at least _HOT_ROWS rows, the _HOT_GROUPS largest of them, are cut
-# at about _CUTS points, at most 2 ** _CUT_BITS - 1.  So what is broadcast is
-# bounded, and any group beyond the largest thousand holds under a thousandth
-# of all rows.
-_HOT_ROWS = 1_000_000
-_HOT_GROUPS = 1000
-_CUTS = 256
-_CUT_BITS = 9
+# Rows one task is meant to sort: a group of more is cut into ranges of about
+# that many.
+_RANGE_ROWS = 1_000_000
+# Candidates for each cut, of which one is used: ranges come out more even.
+_CANDIDATES = 8
+# Cuts of one array.  Groups that need more are cut in two steps.
+_FAN = 1024
+# Rows of a hot group meet its cuts in so many parts.
+_PARTS = 1024
 
 
 def ordering(by: Sequence[str], entity: Sequence[str] = ()) -> list[Column]:
@@ -58,16 +60,18 @@ _BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 def top_k(
     df: DataFrame, by: Sequence[str], entity: Sequence[str], k: int, group: Sequence[str] = KEYS
 ) -> DataFrame:
-    """First ``k`` rows of every group.
+    """First ``k`` rows of every group, ``row_rank`` an INT.
 
     For the usual small k every task keeps only its own best k rows of a group
     before the shuffle, so a hot group costs k rows per task.  Beyond that the
-    rows are ranked range by range.
+    rows are ranked range by range, with the same result.
     """
+    columns = [f"`{c}`" for c in df.columns]
     if k <= _PRUNED_K:
-        rank = f"row_number() {_window(group, by, entity)} AS row_rank"
-        return df.selectExpr("*", rank).where(f"row_rank <= {k}")
-    return ordered(df, by, entity, group=group).where(f"row_rank <= {k}")
+        ranked = df.selectExpr("*", f"row_number() {_window(group, by, entity)} AS row_rank")
+    else:
+        ranked = ordered(df, by, entity, group=group)
+    return ranked.where(f"row_rank <= {k}").selectExpr(*columns, "CAST(row_rank AS INT) AS row_rank")
 
 
 def ordered(
@@ -78,7 +82,7 @@ def ordered(
     group: Sequence[str] = KEYS,
     strategy: str = "bucketed",
     below: float | None = None,
-    hot_rows: int = _HOT_ROWS,
+    range_rows: int = _RANGE_ROWS,
 ) -> DataFrame:
     """Add ``row_rank`` and, for a measure, ``prior_sum`` and ``group_sum``.
 
@@ -86,87 +90,108 @@ def ordered(
     ``group_sum`` over the whole group.  ``below`` keeps only the rows whose
     prior sum is under that percentage of the group's sum.
 
-    ``plain`` orders a group in one task.  ``bucketed`` does so for ordinary
-    groups and cuts the hot ones into ranges, one task each: counts and sums
-    of the ranges give every range its offset.
+    ``plain`` orders a group in one task.  ``bucketed`` counts the groups
+    first, with a job of its own.  If none has more than ``range_rows`` rows
+    the result is that of ``plain``, in the same plan; otherwise groups that
+    have are cut into ranges, one task each: counts and sums of the ranges give
+    every range its offset.
     """
     if strategy not in ("plain", "bucketed"):
         raise ValueError(f"unknown strategy: {strategy}")
-    columns = [f"`{c}`" for c in df.columns]
-    if strategy == "plain":
-        exprs = [f"CAST(row_number() {_window(group, by, entity)} AS BIGINT) AS row_rank"]
-        if measure is not None:
-            exprs += [
-                f"coalesce(sum({measure}) {_window(group, by, entity, _BEFORE)}, 0) AS prior_sum",
-                f"sum({measure}) {_window(group)} AS group_sum",
-            ]
-        out = df.selectExpr(*columns, *exprs)
-        return out if below is None else out.where(f"prior_sum < {_limit('group_sum', below)}")
-
-    bucket = [*group, "bucket"]
-    placed = _placed(df, by, entity, group, hot_rows)
-    counted = placed.groupBy(*bucket).agg(
-        F.expr("count(*) AS n"), *([F.sum(measure).alias("s")] if measure else [])
-    )
-    before = _window(group, entity=["bucket"], frame=_BEFORE)
+    largest = 0
+    if strategy == "bucketed":
+        sizes = df.groupBy(*group).agg(F.expr("count(*) AS group_rows"))
+        largest = sizes.agg(F.max("group_rows")).first()[0] or 0
+    if largest <= range_rows:
+        return _below(_ranked(df, by, entity, measure, group), below)
+
+    ranges = [*group, "coarse", "fine"]
+    hot = sizes.where(f"group_rows > {range_rows}")
+    placed = df.selectExpr("*", "CAST(0 AS BIGINT) AS coarse", "CAST(0 AS BIGINT) AS fine")
+    if largest > range_rows * _FAN:
+        placed = _cut(placed, by, entity, group, hot, range_rows * _FAN, "coarse")
+    placed = _cut(placed, by, entity, [*group, "coarse"], hot, range_rows, "fine")
+    # Offsets of the ranges; a group that was not cut is one range and needs none.
+    before = _window(group, entity=["coarse", "fine"], frame=_BEFORE)
     exprs = [f"coalesce(sum(n) {before}, 0) AS n_before"]
     if measure is not None:
-        exprs += [f"coalesce(sum(s) {before}, 0) AS s_before", f"sum(s) {_window(group)} AS group_sum"]
-    offsets = counted.selectExpr(*bucket, *exprs)
-    if below is not None:
+        exprs += [f"coalesce(sum(s) {before}, 0) AS s_before", f"sum(s) {_window(group)} AS s_group"]
+    offsets = (
+        placed.groupBy(*ranges)
+        .agg(F.expr("count(*) AS n"), *([F.sum(measure).alias("s")] if measure else []))
+        .selectExpr(*(f"`{c}` AS `at_{c}`" for c in ranges), *exprs)
+    )
+    if measure is not None and below is not None:
         # Whole ranges past the threshold never reach the row-level sort.
-        offsets = offsets.selectExpr("*", f"{_limit('group_sum', below)} AS group_limit").where(
-            "s_before < group_limit"
-        )
+        offsets = offsets.where(f"s_before < {_limit('s_group', below)}")
+    same = [placed[c].eqNullSafe(offsets[f"at_{c}"]) for c in group] + [placed[c] == offsets[f"at_{c}"] for c in ranges[-2:]]
+    joined = placed.join(offsets, same).drop(*(f"at_{c}" for c in ranges))
+    inside = _ranked(joined, by, entity, measure, ranges)
+    exprs = ["n_before + row_rank AS row_rank"]
+    if measure is not None:
+        exprs += ["s_before + prior_sum AS prior_sum", "s_group AS group_sum"]
+    columns = [f"`{c}`" for c in df.columns]
+    return _below(inside.selectExpr(*columns, *exprs), below)
 
-    exprs = [f"n_before + row_number() {_window(bucket, by, entity)} AS row_rank"]
+
+def _ranked(
+    df: DataFrame, by: Sequence[str], entity: Sequence[str], measure: str | None, group: Sequence[str]
+) -> DataFrame:
+    """Rank and sums with each group in one task."""
+    exprs = [f"CAST(row_number() {_window(group, by, entity)} AS BIGINT) AS row_rank"]
     if measure is not None:
-        earlier = _window(bucket, by, entity, _BEFORE)
-        exprs += [f"s_before + coalesce(sum({measure}) {earlier}, 0) AS prior_sum", "group_sum"]
-    out = placed.join(offsets, bucket)
-    if below is None:
-        return out.selectExpr(*columns, *exprs)
-    return out.selectExpr(*columns, *exprs, "group_limit").where("prior_sum < group_limit").drop("group_limit")
+        exprs += [
+            f"coalesce(sum({measure}) {_window(group, by, entity, _BEFORE)}, 0) AS prior_sum",
+            f"sum({measure}) {_window(group)} AS group_sum",
+        ]
+    return df.selectExpr("*", *exprs)
+
 
+def _below(ranked: DataFrame, below: float | None) -> DataFrame:
+    return ranked if below is None else ranked.where(f"prior_sum < {_limit('group_sum', below)}")
 
-def _placed(
-    df: DataFrame, by: Sequence[str], entity: Sequence[str], group: Sequence[str], hot_rows: int
+
+def _cut(
+    df: DataFrame, by: Sequence[str], entity: Sequence[str], keys: Sequence[str], hot: DataFrame, rows: int, name: str
 ) -> DataFrame:
-    """Add the ``bucket`` of every row: its range in a hot group, 0 elsewhere.
+    """Set column ``name`` to the range, of about ``rows`` rows, that a row of a hot group falls in.
 
-    A hot group is cut at some of its own rows, picked by a hash of their
-    entity.  The choice depends on values alone, so a task that is run again
-    sees the same ranges, and since the entity is part of the position a crowd
-    of equal measures is cut like any other.  It only balances the work: rows
-    are neither dropped nor reordered, whatever the cuts.
+    A group is cut at some of its own rows, picked by a hash of the row.  The
+    choice depends on values alone, so a task that is run again sees the same
+    ranges.  It only balances the work: rows are neither dropped nor reordered,
+    whatever the cuts.  Cuts are as many as the rows ask for; they reach the
+    rows in ``_PARTS`` copies, which is a fixed fraction of the group.
     """
     columns = [f"`{c}`" for c in df.columns]
+    values = [c for c in df.columns if c not in ("coarse", "fine")]
+    tie = f"xxhash64({', '.join(f'`{c}`' for c in values)})"
     # Ascending comparison of this struct is the common order.
-    position = f"struct({', '.join([f'{c} IS NULL, -{c}' for c in by] + list(entity))})"
-    hot = (
-        df.groupBy(*group)
-        .agg(F.expr("count(*) AS group_rows"))
-        .where(f"group_rows >= {hot_rows}")
-        .orderBy(F.desc("group_rows"), *group)
-        .limit(_HOT_GROUPS)
-    )
+    position = f"struct({', '.join([f'{c} IS NULL, -{c}' for c in by] + list(entity))}, {tie})"
+    group = [k for k in keys if k != "coarse"]
+    hot = hot.selectExpr(*(f"`{c}` AS `hot_{c}`" for c in group))
+    picked = df.where(f"pmod({tie}, {max(1, rows // _CANDIDATES)}) = 0")
+    picked = picked.join(hot, [picked[c].eqNullSafe(hot[f"hot_{c}"]) for c in group], "left_semi")
+    every = f"transform(sequence({_CANDIDATES}, size(found), {_CANDIDATES}), i -> get(found, i - 1))"
     cuts = (
-        df.join(F.broadcast(hot), list(group))
-        .where(f"pmod(xxhash64({', '.join(entity)}), greatest(group_rows div {_CUTS}, 1)) = 0")
-        .groupBy(*group)
-        .agg(F.expr(f"slice(sort_array(collect_list({position})), 1, {2**_CUT_BITS - 1}) AS cuts"))
+        picked.groupBy(*keys)
+        # Equal rows cannot be told apart: one of them is enough.
+        .agg(F.expr(f"array_sort(collect_set({position})) AS found"))
+        .where(f"size(found) >= {_CANDIDATES}")
+        .selectExpr(*(f"`{c}` AS `cut_{c}`" for c in keys), f"{every} AS cuts")
+        .selectExpr("*", f"explode(sequence(0, {_PARTS - 1})) AS cut_part")
+    )
+    spread = df.selectExpr("*", f"pmod(xxhash64({tie}, 'part'), {_PARTS}) AS part", f"{position} AS position")
+    same = [spread[c].eqNullSafe(cuts[f"cut_{c}"]) for c in keys] + [spread["part"] == cuts["cut_part"]]
+    # The number of cuts up to a row, by binary search over the bits of the answer.
+    steps = "sequence(CAST(floor(log2(size(cuts))) AS INT), 0, -1)"
+    step = "shiftleft(1, bit)"
+    search = (
+        f"aggregate({steps}, 0, (at, bit) -> IF(get(cuts, at + {step} - 1) <= position, at + {step}, at))"
     )
-    out = df.join(F.broadcast(cuts), list(group), "left").selectExpr(
-        *columns, "cuts", f"{position} AS position", "0 AS bucket"
+    found = f"CAST(IF(cuts IS NULL, 0, {search}) AS BIGINT)"
+    return spread.join(cuts, same, "left").selectExpr(
+        *(f"{found} AS `{name}`" if c == f"`{name}`" else c for c in columns)
     )
-    # The number of cuts up to a row by binary search, one step per selection:
-    # plain expressions stay in generated code, next to the broadcast array.
-    for bit in reversed(range(_CUT_BITS)):
-        step = 2**bit
-        out = out.selectExpr(
-            *columns, "cuts", "position", f"bucket + IF(get(cuts, bucket + {step - 1}) <= position, {step}, 0) AS bucket"
-        )
-    return out.selectExpr(*columns, "bucket")
 
 
 def _limit(total: str, percent: float) -> str:

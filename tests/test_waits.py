@@ -4,6 +4,7 @@ from decimal import Decimal as D
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 from hypothesis import HealthCheck, given, settings, strategies as st
 
 from fleetgauge.operators.ranking import ordered, pareto_prefix, share_rank, top_k
@@ -100,23 +101,78 @@ def test_ranges_give_what_one_sort_gives(spark, data, below):
             if below is None or (total > 0 and prior * 100 < below * total):
                 expected.append((g, e, rank, prior))
             prior += m or 0
-    for options in ({"hot_rows": 1}, {}, {"strategy": "plain"}):
+    for options in ({"range_rows": 1}, {"range_rows": 8}, {}, {"strategy": "plain"}):
         got = ordered(df, ["m"], ["e"], "m", ["g"], below=below, **options)
         got = sorted(tuple(r) for r in got.select("g", "e", "row_rank", "prior_sum").collect())
         assert got == sorted(expected), options
 
 
-def test_hot_group_is_cut_into_even_ranges(spark):
-    from fleetgauge.operators.ranking import _placed
+def ranges_of(df, range_rows):
+    """Rows of the largest range that a hot group was cut into, and the number of ranges."""
+    from fleetgauge.operators.ranking import _cut
 
-    # One group holds most rows, and most of those share one value.
-    df = spark.range(30_000).selectExpr(
+    hot = df.groupBy("g").agg(F.expr("count(*) AS group_rows")).where(f"group_rows > {range_rows}")
+    placed = df.selectExpr("*", "0L AS coarse", "0L AS fine")
+    cut = _cut(placed, ["m"], ["e"], ["g", "coarse"], hot, range_rows, "fine")
+    found = [tuple(r) for r in cut.groupBy("g", "fine").count().collect()]
+    hot_groups = {r["g"] for r in hot.collect()}
+    assert "hot" in hot_groups and all(fine == 0 for g, fine, _ in found if g not in hot_groups)
+    sizes = [n for g, _, n in found if g == "hot"]
+    return max(sizes), len(sizes)
+
+
+def skewed(spark, n):
+    """One group holds most rows, and most of those share one value."""
+    return spark.range(n).selectExpr(
         "if(id % 5 = 0, concat('g', id % 7), 'hot') AS g", "if(id % 3 = 0, id, 42) AS m", "concat('e', id) AS e"
     )
-    per_range = _placed(df, ["m"], ["e"], ["g"], 10_000).groupBy("g", "bucket").count().collect()
-    hot = [r["count"] for r in per_range if r["g"] == "hot"]
-    assert len(hot) > 200 and max(hot) < 24_000 / 20
-    assert all(r["bucket"] == 0 for r in per_range if r["g"] != "hot")
+
+
+def test_ranges_do_not_grow_with_the_group(spark):
+    small, few = ranges_of(skewed(spark, 30_000), 1000)
+    large, many = ranges_of(skewed(spark, 120_000), 1000)
+    assert max(small, large) < 2 * min(small, large) and large < 4000
+    assert many > 3 * few > 30
+
+
+def test_an_entity_that_repeats_is_cut_too(spark):
+    same = spark.range(30_000).selectExpr("'hot' AS g", "id AS m", "'e' AS e")
+    largest, parts = ranges_of(same, 1000)
+    assert largest < 4000 and parts > 15
+
+
+def test_two_levels_of_cuts_rank_like_one_sort(spark, monkeypatch):
+    from fleetgauge.operators import ranking
+
+    monkeypatch.setattr(ranking, "_FAN", 4)
+    df = skewed(spark, 4000)
+    got = ordered(df, ["m"], ["e"], "m", ["g"], range_rows=50)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, ordered(df, ["m"], ["e"], "m", ["g"], "plain").collect()))
+
+
+@pytest.mark.parametrize("k", [1000, 1001])
+def test_null_groups_and_types_do_not_depend_on_k(spark, k):
+    df = spark.createDataFrame([(None, "a", 1), (None, "b", 2), ("g", "c", 3)], "g string, e string, m bigint")
+    got = top_k(df, ["m"], ["e"], k, ["g"])
+    assert got.schema["row_rank"].dataType.simpleString() == "int"
+    assert sorted(map(tuple, got.collect()), key=str) == [("g", "c", 3, 1), (None, "a", 1, 2), (None, "b", 2, 1)]
+
+
+@pytest.mark.parametrize("range_rows", [1, 1000])
+@STRATEGIES
+def test_a_null_group_is_kept(spark, strategy, range_rows):
+    df = spark.createDataFrame([(None, "a", 1), (None, "b", 2), ("g", "c", 3)], "g string, e string, m bigint")
+    got = ordered(df, ["m"], ["e"], "m", ["g"], strategy, below=99, range_rows=range_rows)
+    assert sorted(got.select("e", "row_rank", "group_sum").collect()) == [("a", 2, 3), ("b", 1, 3), ("c", 1, 3)]
+
+
+def test_without_a_hot_group_the_plan_is_the_plain_one(spark, table):
+    from test_registered import plan_text
+
+    waits = {"wait_stats": table("wait_stats", wait("A", 50), wait("B", 45))}
+    for report in (lambda s: wait_pareto(waits, strategy=s),):
+        plan = plan_text(report("bucketed"))
+        assert plan.count("Scan") == plan_text(report("plain")).count("Scan") == 1
 
 
 def test_top_k_beyond_the_pruned_size(spark):
