@@ -126,14 +126,15 @@ _CPU_HISTORY = """
 _CPU_BY_DATABASE = _with(
     "query_stats plan_attributes databases",
     f""", per AS (
-        SELECT q.server_name, q.collected_at, CAST(a.value AS BIGINT) AS database_id,
+        SELECT q.server_name, q.collected_at, TRY_CAST(a.value AS BIGINT) AS database_id,
                sum(q.total_worker_time // 1000) AS cpu_time_ms
         FROM query_stats q JOIN plan_attributes a ON {_on('q', 'a', 'plan_handle')}
         WHERE a.attribute = 'dbid' GROUP BY ALL)
-    , kept AS (SELECT * FROM per WHERE database_id <> 32767)
+    , kept AS (SELECT * FROM per WHERE database_id IS DISTINCT FROM 32767)
     SELECT k.server_name, k.collected_at,
            (SELECT count(*) FROM kept o WHERE {_on('o', 'k')} AND (o.cpu_time_ms > k.cpu_time_ms
-                OR o.cpu_time_ms = k.cpu_time_ms AND o.database_id <= k.database_id)) AS cpu_rank,
+                OR o.cpu_time_ms = k.cpu_time_ms
+                AND coalesce(o.database_id, -1) <= coalesce(k.database_id, -1))) AS cpu_rank,
            d.name AS database_name, CAST(k.cpu_time_ms AS BIGINT) AS cpu_time_ms,
            {_pct('k.cpu_time_ms', f"(SELECT sum(o.cpu_time_ms) FROM kept o WHERE {_on('o', 'k')})", 2)} AS cpu_percent
     FROM kept k LEFT JOIN databases d ON {_on('k', 'd', 'database_id')}""",

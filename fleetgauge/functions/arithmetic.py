@@ -25,18 +25,22 @@ def int_avg(value: str) -> str:
     return int_div(f"sum({value})", f"count({value})")
 
 
-def half_up_ratio(num: str, den: str | int, precision: int, scale: int) -> str:
-    """``num / den`` as DECIMAL(precision, scale), rounded half up.
+def decimal(value: str, scale: int) -> str:
+    """``value`` as a decimal of that scale, wide enough for any counter."""
+    return f"CAST({value} AS DECIMAL(38,{scale}))"
+
+
+def half_up_ratio(num: str, den: str | int, scale: int) -> str:
+    """``num / den`` as DECIMAL(38, scale), rounded half up.
 
     The quotient carries 16 or more fraction digits, so for denominators under
-    10 ** (16 - scale) the one rounding that shows is the last.
+    10 ** (16 - scale) the one rounding that shows is the last.  The scripts
+    this comes from quote narrower types, which a busy server's counters
+    overflow; the value is kept here.
     """
-    return (
-        f"CAST(CAST({num} AS DECIMAL(22,0)) / nullif(CAST({den} AS DECIMAL(20,0)), 0)"
-        f" AS DECIMAL({precision},{scale}))"
-    )
+    return decimal(f"CAST({num} AS DECIMAL(22,0)) / nullif(CAST({den} AS DECIMAL(20,0)), 0)", scale)
 
 
-def percent_of(part: str, whole: str, precision: int, scale: int) -> str:
+def percent_of(part: str, whole: str, scale: int) -> str:
     """``100 * part / whole`` rounded half up; NULL where ``whole`` is 0."""
-    return half_up_ratio(f"CAST({part} AS DECIMAL(20,0)) * 100", whole, precision, scale)
+    return half_up_ratio(f"CAST({part} AS DECIMAL(20,0)) * 100", whole, scale)

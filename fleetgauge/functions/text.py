@@ -65,8 +65,12 @@ def last_name_part(name: str) -> str:
 
 
 def job_key_of_program(program: str) -> str:
-    """Job key carried by a program name, NULL when it holds none."""
-    key = f"lower(substring(replace({program}, {literal(JOB_STEP_PREFIX)}, ''), 1, {JOB_KEY_LENGTH}))"
+    """Job key carried by a program name, NULL when it holds none.
+
+    The prefix is compared by the column's collation; the key is plain text.
+    """
+    stripped = f"replace({program}, {literal(JOB_STEP_PREFIX)}, '')"
+    key = f"lower(substring(CAST({stripped} AS STRING), 1, {JOB_KEY_LENGTH}))"
     return f"CASE WHEN {key} RLIKE '^0x[0-9a-f]{{32}}$' THEN {key} END"
 
 

@@ -208,7 +208,7 @@ def share_rank(
 ) -> DataFrame:
     """Add the rank by ``measure`` and its percentage of the group's total."""
     ranked = ordered(df, [measure], entity, measure, group, strategy)
-    return ranked.selectExpr("*", f"{percent_of(measure, 'group_sum', 5, 2)} AS share")
+    return ranked.selectExpr("*", f"{percent_of(measure, 'group_sum', 2)} AS share")
 
 
 def pareto_prefix(

@@ -18,10 +18,15 @@ from fleetgauge.sources.snapshots import read_tables
 
 @dataclass(frozen=True)
 class Report:
-    """A report function and the tables it reads."""
+    """A report function, the tables it reads, and those of them that a range of dates leaves whole.
+
+    Session history is stored by the day of the poll, the jobs it is labelled
+    with by the day of the capture.
+    """
 
     run: Callable[..., DataFrame]
     tables: tuple[str, ...]
+    undated: tuple[str, ...] = ()
 
 
 _STATEMENTS = ("query_stats", "sql_text", "databases", "objects")
@@ -52,12 +57,12 @@ REPORTS = {
         Report(io.top_statements_by_avg_io, _STATEMENTS),
         Report(io.io_profile_by_file, ("file_io", "db_files", "databases")),
         # session activity
-        Report(activity.activity_latest, _ACTIVITY),
-        Report(activity.activity_io_offenders, _ACTIVITY),
-        Report(activity.activity_blocking, _ACTIVITY),
-        Report(activity.blocked_per_hour, _ACTIVITY),
-        Report(activity.blocking_per_hour, _ACTIVITY),
-        Report(activity.sessions_per_program, _ACTIVITY),
+        Report(activity.activity_latest, _ACTIVITY, ("jobs",)),
+        Report(activity.activity_io_offenders, _ACTIVITY, ("jobs",)),
+        Report(activity.activity_blocking, _ACTIVITY, ("jobs",)),
+        Report(activity.blocked_per_hour, _ACTIVITY, ("jobs",)),
+        Report(activity.blocking_per_hour, _ACTIVITY, ("jobs",)),
+        Report(activity.sessions_per_program, _ACTIVITY, ("jobs",)),
         # indexes
         Report(index.missing_indexes, ("mi_group_stats", "mi_groups", "mi_details")),
         Report(index.unused_indexes, ("databases", "indexes", "objects", "index_usage", "partition_stats")),
@@ -94,8 +99,11 @@ def report_over(
     servers=None,
     **params,
 ) -> DataFrame:
-    """Run one report over the snapshot tables stored under ``root``."""
+    """Run one report over the snapshot tables stored under ``root``.
+
+    Dates are those of the capture, for session history those of the poll.
+    """
     tables = read_tables(
-        spark, root, REPORTS[name].tables, first_date=first_date, last_date=last_date, servers=servers
+        spark, root, REPORTS[name].tables, first_date, last_date, servers, undated=REPORTS[name].undated
     )
     return report(name, tables, **params)

@@ -12,6 +12,7 @@ from fleetgauge.functions.text import literal
 from fleetgauge.operators.lookup import at_latest, with_program_label
 from fleetgauge.operators.ranking import ordering, sort_filtered
 from fleetgauge.sources.schemas import KEYS, PARTITION
+from fleetgauge.sources.snapshots import dated
 
 Moment = str | dt.datetime
 
@@ -28,6 +29,7 @@ def _between(activity: DataFrame, start: Moment, end: Moment) -> DataFrame:
     The history is partitioned by the date of the poll, so the same range on
     dates keeps other days' files closed.
     """
+    activity = dated(activity, "collection_time")
     low, high = (f"CAST({literal(str(t))} AS TIMESTAMP_NTZ)" for t in (start, end))
     return activity.where(
         f"{PARTITION} BETWEEN CAST({low} AS DATE) AND CAST({high} AS DATE) AND collection_time BETWEEN {low} AND {high}"
@@ -61,7 +63,7 @@ def _sessions(rows: DataFrame, jobs: DataFrame) -> DataFrame:
 
 def activity_latest(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Sessions of the newest poll."""
-    return _sessions(at_latest(tables["activity"], "collection_time"), tables["jobs"])
+    return _sessions(at_latest(dated(tables["activity"], "collection_time"), "collection_time"), tables["jobs"])
 
 
 def activity_blocking(tables: Mapping[str, DataFrame], start: Moment, end: Moment) -> DataFrame:

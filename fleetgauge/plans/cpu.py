@@ -133,7 +133,8 @@ def cpu_by_database(tables: Mapping[str, DataFrame], strategy: str = "plain") ->
         tables["plan_attributes"]
         .where(f"attribute = {literal(DATABASE_ATTRIBUTE)}")
         .selectExpr(*KEYS, "plan_handle", "try_cast(value AS BIGINT) AS database_id")
-        .where(f"database_id <> {RESOURCE_DATABASE_ID}")
+        # An id that cannot be read is a line without a name: its time counts in the shares.
+        .where(f"database_id IS DISTINCT FROM {RESOURCE_DATABASE_ID}")
     )
     by_database = (
         by_plan.join(plan_database, [*KEYS, "plan_handle"])

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from fleetgauge.functions.arithmetic import int_div
+from fleetgauge.functions.arithmetic import decimal, int_div
 from fleetgauge.functions.text import last_name_part, literal, one_of
 from fleetgauge.operators.lookup import in_databases
 from fleetgauge.operators.ranking import ordering, top_k
@@ -32,9 +32,9 @@ def missing_indexes(tables: Mapping[str, DataFrame], k: int = 50) -> DataFrame:
     stats = tables["mi_group_stats"].selectExpr(
         *KEYS,
         "group_handle AS index_group_handle",
-        "CAST(user_seeks * avg_total_user_cost * (avg_user_impact * 0.01D) AS DECIMAL(18,2)) AS index_advantage",
+        f"{decimal('user_seeks * avg_total_user_cost * (avg_user_impact * 0.01D)', 2)} AS index_advantage",
         "avg_user_impact AS user_impact",
-        "CAST(avg_total_user_cost AS DECIMAL(18,2)) AS avg_cost",
+        f"{decimal('avg_total_user_cost', 2)} AS avg_cost",
         "user_seeks AS seeks",
         "last_user_seek AS last_seek",
     )

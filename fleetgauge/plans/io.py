@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from fleetgauge.functions.arithmetic import half_up_ratio, int_div, int_div_or_zero, percent_of
+from fleetgauge.functions.arithmetic import decimal, half_up_ratio, int_div, int_div_or_zero, percent_of
 from fleetgauge.functions.text import statement_slice
 from fleetgauge.operators.lookup import in_databases, with_database_name, with_object_name
 from fleetgauge.operators.ranking import ordering, share_rank, top_k
@@ -79,15 +79,15 @@ def io_stalls_by_file(tables: Mapping[str, DataFrame]) -> DataFrame:
     )
     return (
         with_database_name(stalls.join(files, _FILE), tables["databases"])
-        .selectExpr("*", f"{half_up_ratio('io_stalls', 'total_io + 1', 10, 1)} AS avg_io_stall_ms")
+        .selectExpr("*", f"{half_up_ratio('io_stalls', 'total_io + 1', 1)} AS avg_io_stall_ms")
         .orderBy(*KEYS, F.desc("avg_io_stall_ms"), "database_id", "file_id")
         .selectExpr(
             *KEYS,
             "database_name",
-            f"{half_up_ratio('io_stall_read_ms', 'num_of_reads + 1', 10, 1)} AS avg_read_stall_ms",
-            f"{half_up_ratio('io_stall_write_ms', 'num_of_writes + 1', 10, 1)} AS avg_write_stall_ms",
+            f"{half_up_ratio('io_stall_read_ms', 'num_of_reads + 1', 1)} AS avg_read_stall_ms",
+            f"{half_up_ratio('io_stall_write_ms', 'num_of_writes + 1', 1)} AS avg_write_stall_ms",
             "avg_io_stall_ms",
-            f"{half_up_ratio('size', PAGES_PER_MB, 18, 2)} AS file_size_mb",
+            f"{half_up_ratio('size', PAGES_PER_MB, 2)} AS file_size_mb",
             "physical_name",
             "type_desc",
             "io_stall_read_ms",
@@ -118,7 +118,7 @@ def io_by_database(tables: Mapping[str, DataFrame], strategy: str = "plain") ->
             *KEYS,
             "row_rank AS io_rank",
             "database_name",
-            "CAST(io_mb AS DECIMAL(12,2)) AS total_io_mb",
+            f"{decimal('io_mb', 2)} AS total_io_mb",
             "share AS io_percent",
         )
         .orderBy(*KEYS, "io_rank")
@@ -144,9 +144,9 @@ def volume_space(tables: Mapping[str, DataFrame]) -> DataFrame:
             "volume_mount_point",
             "file_system_type",
             "logical_volume_name",
-            f"{half_up_ratio('total_bytes', GB, 18, 2)} AS total_gb",
-            f"{half_up_ratio('available_bytes', GB, 18, 2)} AS available_gb",
-            f"{percent_of('available_bytes', 'total_bytes', 18, 2)} AS free_percent",
+            f"{half_up_ratio('total_bytes', GB, 2)} AS total_gb",
+            f"{half_up_ratio('available_bytes', GB, 2)} AS available_gb",
+            f"{percent_of('available_bytes', 'total_bytes', 2)} AS free_percent",
         )
         .distinct()
         .orderBy(*KEYS, "volume_mount_point", "file_system_type", "logical_volume_name", "total_gb", "available_gb")
@@ -196,18 +196,18 @@ def io_profile_by_file(tables: Mapping[str, DataFrame], database: str | None = N
         "file_id",
         "type_desc",
         "physical_name",
-        f"{half_up_ratio('size_on_disk_bytes', MB, 10, 2)} AS size_on_disk_mb",
+        f"{half_up_ratio('size_on_disk_bytes', MB, 2)} AS size_on_disk_mb",
         "num_of_reads",
         "num_of_writes",
         "io_stall_read_ms",
         "io_stall_write_ms",
-        f"{percent_of('io_stall_read_ms', stall, 10, 1)} AS io_stall_reads_pct",
-        f"{percent_of('io_stall_write_ms', stall, 10, 1)} AS io_stall_writes_pct",
+        f"{percent_of('io_stall_read_ms', stall, 1)} AS io_stall_reads_pct",
+        f"{percent_of('io_stall_write_ms', stall, 1)} AS io_stall_writes_pct",
         f"{requests} AS total_io",
-        f"{half_up_ratio('num_of_bytes_read', MB, 10, 2)} AS mb_read",
-        f"{half_up_ratio('num_of_bytes_written', MB, 10, 2)} AS mb_written",
-        f"{percent_of('num_of_reads', requests, 10, 1)} AS reads_pct",
-        f"{percent_of('num_of_writes', requests, 10, 1)} AS writes_pct",
-        f"{percent_of('num_of_bytes_read', moved, 10, 1)} AS read_bytes_pct",
-        f"{percent_of('num_of_bytes_written', moved, 10, 1)} AS written_bytes_pct",
+        f"{half_up_ratio('num_of_bytes_read', MB, 2)} AS mb_read",
+        f"{half_up_ratio('num_of_bytes_written', MB, 2)} AS mb_written",
+        f"{percent_of('num_of_reads', requests, 1)} AS reads_pct",
+        f"{percent_of('num_of_writes', requests, 1)} AS writes_pct",
+        f"{percent_of('num_of_bytes_read', moved, 1)} AS read_bytes_pct",
+        f"{percent_of('num_of_bytes_written', moved, 1)} AS written_bytes_pct",
     )

@@ -70,10 +70,10 @@ def latch_pareto(
             *KEYS,
             "row_rank",
             "latch_class",
-            f"{half_up_ratio('wait_time_ms', 1000, 14, 2)} AS wait_s",
+            f"{half_up_ratio('wait_time_ms', 1000, 2)} AS wait_s",
             "waiting_requests_count AS wait_count",
-            f"{percent_of('wait_time_ms', 'group_sum', 14, 2)} AS percentage",
-            f"{half_up_ratio('wait_time_ms', 'waiting_requests_count * 1000', 14, 4)} AS avg_wait_s",
+            f"{percent_of('wait_time_ms', 'group_sum', 2)} AS percentage",
+            f"{half_up_ratio('wait_time_ms', 'waiting_requests_count * 1000', 4)} AS avg_wait_s",
         )
     )
 
@@ -99,14 +99,14 @@ def wait_pareto(
             *KEYS,
             "row_rank",
             "wait_type",
-            f"{half_up_ratio('wait_time_ms', 1000, 16, 2)} AS wait_s",
-            f"{half_up_ratio(resource, 1000, 16, 2)} AS resource_s",
-            f"{half_up_ratio('signal_wait_time_ms', 1000, 16, 2)} AS signal_s",
+            f"{half_up_ratio('wait_time_ms', 1000, 2)} AS wait_s",
+            f"{half_up_ratio(resource, 1000, 2)} AS resource_s",
+            f"{half_up_ratio('signal_wait_time_ms', 1000, 2)} AS signal_s",
             "waiting_tasks_count AS wait_count",
-            f"{percent_of('wait_time_ms', 'group_sum', 5, 2)} AS percentage",
-            f"{half_up_ratio('wait_time_ms', per_task, 16, 4)} AS avg_wait_s",
-            f"{half_up_ratio(resource, per_task, 16, 4)} AS avg_resource_s",
-            f"{half_up_ratio('signal_wait_time_ms', per_task, 16, 4)} AS avg_signal_s",
+            f"{percent_of('wait_time_ms', 'group_sum', 2)} AS percentage",
+            f"{half_up_ratio('wait_time_ms', per_task, 4)} AS avg_wait_s",
+            f"{half_up_ratio(resource, per_task, 4)} AS avg_resource_s",
+            f"{half_up_ratio('signal_wait_time_ms', per_task, 4)} AS avg_signal_s",
             f"concat({literal(HELP_URL)}, wait_type) AS help_url",
         )
     )

@@ -123,10 +123,15 @@ TABLES = tuple(_COLUMNS)
 NAME_COLUMNS = {
     "wait_stats": ("wait_type",),
     "latch_stats": ("latch_class",),
+    "activity": ("program_name", "host_name", "database_name", "login_name"),
+    "jobs": ("name",),
     "schedulers": ("status",),
     "ring_buffer": ("ring_buffer_type",),
     "plan_attributes": ("attribute",),
     "procedures": ("name",),
+    "sessions": ("host_name", "program_name"),
+    "processes": ("loginame", "hostname"),
+    "volumes": ("volume_mount_point", "file_system_type", "logical_volume_name"),
     "log_segments": ("database_name",),
     "databases": ("name", "state_desc"),
     "objects": ("schema_name", "name"),

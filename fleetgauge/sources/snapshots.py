@@ -10,18 +10,23 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from fleetgauge.sources.schemas import NAME_COLUMNS, PARTITION, partition_time, schema
 
 
+# Marks a partition column that was derived from its table's time.
+DERIVED = "derived"
+
+
 def conform(df: DataFrame, table: str) -> DataFrame:
     """Bring a frame to the declared columns and types of ``table``.
 
-    ``collected_date`` is derived when the frame does not carry it.
+    ``collected_date`` is always derived: readers rely on it.
     """
-    derived = {PARTITION: partition_time(table)} if PARTITION not in df.columns else {}
-    return df.selectExpr(
+    derived = {PARTITION: partition_time(table)}
+    out = df.selectExpr(
         *(
             f"CAST(`{derived.get(f.name, f.name)}` AS {f.dataType.simpleString()}) AS `{f.name}`"
             for f in schema(table).fields
         )
     )
+    return out.withMetadata(PARTITION, {DERIVED: True})
 
 
 def read_table(
@@ -40,6 +45,7 @@ def read_table(
     declared = schema(table)
     # Parquet puts the partition column last; bring it back to its place.
     df = spark.read.schema(declared).parquet(f"{root}/{table}").select(*(f"`{c}`" for c in declared.names))
+    df = df.withMetadata(PARTITION, {DERIVED: True})
     if first_date is not None:
         df = df.where(F.col(PARTITION) >= F.lit(first_date))
     if last_date is not None:
@@ -49,9 +55,34 @@ def read_table(
     return df
 
 
-def read_tables(spark: SparkSession, root: str, tables: Iterable[str], **filters) -> dict[str, DataFrame]:
-    """Several snapshot tables under the same filters."""
-    return {t: read_table(spark, root, t, **filters) for t in tables}
+def read_tables(
+    spark: SparkSession,
+    root: str,
+    tables: Iterable[str],
+    first_date: dt.date | None = None,
+    last_date: dt.date | None = None,
+    servers: Iterable[str] | None = None,
+    undated: Iterable[str] = (),
+) -> dict[str, DataFrame]:
+    """Several snapshot tables under the same filters.
+
+    Dates do not apply to ``undated`` tables.  They are the ones a report looks
+    things up in while its dates are those of another event than the capture.
+    """
+    undated = set(undated)
+    dates = {"first_date": first_date, "last_date": last_date}
+    return {t: read_table(spark, root, t, servers=servers, **({} if t in undated else dates)) for t in tables}
+
+
+def dated(df: DataFrame, time: str) -> DataFrame:
+    """``df`` with the partition column that belongs to ``time``.
+
+    Stored and conformed tables keep theirs, which prunes files; in any other
+    frame it could be another day's, so it is computed anew.
+    """
+    if PARTITION in df.columns and df.schema[PARTITION].metadata.get(DERIVED):
+        return df
+    return df.withColumn(PARTITION, F.expr(f"CAST({time} AS DATE)"))
 
 
 def with_collation(tables: Mapping[str, DataFrame], collation: str = "UTF8_LCASE_RTRIM") -> dict[str, DataFrame]:

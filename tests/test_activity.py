@@ -94,3 +94,50 @@ def test_counts_add_up(tables):
     assert sum(n for (n,) in got) == blocked
     got = rows(activity.sessions_per_program(tables, *wide), "session_count")
     assert sum(n for (n,) in got) == tables["activity"].count()
+
+
+REPORTS_OF_HISTORY = ("activity_latest", "activity_io_offenders", "activity_blocking", "blocked_per_hour",
+                      "blocking_per_hour", "sessions_per_program")
+
+
+@pytest.fixture
+def stored_later(spark, tables, tmp_path):
+    """Polls of 14 and 15 January, captured on 1 February, in stored tables."""
+    from pyspark.sql import functions as F
+
+    from fleetgauge.sources.snapshots import write_table
+
+    day = F.expr("INTERVAL '1' DAY")
+    earlier = tables["activity"].withColumn("collection_time", F.col("collection_time") - day)
+    # What the frame says about its day is not to be trusted.
+    both = tables["activity"].unionByName(earlier).withColumn("collected_date", F.expr("DATE'2024-02-01'"))
+    write_table(both, str(tmp_path), "activity")
+    write_table(tables["jobs"], str(tmp_path), "jobs")
+    return str(tmp_path), both
+
+
+@pytest.mark.parametrize("name", REPORTS_OF_HISTORY)
+def test_dates_keep_job_labels(spark, tables, stored_later, name):
+    from test_registered import plan_text
+
+    from fleetgauge import report, report_over
+
+    root, _ = stored_later
+    day = dt.date(2021, 1, 15)
+    params = {} if name == "activity_latest" else {"start": START, "end": END}
+    got = report_over(spark, root, name, first_date=day, last_date=day, **params)
+    direct = report(name, tables, **params)
+    assert rows(got, keys=True) == rows(direct, keys=True) != []
+    assert "collected_date" in plan_text(got) and "PartitionFilters: [isnotnull(collected_date" in plan_text(got)
+    if name in ("activity_io_offenders", "blocked_per_hour", "sessions_per_program"):
+        column = "program_name" if "program_name" in got.columns else "program"
+        assert ("Job - Backup",) in rows(got, column)
+
+
+@pytest.mark.parametrize("name", REPORTS_OF_HISTORY)
+def test_a_frame_with_another_day_is_read_right(tables, stored_later, name):
+    from fleetgauge import report
+
+    _, both = stored_later
+    params = {} if name == "activity_latest" else {"start": START, "end": END}
+    assert rows(report(name, {**tables, "activity": both}, **params)) == rows(report(name, tables, **params)) != []

@@ -59,3 +59,27 @@ def test_ignored_waits_and_index_prefix(table):
     assert rows(report("unused_indexes", indexes)) == []
     got = rows(report("unused_indexes", with_collation(indexes), allowed_databases=["D"]), "index_name", "index_size_mb")
     assert sorted(got) == [("Pk", 0), ("ix", 0)]
+
+
+def test_session_names(table):
+    import datetime as dt
+
+    def poll(session, **more):
+        time = dt.datetime(2024, 1, 1)
+        return {"session_id": session, "collection_time": time, "start_time": time, "host_name": "h",
+                "blocking_session_id": 1, "blocking_session_count": 1, **more}
+
+    job = "SQLAgent - TSQL JobStep (Job 0x33221100554477668899AABBCCDDEEFF : Step 1)"
+    tables = {
+        "activity": table(
+            "activity",
+            *(poll(i, program_name=n) for i, n in enumerate(["App", "app", "app ", job, job.lower()])),
+        ),
+        "jobs": table("jobs", {"job_id": "00112233-4455-6677-8899-aabbccddeeff", "name": "Backup"}),
+    }
+    span = {"start": "2024-01-01 00:00:00", "end": "2024-01-02 00:00:00"}
+    for name, count in (("sessions_per_program", "session_count"), ("blocked_per_hour", "blocked_count"),
+                        ("blocking_per_hour", "blocking_count")):
+        got = rows(report(name, with_collation(tables), **span), "program", count)
+        assert sorted((p.lower().strip(), n) for p, n in got) == [("app", 3), ("job - backup", 2)]
+        assert len(rows(report(name, tables, **span))) > 2

@@ -57,13 +57,13 @@ def test_integer_average_truncates_and_skips_null(spark):
     ],
 )
 def test_ratio_rounds_half_up_once(spark, num, den, scale, expected):
-    got = evaluate(spark, half_up_ratio("a", "b", 20, scale), "a bigint, b bigint", (num, den))
+    got = evaluate(spark, half_up_ratio("a", "b", scale), "a bigint, b bigint", (num, den))
     assert got == [expected and D(expected)]
 
 
 def test_percentages(spark):
     got = evaluate(
-        spark, percent_of("a", "b", 5, 2), "a bigint, b bigint", (1, 3), (1, 800), (3, 800), (5, 5), (0, 0)
+        spark, percent_of("a", "b", 2), "a bigint, b bigint", (1, 3), (1, 800), (3, 800), (5, 5), (0, 0)
     )
     assert got == [D("33.33"), D("0.13"), D("0.38"), D("100.00"), None]
 

@@ -145,3 +145,17 @@ def test_index_profile(table):
     assert paired == [("IX1", 1, 8, -5, 0.5), ("IX1", 2, 8, -5, 1.5)]
     assert rows(index.index_profile(tables, "one", "other")) == []
     assert dict(index.index_profile(tables).dtypes)["used_mb"] == "float"
+
+
+def test_a_large_advantage_keeps_its_value(table):
+    from decimal import Decimal as D
+
+    tables = {
+        "mi_group_stats": table("mi_group_stats", {"group_handle": 1, "user_seeks": 10**9, "avg_total_user_cost": 1e8,
+                                                   "avg_user_impact": 100.0}),
+        "mi_groups": table("mi_groups", {"index_group_handle": 1, "index_handle": 1}),
+        "mi_details": table("mi_details", {"index_handle": 1, "statement": "[d].[s].[t]"}),
+    }
+    from fleetgauge.plans.index import missing_indexes
+
+    assert rows(missing_indexes(tables), "index_advantage") == [(D(10**17) + D("0.00"),)]

@@ -162,3 +162,18 @@ def test_profile_by_file(table):
         ("f12", D("1.50"), None, None, 0, D("0.00"), D("0.00"), None, None, None, None),
     ]
     assert len(rows(io.io_profile_by_file(tables))) == 3
+
+
+def test_large_counters_keep_their_value(table):
+    """More than the narrow decimals of the scripts can hold."""
+    counters = file_io(1, reads=1, read_bytes=2 * 10**14, read_ms=10**11)
+    tables = {
+        "file_io": table("file_io", counters),
+        "files": table("files", {"database_id": 1, "file_id": 1, "physical_name": "a", "size": 10**15}),
+        "db_files": table("db_files", {"database_id": 1, "file_id": 1, "name": "a", "physical_name": "a"}),
+        "databases": table("databases", {"database_id": 1, "name": "one"}),
+    }
+    assert rows(io.io_profile_by_file(tables), "mb_read") == [(D("190734863.28"),)]
+    assert rows(io.io_stalls_by_file(tables), "avg_read_stall_ms") == [(D("50000000000.0"),)]
+    tables["file_io"] = table("file_io", file_io(1, read_bytes=2**62))
+    assert rows(io.io_by_database(tables), "total_io_mb") == [(D(2**42) + D("0.00"),)]
