@@ -7,7 +7,7 @@ fractions by integer arithmetic.
 
 from __future__ import annotations
 
-from checks.queries import LOG_TERMS, OWN_SESSIONS, RANGE, WARNING_TERM
+from checks.queries import ALLOWED, CUT, LOG_TERMS, ONE_DATABASE, ONE_TABLE, OWN_SESSIONS, RANGE, WARNING_TERM
 from fleetgauge.plans.waits import HELP_URL, benign_waits
 from fleetgauge.sources.adapters import check_sql
 
@@ -416,6 +416,23 @@ def _per_hour(where: str, name: str) -> str:
     )
 
 
+_SESSIONS_PER_PROGRAM = _activity(
+    f""" SELECT {_K}, program, host_name, count(*) AS session_count
+    FROM labelled WHERE {_IN_RANGE} GROUP BY ALL"""
+)
+_PAIRED = "p.partition_number = f.partition_number"
+
+
+def _of_database(sql: str, more: str = "") -> str:
+    """The lines of one database."""
+    return f"SELECT * FROM ({sql}) WHERE database_name = '{ONE_DATABASE}' {more}"
+
+
+def _cut(sql: str) -> str:
+    """The same over the shorter range."""
+    return sql.replace(RANGE["start"], CUT["start"]).replace(RANGE["end"], CUT["end"])
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "wait_pareto": _wait_pareto(),
@@ -456,8 +473,18 @@ def oracle_sql() -> dict[str, str]:
         "missing_indexes": _MISSING,
         "unused_indexes": _unused("u.database_id = i.database_id"),
         "unused_indexes_with_untouched": _unused("TRUE"),
-        "index_profile": _index_profile("TRUE"),
-        "index_profile_by_partition": _index_profile("p.partition_number = f.partition_number"),
+        "index_profile": _index_profile(_PAIRED),
+        "index_profile_by_partition": _index_profile(_PAIRED),
+        "index_profile_crossed": _of_database(_index_profile("TRUE"), f"AND table_name = '{ONE_TABLE}'"),
+        "index_profile_of_database": _of_database(_index_profile(_PAIRED)),
+        "io_profile_of_database": _of_database(_PROFILE),
+        "top_statements_of_database": _of_database(_TOP_AVG_IO),
+        "top_procedures_of_database": _of_database(
+            _top_procedures("total_logical_reads", f"{_CALLS} AS calls_per_minute,")
+        ),
+        "unused_indexes_allowed": f"SELECT * FROM ({_unused('u.database_id = i.database_id')}) WHERE database_name IN {ALLOWED}",
+        "blocked_per_hour_cut": _cut(_per_hour("blocking_session_id IS NOT NULL", "blocked_count")),
+        "sessions_per_program_cut": _cut(_SESSIONS_PER_PROGRAM),
         "activity_latest": _activity(
             f""" SELECT {_SESSION} FROM labelled a
     WHERE collection_time = (SELECT max(b.collection_time) FROM activity b WHERE {_on('b', 'a')})"""
@@ -472,8 +499,5 @@ def oracle_sql() -> dict[str, str]:
         ),
         "blocked_per_hour": _per_hour("blocking_session_id IS NOT NULL", "blocked_count"),
         "blocking_per_hour": _per_hour("blocking_session_count <> 0", "blocking_count"),
-        "sessions_per_program": _activity(
-            f""" SELECT {_K}, program, host_name, count(*) AS session_count
-    FROM labelled WHERE {_IN_RANGE} GROUP BY ALL"""
-        ),
+        "sessions_per_program": _SESSIONS_PER_PROGRAM,
     }

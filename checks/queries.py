@@ -27,6 +27,20 @@ BINDINGS["io_warnings"] = ("io_warnings", {"term": WARNING_TERM})
 BINDINGS["active_requests"] = ("active_requests", {"exclude_sessions": OWN_SESSIONS})
 BINDINGS["unused_indexes_with_untouched"] = ("unused_indexes", {"include_never_touched": True})
 BINDINGS["index_profile_by_partition"] = ("index_profile", {"match_partition": True})
+# Forms for one database or table, an allow-list, and a range that cuts on both ends: there the parameter is the point.
+ONE_DATABASE, ONE_TABLE = "NATION_7", "red bolt 29"
+ALLOWED = ("NATION_1", "NATION_2", "NATION_11")
+CUT = {"start": "2024-01-05 10:20:30", "end": "2024-01-20 21:10:05"}
+BINDINGS["index_profile_crossed"] = (
+    "index_profile", {"match_partition": False, "database": ONE_DATABASE, "table": ONE_TABLE}
+)
+BINDINGS["index_profile_of_database"] = ("index_profile", {"database": ONE_DATABASE})
+BINDINGS["io_profile_of_database"] = ("io_profile_by_file", {"database": ONE_DATABASE})
+BINDINGS["top_statements_of_database"] = ("top_statements_by_avg_io", {"database": ONE_DATABASE})
+BINDINGS["top_procedures_of_database"] = ("top_procedures", {"metric": "logical_reads", "database": ONE_DATABASE})
+BINDINGS["unused_indexes_allowed"] = ("unused_indexes", {"allowed_databases": ALLOWED})
+BINDINGS["blocked_per_hour_cut"] = ("blocked_per_hour", CUT)
+BINDINGS["sessions_per_program_cut"] = ("sessions_per_program", CUT)
 for metric in ("worker_time", "logical_reads", "logical_writes", "physical_reads"):
     BINDINGS[f"top_procedures_by_{metric}"] = ("top_procedures", {"metric": metric})
 for ranged in (

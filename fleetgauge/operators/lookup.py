@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from fleetgauge.functions.text import JOB_LABEL, job_key_of_program, job_key_of_uuid, literal
 from fleetgauge.sources.schemas import KEYS, PARTITION
 
-# Rows without a job key are dealt out over this many join keys.
+# Rows without a key are dealt out over this many join keys.
 _SPREAD = 4096
 # Fixed value: no server stores an earlier time.
 _FIRST_TIME = "TIMESTAMP_NTZ'1753-01-01 00:00:00'"
@@ -52,6 +52,17 @@ def in_databases(
     return df.join(known, [*KEYS, id_column])
 
 
+def left_join_sparse(df: DataFrame, dimension: DataFrame, key: str, row_id: Sequence[str]) -> DataFrame:
+    """Left join on the fleet keys and ``key``, which many rows of ``df`` do not have.
+
+    A missing key finds nothing wherever the row is, so those rows are dealt
+    out by a hash of ``row_id`` instead of meeting in one task.
+    """
+    spread = f"IF({key} IS NULL, 1 + pmod(xxhash64({', '.join(row_id)}), {_SPREAD}), 0) AS spread"
+    found = dimension.selectExpr("*", "CAST(0 AS BIGINT) AS spread")
+    return df.selectExpr("*", spread).join(found, [*KEYS, key, "spread"], "left").drop("spread")
+
+
 def with_program_label(df: DataFrame, jobs: DataFrame, row_id: Sequence[str]) -> DataFrame:
     """Add ``program_label``: ``Job - <name>`` where the program name carries a job's key.
 

@@ -78,7 +78,8 @@ def activity_io_offenders(tables: Mapping[str, DataFrame], start: Moment, end: M
         "*", "writes + physical_reads AS total_io"
     )
     labelled = with_program_label(rows, tables["jobs"], _ROW)
-    return sort_filtered(labelled, _ROW, *KEYS, *ordering(["total_io"], _ROW)).selectExpr(
+    # Nothing but the range filters these rows, so the widest table is not shuffled before its sort.
+    return labelled.orderBy(*KEYS, *ordering(["total_io"], _ROW)).selectExpr(
         *KEYS,
         "start_time",
         _DURATION,

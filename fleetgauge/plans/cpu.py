@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from fleetgauge.functions.arithmetic import int_avg, int_div
 from fleetgauge.functions.clock import boundary_diff, duration_text, minus_millis
 from fleetgauge.functions.text import contains_all, literal, one_of, statement_slice
-from fleetgauge.operators.lookup import in_databases, with_database_name, with_object_name
+from fleetgauge.operators.lookup import in_databases, left_join_sparse, with_database_name, with_object_name
 from fleetgauge.operators.ranking import ordering, share_rank, sort_filtered, top_k
 from fleetgauge.sources.schemas import KEYS
 
@@ -302,33 +302,32 @@ def active_requests(tables: Mapping[str, DataFrame], exclude_sessions: Iterable[
         .where(f"NOT {one_of('session_id', exclude_sessions)}")
         .join(sessions, [*KEYS, "session_id"])
         .join(texts(tables, "sql_handle"), [*KEYS, "sql_handle"])
-        .join(plans, [*KEYS, "plan_handle"], "left")
     )
+    # Requests that are still being compiled have no plan.
+    joined = left_join_sparse(joined, plans, "plan_handle", ["session_id", "start_time"])
     statement = statement_slice("text", "statement_start_offset", "statement_end_offset", "exact")
-    return (
-        with_database_name(joined, tables["databases"])
-        .orderBy(*KEYS, "start_time", "session_id")
-        .selectExpr(
-            *KEYS,
-            "session_id",
-            "text AS text_command",
-            "database_name",
-            "host_name",
-            "program_name",
-            "status",
-            "command",
-            "cpu_time",
-            "reads",
-            "writes",
-            f"{duration_text('start_time', 'collected_at')} AS duration",
-            "start_time",
-            "blocking_session_id",
-            "wait_type",
-            "wait_time",
-            "last_wait_type",
-            f"concat('<?query --', char(13), {statement}, char(13), '--?>') AS sql_statement",
-            "query_plan",
-        )
+    row = ["start_time", "session_id"]
+    # Sorted behind an exchange: the sort's sample would otherwise run all joins a second time.
+    return sort_filtered(with_database_name(joined, tables["databases"]), row, *KEYS, *row).selectExpr(
+        *KEYS,
+        "session_id",
+        "text AS text_command",
+        "database_name",
+        "host_name",
+        "program_name",
+        "status",
+        "command",
+        "cpu_time",
+        "reads",
+        "writes",
+        f"{duration_text('start_time', 'collected_at')} AS duration",
+        "start_time",
+        "blocking_session_id",
+        "wait_type",
+        "wait_time",
+        "last_wait_type",
+        f"concat('<?query --', char(13), {statement}, char(13), '--?>') AS sql_statement",
+        "query_plan",
     )
 
 
@@ -350,9 +349,9 @@ def head_blockers(tables: Mapping[str, DataFrame]) -> DataFrame:
         "sql_handle",
     )
     statement = statement_slice("text", "statement_start_offset", "statement_end_offset", "legacy")
+    # A head blocker without a request has no statement.
     return (
-        heads.join(requests, [*KEYS, "spid"], "left")
-        .join(texts(tables, "sql_handle"), [*KEYS, "sql_handle"], "left")
+        left_join_sparse(heads.join(requests, [*KEYS, "spid"], "left"), texts(tables, "sql_handle"), "sql_handle", ["spid"])
         .selectExpr(
             *KEYS,
             "spid",

@@ -130,14 +130,17 @@ def index_profile(
     tables: Mapping[str, DataFrame],
     database: str | None = None,
     table: str | None = None,
-    match_partition: bool = False,
+    match_partition: bool = True,
 ) -> DataFrame:
     """Usage, locking, fragmentation and size of the indexes of a table.
 
-    Without ``database`` or ``table`` every one is covered.  The page counts
-    are joined per index, not per partition, so an index with n partitions
-    gives n x n lines; ``match_partition`` pairs the partitions up.
+    Without ``database`` or ``table`` every one is covered.  The scripts join
+    page counts per index, not per partition, so an index with n partitions
+    gives n x n lines.  That form, ``match_partition=False``, is there for one
+    table of one database only.
     """
+    if not match_partition and (database is None or table is None):
+        raise ValueError("every partition with every other: name one database and one table")
     objects = tables["objects"].selectExpr(*_OBJECT, "name AS table_name")
     if table is not None:
         objects = objects.where(f"table_name = {literal(table)}")
@@ -161,13 +164,15 @@ def index_profile(
         "CAST(CAST(in_row_reserved_page_count AS FLOAT) * 8192 / 1024 / 1024 AS FLOAT) AS reserved_mb",
     )
     reads = "user_scans + user_seeks + user_lookups"
+    # Names go to the indexes; partitions, of which there are more, are shuffled by their own key and by the index.
+    named = in_databases(
+        tables["index_usage"].drop(PARTITION).join(indexes, _INDEX).join(objects, _OBJECT), tables["databases"], database
+    )
+    partitions = (
+        tables["index_operational"].drop(PARTITION).join(tables["index_physical"].drop(PARTITION), by_partition).join(pages, page_key)
+    )
     return (
-        in_databases(tables["index_usage"].drop(PARTITION), tables["databases"], database)
-        .join(objects, _OBJECT)
-        .join(indexes, _INDEX)
-        .join(tables["index_operational"].drop(PARTITION), _INDEX)
-        .join(tables["index_physical"].drop(PARTITION), by_partition)
-        .join(pages, page_key)
+        partitions.join(named, _INDEX)
         .orderBy(
             *KEYS,
             F.desc("user_seeks"),

@@ -238,8 +238,10 @@ SQL = {
                p_size % 8 = 3 AS is_unique, p_size % 2 = 0 AS allow_row_locks, p_size % 3 = 0 AS allow_page_locks,
                p_size AS fill_factor, p_size > 25 AS is_padded
         FROM {{part}}""",
+    # Some indexes have no usage row: theirs carry the id of an index that is not there.
     "index_usage": f"""
-        SELECT {_server('l_partkey % 5')}, {_LINE_INDEX},
+        SELECT {_server('l_partkey % 5')}, l_partkey % 25 AS database_id, l_partkey AS object_id,
+               l_partkey % 4 + CASE WHEN l_partkey % 11 = 3 THEN 100 ELSE 0 END AS index_id,
                {_sum("CASE WHEN l_returnflag = 'R' AND l_quantity = 50 THEN 1 ELSE 0 END")} AS user_seeks,
                {_sum("CASE WHEN l_returnflag = 'R' AND l_quantity = 49 THEN 1 ELSE 0 END")} AS user_scans,
                {_sum("CASE WHEN l_returnflag = 'R' AND l_quantity = 48 THEN 1 ELSE 0 END")} AS user_lookups,

@@ -138,10 +138,13 @@ def test_index_profile(table):
         "partition_stats": table("partition_stats", pages(1, 64), pages(2, 192)),
     }
     columns = ("index_name", "partition_number", "total_user_reads", "write_read_difference", "used_mb")
-    assert rows(index.index_profile(tables, "one", "t"), *columns) == [
+    assert rows(index.index_profile(tables, "one", "t", match_partition=False), *columns) == [
         ("IX1", p, 8, -5, mb) for p in (1, 2) for mb in (0.5, 1.5)
     ]
-    paired = rows(index.index_profile(tables, "one", "t", match_partition=True), *columns)
+    for unbound in ({}, {"database": "one"}, {"table": "t"}):
+        with pytest.raises(ValueError):
+            index.index_profile(tables, match_partition=False, **unbound)
+    paired = rows(index.index_profile(tables, "one", "t"), *columns)
     assert paired == [("IX1", 1, 8, -5, 0.5), ("IX1", 2, 8, -5, 1.5)]
     assert rows(index.index_profile(tables, "one", "other")) == []
     assert dict(index.index_profile(tables).dtypes)["used_mb"] == "float"

@@ -195,3 +195,38 @@ def test_latest_poll_opens_only_its_own_days(spark, con, stored):
     assert "dynamicpruning" in plan_text(got)
     direct = report("activity_latest", telemetry(spark, SMALL_DIR, ["activity", "jobs"]))
     assert sorted(map(repr, got.collect())) == sorted(map(repr, direct.collect()))
+
+
+def test_partitions_are_shuffled_twice_at_most(spark):
+    tables = telemetry(spark, SMALL_DIR, REPORTS["index_profile"].tables)
+    for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        spark.conf.set(key, "-1")
+    try:
+        plan = plan_text(report("index_profile", tables))
+    finally:
+        for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+            spark.conf.unset(key)
+    keys = [re.sub(r"#\w+", "", k) for k in re.findall(r"Exchange hashpartitioning\(([^)]*)\), ENSURE", plan)]
+    by_index = "server_name, database_id, object_id, index_id"
+    # Each of three tables by its partitions, then what they are joined to by the index; the rest are indexes and names.
+    assert sum(k.startswith(f"{by_index}, partition_number") for k in keys) == 3
+    assert sum(k.startswith(by_index) for k in keys) == 3 + 2 + 2
+
+
+def test_missing_keys_are_dealt_out(spark):
+    """Half of the requests have no plan, half of the head blockers no statement."""
+    from fleetgauge.operators.lookup import left_join_sparse
+
+    df = spark.range(4000).selectExpr("'s' AS server_name", "timestamp_ntz'2024-01-01' AS collected_at", "id", "NULL AS k")
+    empty = df.selectExpr("server_name", "collected_at", "CAST(k AS STRING) AS k", "1 AS found")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = left_join_sparse(df.selectExpr("server_name", "collected_at", "id", "CAST(k AS STRING) AS k"), empty, "k", ["id"])
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        assert joined.columns == ["server_name", "collected_at", "k", "id", "found"]
+        assert sum(sizes) == 4000 and max(sizes) < 2000
+        assert joined.where("found IS NOT NULL").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
