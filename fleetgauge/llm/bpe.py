@@ -3,13 +3,14 @@
 1. Blocks of documents are cut into pre-tokens.  A block keeps its distinct
    pre-tokens and, for every position of every document, which of them stands
    there.
-2. The distinct pre-tokens of all blocks are brought together by value, so
-   each is encoded once; a frequent one comes from a block at most once.
+2. The distinct pre-tokens of all blocks are brought together by their hash,
+   so each is encoded once; a frequent one comes from a block at most once.
 3. Ids go back to the blocks they are needed in, which reassemble their
    documents by position.
 4. Decoding looks every id up in the token-byte table.
 
-Positions never leave their block and texts are not shuffled at all.
+Positions never leave their block and texts are not shuffled at all.  What a
+block sends to one part of the hash range travels as one compressed list.
 
 Defined results: a null text is empty and has no ids; repeated rows are
 encoded as often as they occur; an empty table gives an empty one.
@@ -22,6 +23,7 @@ import functools
 import re
 import sys
 import unicodedata
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 
 from fleetgauge.llm.tables import texts
 
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 6_000_000
 _BLOCK = pa.schema([("docs", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("words", pa.list_(pa.string())), ("places", pa.binary())])
 _IPC = pa.ipc.IpcWriteOptions(compression="zstd")
 
@@ -97,17 +99,27 @@ def _pack(docs: list, ends: list[int], words: _Distinct, places: list[np.ndarray
     planes = renumbered[every].view(np.uint8).reshape(-1, 4).T.tobytes()
     listed = list(words)
     columns = [pa.array([docs], _BLOCK[0].type), pa.array([ends], _BLOCK[1].type), pa.array([[listed[i] for i in order]], _BLOCK[2].type), pa.array([planes], _BLOCK[3].type)]
+    return _compressed(pa.record_batch(columns, schema=_BLOCK))
+
+
+def _compressed(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, _BLOCK, options=_IPC) as writer:
-        writer.write_batch(pa.record_batch(columns, schema=_BLOCK))
+    with pa.ipc.new_stream(sink, batch.schema, options=_IPC) as writer:
+        writer.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
 
-def _unpack(payload) -> pa.RecordBatch:
-    with pa.ipc.open_stream(payload) as reader:
+def _expanded(data: pa.Scalar) -> pa.RecordBatch:
+    with pa.ipc.open_stream(data.as_buffer()) as reader:
         return reader.read_next_batch()
 
 
+def _by_part(words: pa.Array, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of a block's words, those of one part of the hash range together, and where each part ends."""
+    part = np.fromiter((zlib.crc32(w.encode()) % parts for w in words.to_pylist()), np.int64, len(words))
+    return np.argsort(part, kind="stable"), np.cumsum(np.bincount(part, minlength=parts))
+
+
 def _blocks(docs: DataFrame, pattern: str) -> DataFrame:
     """``block, payload``: documents in blocks, hash-partitioned by block."""
 
@@ -141,47 +153,68 @@ def _blocks(docs: DataFrame, pattern: str) -> DataFrame:
 
 def encode(docs: DataFrame, rank_file: bytes, pattern: str) -> DataFrame:
     """``doc_id, ids``: ids are little-endian unsigned 32-bit integers."""
-    ranks = docs.sparkSession.sparkContext.broadcast(rank_file)
+    spark = docs.sparkSession
+    ranks = spark.sparkContext.broadcast(rank_file)
     blocks = _blocks(docs, pattern)
+    # A task meets all words of a part, so there are as many parts as tasks.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def words_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, payload in zip(batch.column(0), batch.column(1)):
-                words = _unpack(payload.as_buffer()).column(2).values
-                for at in range(0, len(words), 10_000):
-                    part = words[at : at + 10_000]
-                    number = pa.array(np.arange(at, at + len(part), dtype=np.int32))
-                    blocks_of = pa.array(np.full(len(part), block.as_py()))
-                    yield pa.record_batch([part, blocks_of, number], names=["word", "block", "number"])
+            for block, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = _expanded(payload).column(2).values
+                order, ends = _by_part(words, parts)
+                sent = [
+                    (part, block, _compressed(pa.record_batch([words.take(pa.array(order[start:end]))], names=["word"])))
+                    for part, (start, end) in enumerate(zip([0, *ends], ends))
+                    if end > start
+                ]
+                columns = zip(*sent, strict=True) if sent else ([], [], [])
+                types = (pa.int32(), pa.int64(), pa.binary())
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=["part", "block", "words"])
 
     def encode_once(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = _encoding(ranks.value, pattern)
-        last, ids = None, b""
+        current = None
         for batch in batches:
             out = []
-            for word in batch.column(0).to_pylist():
-                if word != last:
-                    last, ids = word, np.array(encoding.encode_ordinary(word), "<u4").tobytes()
-                out.append(ids)
-            yield pa.record_batch([batch.column(1), batch.column(2), pa.array(out, pa.binary())], names=["block", "number", "ids"])
+            for part, data in zip(batch.column(0).to_pylist(), batch.column(2)):
+                if part != current:
+                    current, known = part, {}
+                found = []
+                for word in _expanded(data).column(0).to_pylist():
+                    ids = known.get(word)
+                    if ids is None:
+                        ids = known[word] = encoding.encode_ordinary(word)
+                    found.append(ids)
+                out.append(_compressed(pa.record_batch([pa.array(found, pa.list_(pa.uint32()))], names=["ids"])))
+            yield pa.record_batch([batch.column(1), batch.column(0), pa.array(out, pa.binary())], names=["block", "part", "ids"])
 
     encoded = (
-        blocks.mapInArrow(words_of, "word string, block long, number int")
-        .repartition("word")
-        .sortWithinPartitions("word")  # equal words one after another
-        .mapInArrow(encode_once, "block long, number int, ids binary")
+        blocks.mapInArrow(words_of, "part int, block long, words binary")
+        .repartition("part")
+        .sortWithinPartitions("part")
+        .mapInArrow(encode_once, "block long, part int, ids binary")
     )
 
     def reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        block = _unpack(left["payload"].combine_chunks()[0].as_buffer())
-        ids = right["ids"].take(pc.sort_indices(right["number"])).to_pylist()
+        block = _expanded(left["payload"][0])
+        order, _ = _by_part(block.column(2).values, parts)
+        ids: list[bytes] = [b""] * len(order)
+        at = 0
+        for data in right["ids"].take(pc.sort_indices(right["part"])):
+            lists = _expanded(data).column(0)
+            values, offsets = lists.values.to_numpy().astype("<u4").tobytes(), lists.offsets.to_numpy() * 4
+            for i, (start, end) in enumerate(zip(offsets.tolist(), offsets[1:].tolist()), at):
+                ids[order[i]] = values[start:end]
+            at += len(lists)
         planes = np.frombuffer(block.column(3)[0].as_buffer(), np.uint8)
         places = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
         out, start = [], 0
         for end in block.column(1).values.to_pylist():
             out.append(b"".join(map(ids.__getitem__, places[start:end].tolist())))
             start = end
-        return pa.table({"doc_id": block.column(0).values, "ids": pa.array(out, pa.large_binary()).cast(pa.binary())})
+        return pa.table({"doc_id": block.column(0).values, "ids": pa.array(out, pa.binary())})
 
     return blocks.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(reassemble, "doc_id long, ids binary")
 
