@@ -25,6 +25,7 @@ import sys
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -89,14 +90,24 @@ class _Distinct(dict):
         return number
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, bytes of one significance side by side: the higher ones are nearly all zero."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(planes: pa.Scalar) -> np.ndarray:
+    """What :func:`_planes` was given."""
+    data = np.frombuffer(planes.as_buffer(), np.uint8)
+    return np.ascontiguousarray(data.reshape(4, -1).T).view("<u4").ravel()
+
+
 def _pack(docs: list, ends: list[int], words: _Distinct, places: list[np.ndarray]) -> bytes:
     """One block as compressed bytes; frequent pre-tokens get small numbers."""
     every = np.concatenate(places) if places else np.empty(0, np.uint32)
     order = np.argsort(-np.bincount(every, minlength=len(words)), kind="stable")
     renumbered = np.empty(len(words), "<u4")
     renumbered[order] = np.arange(len(words))
-    # Bytes of one significance side by side: the higher ones are nearly all zero.
-    planes = renumbered[every].view(np.uint8).reshape(-1, 4).T.tobytes()
+    planes = _planes(renumbered[every])
     listed = list(words)
     columns = [pa.array([docs], _BLOCK[0].type), pa.array([ends], _BLOCK[1].type), pa.array([[listed[i] for i in order]], _BLOCK[2].type), pa.array([planes], _BLOCK[3].type)]
     return _compressed(pa.record_batch(columns, schema=_BLOCK))
@@ -187,7 +198,10 @@ def encode(docs: DataFrame, rank_file: bytes, pattern: str) -> DataFrame:
                     if ids is None:
                         ids = known[word] = encoding.encode_ordinary(word)
                     found.append(ids)
-                out.append(_compressed(pa.record_batch([pa.array(found, pa.list_(pa.uint32()))], names=["ids"])))
+                lengths = np.fromiter(map(len, found), np.uint32, len(found))
+                ids = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
+                sent = [pa.array([_planes(n)], pa.binary()) for n in (lengths, ids)]
+                out.append(_compressed(pa.record_batch(sent, names=["lengths", "ids"])))
             yield pa.record_batch([batch.column(1), batch.column(0), pa.array(out, pa.binary())], names=["block", "part", "ids"])
 
     encoded = (
@@ -203,13 +217,13 @@ def encode(docs: DataFrame, rank_file: bytes, pattern: str) -> DataFrame:
         ids: list[bytes] = [b""] * len(order)
         at = 0
         for data in right["ids"].take(pc.sort_indices(right["part"])):
-            lists = _expanded(data).column(0)
-            values, offsets = lists.values.to_numpy().astype("<u4").tobytes(), lists.offsets.to_numpy() * 4
-            for i, (start, end) in enumerate(zip(offsets.tolist(), offsets[1:].tolist()), at):
+            lengths, values = (_numbers(column[0]) for column in _expanded(data).columns)
+            values, start = values.tobytes(), 0
+            for i, end in enumerate(np.cumsum(4 * lengths.astype(np.int64)).tolist(), at):
                 ids[order[i]] = values[start:end]
-            at += len(lists)
-        planes = np.frombuffer(block.column(3)[0].as_buffer(), np.uint8)
-        places = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+                start = end
+            at += len(lengths)
+        places = _numbers(block.column(3)[0])
         out, start = [], 0
         for end in block.column(1).values.to_pylist():
             out.append(b"".join(map(ids.__getitem__, places[start:end].tolist())))
