@@ -100,8 +100,11 @@ def with_collation(tables: Mapping[str, DataFrame], collation: str = "UTF8_LCASE
 def write_table(df: DataFrame, root: str, table: str, mode: str = "append") -> None:
     """Append snapshots of one table, partitioned by collection date.
 
+    Appending a snapshot twice counts it twice.  ``mode="overwrite"`` replaces
+    the days that ``df`` has rows of and leaves the others alone.
+
     ``rebalance`` lets adaptive execution cut a large day into several files
     and merge small ones, whatever the partitioning of ``df`` was.
     """
     out = conform(df, table).hint("rebalance", PARTITION)
-    out.write.mode(mode).partitionBy(PARTITION).parquet(f"{root}/{table}")
+    out.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(PARTITION).parquet(f"{root}/{table}")

@@ -44,6 +44,8 @@ def test_round_trip_by_date_and_server(spark, tmp_path, table):
     assert "PartitionFilters: [isnotnull(collected_date" in last._jdf.queryExecution().executedPlan().toString()
     write_table(df, root, "databases")
     assert read_tables(spark, root, ["databases"])["databases"].count() == 12
+    write_table(df.where(f"collected_date = DATE'{days[0].date()}'"), root, "databases", mode="overwrite")
+    assert read_tables(spark, root, ["databases"])["databases"].count() == 10
 
 
 def test_activity_is_partitioned_by_poll(spark, table):
