@@ -11,6 +11,11 @@ the same pair with a probability equal to their generalised Jaccard
 similarity, the sum of the smaller weights over the sum of the larger ones.  A
 fingerprint has 16 bits of a hash of each sampled pair.
 
+The smallest a of a text is exponential with the text's total weight as rate,
+so it exceeds ``SURE`` over that weight with probability e ** -SURE.  Pairs
+for which cheap arithmetic shows that a is larger than that are passed over
+before any logarithm is taken.
+
 Draws are evaluated in generated code, ``LANES`` of them for each row: one row
 for all would make methods that are too long to be compiled.
 
@@ -30,6 +35,7 @@ from fleetgauge.llm.tables import NO_ID, stored, texts
 SAMPLES = 32
 LANES = 8
 HEX = 4  # hexadecimal digits of a sample
+SURE = 40.0
 
 _UNIFORM_BITS = 21
 
@@ -44,14 +50,19 @@ def _drawn(group: str, lane: int) -> Column:
     """A draw's ln(a) in the upper bits of a long and a hash of (word, t) in the lower 16."""
     first = F.xxhash64("term", group, F.lit(lane))
     second = F.xxhash64(first)
-    r = -F.ln(_uniform(first, 0) * _uniform(first, _UNIFORM_BITS))
-    ln_c = F.ln(-F.ln(_uniform(second, 0) * _uniform(second, _UNIFORM_BITS)))
+    q = _uniform(first, 0) * _uniform(first, _UNIFORM_BITS)
+    p = _uniform(second, 0) * _uniform(second, _UNIFORM_BITS)
     b = _uniform(second, 2 * _UNIFORM_BITS)
+    r = -F.ln(q)
     t = F.floor(F.col("ln_weight") / r + b)
-    ln_a = ln_c - r * (t - b + 1)
+    ln_a = F.ln(-F.ln(p)) - r * (t - b + 1)
+    # a = c * e ** -(r * (t - b + 1)) where c >= 1 - p, and e ** -r = q.  The power is at least q / weight; of a
+    # single word it is q ** (1 - b), at least the harmonic mean of q and 1.
+    above = F.when(F.col("weight") == 1, (1 - b) / q + b).otherwise(F.col("weight") / q)
+    possible = (1 - p) <= F.col("bound") * above
     # ln(a) is above -64: the weight of a word would have to exceed e ** 30 otherwise.
     order = ((ln_a + 64) * 2.0**39).cast("bigint")
-    return F.shiftleft(order, 16).bitwiseOR((F.col("term_hash") + t).bitwiseAND(0xFFFF))
+    return F.when(possible, F.shiftleft(order, 16).bitwiseOR((F.col("term_hash") + t).bitwiseAND(0xFFFF)))
 
 
 def fingerprints(rows: DataFrame, key: list[str], samples: int = SAMPLES) -> DataFrame:
@@ -61,14 +72,19 @@ def fingerprints(rows: DataFrame, key: list[str], samples: int = SAMPLES) -> Dat
     """
     if samples % LANES:
         raise ValueError(f"samples must be a multiple of {LANES}")
-    words = rows.select(*key, F.explode(F.split(F.lower("text"), r"[ \t-\r]+")).alias("word"))
+    cut = rows.select(*key, F.split(F.lower("text"), r"[ \t-\r]+").alias("words"))
+    # Up to two of them are the empty ends.
+    words = cut.selectExpr(*key, "words", "greatest(size(words) - 2, 1) AS total").selectExpr(
+        *key, "total", "explode(words) AS word"
+    )
     # A text without words keeps its row and samples nothing.
     weighted = (
-        words.selectExpr(*key, "IF(word = '', NULL, xxhash64(word)) AS term")
+        words.selectExpr(*key, "total", "IF(word = '', NULL, xxhash64(word)) AS term")
         .groupBy(*key, "term")
-        .agg(F.expr("count(*) AS weight"))
+        .agg(F.expr("CAST(count(*) AS DOUBLE) AS weight"), F.max("total").alias("total"))
         .selectExpr(
-            *key, "term", "ln(CAST(weight AS DOUBLE)) AS ln_weight", "xxhash64(term, 'pair') & 65535L AS term_hash",
+            *key, "term", "weight", "ln(weight) AS ln_weight", f"{SURE}D / total AS bound",
+            "xxhash64(term, 'pair') & 65535L AS term_hash",
             f"explode(sequence(0, {samples // LANES - 1})) AS draws",
         )
     )
@@ -115,9 +131,7 @@ def fingerprint_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     keyed = texts(docs).selectExpr(
         f"coalesce(doc_id, {NO_ID}) AS id", "xxhash64(text, doc_id IS NULL) AS h", "text"
     )
-    links = stored(
-        with_next(keyed.selectExpr("id", "h", "CAST(char_length(text) AS BIGINT) AS n_chars")), "links"
-    )
+    links = with_next(keyed.selectExpr("id", "h", "CAST(char_length(text) AS BIGINT) AS n_chars"))
     # Texts are shuffled once, by document; the next document's share of the edited text is shuffled to its owner.
     placed = keyed.repartition("id", "h").selectExpr("*", "row_number() OVER (PARTITION BY id, h ORDER BY id) AS copy")
     whole = placed.where("copy = 1").select("id", "h", "text")
