@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from fleetgauge.llm.tables import stored
+from fleetgauge.llm.tables import NO_ID, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,6 +27,30 @@ def components(edges: DataFrame) -> DataFrame:
     return hung.union(hung.selectExpr("root AS node", "root").distinct())
 
 
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Of each component the first row of ``docs`` by ``(doc_id, text)``, with all columns.
+
+    ``found`` has ``doc_id, text_hash, root`` for every document.
+    Rows that repeat the id and text of one that stays go as well.
+    """
+    keep = (
+        found
+        .groupBy("root")
+        .agg(F.expr("min(struct(doc_id IS NULL AS no_id, doc_id, text_hash)) AS row"))
+        .selectExpr(f"coalesce(row.doc_id, {NO_ID}) AS id", "row.no_id", "row.text_hash")
+    )
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = docs.select(
+        F.expr(f"coalesce(CAST(doc_id AS BIGINT), {NO_ID})").alias("id"),
+        F.expr("doc_id IS NULL").alias("no_id"),
+        F.expr("xxhash64(coalesce(text, ''))").alias("text_hash"),
+        row,
+    )
+    key = ["id", "no_id", "text_hash"]
+    # One of the rows that agree in id and text; found where the join has put them.
+    return rows.join(keep, key, "left_semi").dropDuplicates(key).select("row.*")
+
+
 def _oriented(edges: DataFrame) -> DataFrame:
     return edges.selectExpr("greatest(a, b) AS a", "least(a, b) AS b")
 

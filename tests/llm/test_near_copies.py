@@ -1,0 +1,69 @@
+"""The near dedup stage against brute force over five-word shingles."""
+
+from __future__ import annotations
+
+import random
+from itertools import combinations
+
+import numpy as np
+
+import corpus_pipeline
+from fleetgauge.llm import minhash
+from fleetgauge.llm.tables import table
+from tests.llm.test_operators import union
+
+SF001 = "/root/testdata/sf0.01"
+
+
+def plain_shingles(text: str) -> set[bytes]:
+    run = text.encode().lower().split()
+    return {b" ".join(run[i : i + 5]) for i in range(max(1, len(run) - 4))} if run else set()
+
+
+def jaccard(a: set, b: set) -> float:
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def kept_by_brute_force(docs: dict[int, str]) -> list[int]:
+    sets = {i: plain_shingles(t) for i, t in docs.items()}
+    near = [
+        (a, b)
+        for a, b in combinations(sorted(docs), 2)
+        if 5 * min(len(sets[a]), len(sets[b])) >= 4 * max(len(sets[a]), len(sets[b])) and jaccard(sets[a], sets[b]) >= 0.8
+    ]
+    return sorted(set(union(near, docs).values()))
+
+
+def kept_by_stage(spark, docs) -> list[int]:
+    return sorted(r["doc_id"] for r in corpus_pipeline.without_near_copies(spark, docs, "").collect())
+
+
+def edited(words: list[str], at, order: random.Random) -> str:
+    new = list(words)
+    for i in at:
+        new[i] = f"new{order.random()}"
+    return " ".join(new)
+
+
+def test_stage_keeps_what_brute_force_keeps(spark):
+    docs = corpus_pipeline.stored(corpus_pipeline.without_copies(spark, table(spark, SF001, "documents"), SF001), "distinct")
+    assert kept_by_stage(spark, docs) == kept_by_brute_force({r["doc_id"]: r["text"] or "" for r in docs.collect()})
+
+
+def test_copies_of_a_hub_are_linked_through_it(spark):
+    # Copies of the hub are similar to it, hardly any two of them to each other; the rest is similar to neither.
+    order = random.Random(3)
+    hub = [f"w{order.random()}" for _ in range(200)]
+    docs = {i: edited(hub, order.sample(range(200), 4), order) for i in range(80)} | {90: " ".join(hub)}
+    docs |= {100 + i: edited(hub, range(i % 9, 200, 9), order) for i in range(40)}
+    found = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert kept_by_stage(spark, found) == kept_by_brute_force(docs)
+
+
+def test_parities_bound_the_difference():
+    order = random.Random(4)
+    for n in (3, 100, 3000):
+        words = [f"w{order.random()}" for _ in range(n)]
+        a, b = (minhash.shingles(t.encode()) for t in (" ".join(words), edited(words, range(0, n, 25), order)))
+        bits = sum((x ^ y).bit_count() for x, y in zip(minhash.parity(a), minhash.parity(b)))
+        assert bits <= len(np.setxor1d(a, b)) and len(a) == max(1, n - 4)
