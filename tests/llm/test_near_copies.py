@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 
 import corpus_pipeline
-from fleetgauge.llm import minhash
+from fleetgauge.llm import minhash, simhash
 from fleetgauge.llm.tables import table
 from tests.llm.test_operators import union
 
@@ -67,3 +67,19 @@ def test_parities_bound_the_difference():
         a, b = (minhash.shingles(t.encode()) for t in (" ".join(words), edited(words, range(0, n, 25), order)))
         bits = sum((x ^ y).bit_count() for x, y in zip(minhash.parity(a), minhash.parity(b)))
         assert bits <= len(np.setxor1d(a, b)) and len(a) == max(1, n - 4)
+
+
+def test_few_bits_do_not_make_near_copies(spark):
+    # Pairs within 3 bits of SimHash on both sides of the threshold.
+    order = random.Random(5)
+    docs, below = {}, 0
+    for i in range(0, 400, 2):
+        words = [f"w{order.random()}" for _ in range(600)]
+        pair = " ".join(words), edited(words, order.sample(range(600), 18), order)
+        a, b = (simhash.fingerprint(t.encode()) for t in pair)
+        if (a ^ b).bit_count() <= 3:
+            docs |= {i: pair[0], i + 1: pair[1]}
+            below += jaccard(*map(plain_shingles, pair)) < 0.8
+    assert below
+    found = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert kept_by_stage(spark, found) == kept_by_brute_force(docs)
