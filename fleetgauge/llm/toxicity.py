@@ -10,7 +10,8 @@
    each other weigh less.  The sample's own counts hold the classes in place.
    Votes are kept as distinct combinations with counts.
 3. Classifier: a logistic regression on the selected features, trained on the
-   label model's posteriors of a bounded sample, scores every text.
+   label model's posteriors of a bounded sample, their odds raised or lowered
+   by a factor of ``LABEL_ODDS`` by each row's own label, scores every text.
 
 The caller gives the labels that may be learned from.  Only text decides a
 score.
