@@ -7,6 +7,11 @@ pattern is worth the share of its instances that are known to be of a kind, an
 instance is worth its best pattern.  Instances above ``ACCEPT`` are reported
 wherever they occur.  Seeds keep their kind and no span of theirs changes.
 
+Limits: a run ends at white space.  Of an identifier written in groups with
+blanks that no fixed pattern knows, only a group of at least ``DIGITS`` digits
+can be found, the rest stays; addresses of IP version 6 and spelled-out e-mail
+addresses ("name at host dot org") are not found.
+
 Defined results: a null text is empty; the same value counts once for a
 pattern however often copies repeat it; two spans of one place are both
 reported; an empty table gives an empty one.
