@@ -25,6 +25,12 @@ SCHEMAS = {
     "op9_chat": "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, "
     "formatted_chars bigint",
     "op10_sharding": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
+    "op11_merkle": "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string, "
+    "verified boolean",
+    "op12_repetition": "doc_id bigint, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, "
+    "runs_sha256 string, collapsed_sha256 string",
+    "op13_quality": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
+    "n_repeat_words bigint, base_failed boolean, kept boolean",
 }
 
 
@@ -74,7 +80,7 @@ def test_empty_tables(spark, empty, name):
     assert found.count() == (1 if name == "op9_chat" else 0)
 
 
-NATIVE = ("op2_fingerprints", "op4_exact_dedup", "op9_chat", "op10_sharding")
+NATIVE = ("op2_fingerprints", "op4_exact_dedup", "op9_chat", "op10_sharding", "op11_merkle", "op13_quality")
 
 
 @pytest.mark.parametrize("name", NATIVE)
