@@ -10,6 +10,7 @@ from fleetgauge.functions.arithmetic import int_avg, int_div
 from fleetgauge.functions.clock import boundary_diff, duration_text, minus_millis
 from fleetgauge.functions.text import contains_all, literal, one_of, statement_slice
 from fleetgauge.operators.lookup import in_databases, left_join_sparse, with_database_name, with_object_name
+from fleetgauge.operators.prefilter import may_be_among
 from fleetgauge.operators.ranking import ordering, share_rank, sort_filtered, top_k
 from fleetgauge.sources.schemas import KEYS
 
@@ -164,16 +165,35 @@ def texts(tables: Mapping[str, DataFrame], handle: str) -> DataFrame:
     return tables["sql_text"].selectExpr(*KEYS, f"handle AS {handle}", "text")
 
 
+def texts_of(tables: Mapping[str, DataFrame], winners: DataFrame, handle: str) -> DataFrame:
+    """Text of every handle that ``winners`` have, and of few others."""
+    return may_be_among(texts(tables, handle), winners, [*KEYS, handle])
+
+
 def top_queries_by_worker_time(tables: Mapping[str, DataFrame], k: int = 50) -> DataFrame:
     """Statements with the most worker time.
 
-    Ranking runs on counters only; the texts are joined to the ``k`` winners.
+    Ranking runs on counters only; the texts of the ``k`` winners are picked out where they are scanned.
     """
-    stats = tables["query_stats"].join(text_owners(tables, "plan_handle"), [*KEYS, "plan_handle"])
-    winners = top_k(stats, ["total_worker_time"], STATEMENT_ID, k)
+    measures = [
+        "total_worker_time",
+        "min_worker_time",
+        "max_worker_time",
+        "total_elapsed_time",
+        "min_elapsed_time",
+        "max_elapsed_time",
+        "total_logical_reads",
+        "min_logical_reads",
+        "max_logical_reads",
+        "execution_count",
+        "creation_time",
+    ]
+    stats = tables["query_stats"].select(*KEYS, *STATEMENT_ID, *measures)
+    owned = stats.join(text_owners(tables, "plan_handle").drop("objectid"), [*KEYS, "plan_handle"])
+    winners = top_k(owned, ["total_worker_time"], STATEMENT_ID, k)
     named = with_database_name(winners, tables["databases"], "dbid")
     return (
-        named.join(texts(tables, "plan_handle"), [*KEYS, "plan_handle"])
+        named.join(texts_of(tables, winners, "plan_handle"), [*KEYS, "plan_handle"])
         .orderBy(*KEYS, *ordering(["total_worker_time"], STATEMENT_ID))
         .selectExpr(
             *KEYS,
@@ -207,9 +227,17 @@ def top_queries_by_avg_cpu(tables: Mapping[str, DataFrame], k: int = 50) -> Data
 
 def _top_queries_by_cpu(tables: Mapping[str, DataFrame], by: str, k: int) -> DataFrame:
     stats = tables["query_stats"].selectExpr(
-        "*",
+        *KEYS,
+        *STATEMENT_ID,
+        "total_physical_reads",
+        "total_logical_reads",
+        "execution_count",
         "total_worker_time AS total_cpu_time",
         f"{per_execution('total_worker_time')} AS average_cpu_time",
+        "total_elapsed_time",
+        "max_logical_writes",
+        "creation_time",
+        "last_execution_time",
     )
     winners = top_k(
         stats.join(text_owners(tables, "sql_handle"), [*KEYS, "sql_handle"]), [by], STATEMENT_ID, k
@@ -218,7 +246,7 @@ def _top_queries_by_cpu(tables: Mapping[str, DataFrame], by: str, k: int) -> Dat
         with_database_name(winners, tables["databases"], "dbid"), tables["objects"]
     )
     return (
-        named.join(texts(tables, "sql_handle"), [*KEYS, "sql_handle"])
+        named.join(texts_of(tables, winners, "sql_handle"), [*KEYS, "sql_handle"])
         .orderBy(*KEYS, *ordering([by], STATEMENT_ID))
         .selectExpr(
             *KEYS,

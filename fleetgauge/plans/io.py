@@ -10,7 +10,7 @@ from fleetgauge.functions.arithmetic import decimal, half_up_ratio, int_div, int
 from fleetgauge.functions.text import statement_slice
 from fleetgauge.operators.lookup import in_databases, with_database_name, with_object_name
 from fleetgauge.operators.ranking import ordering, share_rank, top_k
-from fleetgauge.plans.cpu import STATEMENT_ID, per_execution, search_log, text_owners, texts
+from fleetgauge.plans.cpu import STATEMENT_ID, per_execution, search_log, text_owners, texts_of
 from fleetgauge.sources.schemas import KEYS
 
 # Message of a stalled I/O request, and sizes.
@@ -162,7 +162,7 @@ def top_statements_by_avg_io(
     """
     owned = in_databases(text_owners(tables, "sql_handle"), tables["databases"], database, "dbid")
     stats = tables["query_stats"].selectExpr(
-        "*", f"{per_execution('total_logical_reads + total_logical_writes')} AS avg_io"
+        *KEYS, *STATEMENT_ID, "execution_count", f"{per_execution('total_logical_reads + total_logical_writes')} AS avg_io"
     )
     winners = top_k(
         stats.join(owned, [*KEYS, "sql_handle"]), ["avg_io"], STATEMENT_ID, k, group=[*KEYS, "dbid"]
@@ -170,7 +170,7 @@ def top_statements_by_avg_io(
     statement = statement_slice("text", "statement_start_offset", "statement_end_offset", "legacy")
     return (
         with_object_name(winners, tables["objects"])
-        .join(texts(tables, "sql_handle"), [*KEYS, "sql_handle"])
+        .join(texts_of(tables, winners, "sql_handle"), [*KEYS, "sql_handle"])
         .orderBy(*KEYS, "dbid", *ordering(["avg_io"], STATEMENT_ID))
         .selectExpr(
             *KEYS,
