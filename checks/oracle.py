@@ -195,6 +195,32 @@ def _slice(start: str, end: str, legacy: bool) -> str:
     return f"substring(t.text, {start} // 2 + {extra}, greatest({size}, 0))"
 
 
+# UTF-16 units of a text in a list; the second half of a character of two is an empty string.
+_UNITS = "flatten(list_transform(string_split({}, ''), lambda c: CASE WHEN unicode(c) > 65535 THEN [c, ''] ELSE [c] END))"
+
+
+def _unit_slice(start: str, end: str, legacy: bool) -> str:
+    """The same over units, half a character at either end as U+FFFD."""
+    measured, extra = ("rtrim(t.text, ' ')", 0) if legacy else ("t.text", 1)
+    first = f"({start} // 2 + {extra})"
+    size = f"((CASE WHEN {end} = -1 THEN 2 * len({_UNITS.format(measured)}) ELSE {end} END - {start}) // 2 + {extra})"
+    units = f"list_slice({_UNITS.format('t.text')}, greatest({first}, 1), greatest({first} + {size} - 1, 0))"
+    mended = (
+        f"list_transform({units}, lambda u, i: CASE WHEN i = 1 AND u = '' OR unicode(u) > 65535"
+        f" AND i = len({units}) THEN chr(65533) ELSE u END)"
+    )
+    return f"CASE WHEN t.text IS NOT NULL AND {start} IS NOT NULL THEN array_to_string({mended}, '') END"
+
+
+def _beyond_bmp(sql: str, legacy: bool) -> str:
+    """The same over texts with characters of two units, slices counted in units."""
+    offsets = ("statement_start_offset", "statement_end_offset", legacy)
+    texts = check_sql("sql_text")
+    sql = sql.replace(_slice(*offsets), _unit_slice(*offsets))
+    edited = "'\U0001f600' || left(text, 5) || '\U0001f600\U0001d11e' || substring(text, 6)"
+    return sql.replace(f"sql_text AS ({texts})", f"sql_text AS (SELECT * REPLACE ({edited} AS text) FROM ({texts}))")
+
+
 _TOP_AVG_IO = _with(
     "query_stats sql_text databases objects",
     f"""SELECT q.server_name, q.collected_at, d.name AS database_name, o.name AS sp_name,
@@ -462,6 +488,9 @@ def oracle_sql() -> dict[str, str]:
         ),
         "active_requests": _ACTIVE,
         "head_blockers": _HEADS,
+        "active_requests_beyond_bmp": _beyond_bmp(_ACTIVE, False),
+        "head_blockers_beyond_bmp": _beyond_bmp(_HEADS, True),
+        "top_statements_by_avg_io_beyond_bmp": _beyond_bmp(_TOP_AVG_IO, True),
         "log_segment_count": _SEGMENTS,
         "drive_latency": _DRIVES,
         "io_stalls_by_file": _STALLS,

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DecimalType, FloatType
 
 from fleetgauge import REPORTS, report
@@ -53,10 +53,21 @@ for ranged in (
     BINDINGS[ranged] = (ranged, RANGE)
 
 
+# Texts with characters of two UTF-16 units, ahead of the statement and inside it.
+BEYOND_BMP = {"text": "concat('\U0001f600', left(text, 5), '\U0001f600\U0001d11e', substring(text, 6))"}
+EDITS: dict[str, dict[str, dict[str, str]]] = {}
+for sliced in ("active_requests", "head_blockers", "top_statements_by_avg_io"):
+    BINDINGS[f"{sliced}_beyond_bmp"] = BINDINGS[sliced]
+    EDITS[f"{sliced}_beyond_bmp"] = {"sql_text": BEYOND_BMP}
+
+
 def run(query: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report over the test tables, in the report's own types."""
     name, params = BINDINGS[query]
-    return report(name, telemetry(spark, sf_dir, REPORTS[name].tables), **params)
+    tables = telemetry(spark, sf_dir, REPORTS[name].tables)
+    for table, columns in EDITS.get(query, {}).items():
+        tables[table] = tables[table].withColumns({c: F.expr(e) for c, e in columns.items()})
+    return report(name, tables, **params)
 
 
 def comparable(df: DataFrame) -> DataFrame:

@@ -41,19 +41,50 @@ def substring_clipped(text: str, start: str, length: str) -> str:
     )
 
 
+def utf16_length(text: str) -> str:
+    """Length in UTF-16 units, as servers count: characters beyond the basic plane take two."""
+    return f"(octet_length(encode({text}, 'UTF-16LE')) div 2)"
+
+
+def utf16_substring(text: str, start: str, length: str) -> str:
+    """:func:`substring_clipped` over UTF-16 units.
+
+    A slice that cuts a character of two units in half has U+FFFD in its place,
+    since half a character cannot be stored.  Texts without such characters,
+    that is nearly all, are cut by characters.
+    """
+    # Offsets and bytes of one text, bound once.  The high byte of a unit tells the halves apart.
+    bound = (
+        f"struct(CAST(greatest({start}, 1) - 1 AS INT) AS f, CAST(greatest({start} + {length} - 1, 0) AS INT) AS t,"
+        f" encode({text}, 'UTF-16LE') AS b)"
+    )
+    cut = f"transform(array({bound}), s -> substring(s.b, 2 * s.f + 1, 2 * greatest(s.t - s.f, 0)))"
+    halves = (
+        f"transform({cut}, b -> struct(b, substring(b, 2, 1) BETWEEN X'DC' AND X'DF' AS low,"
+        " octet_length(b) > 0 AND substring(b, -1, 1) BETWEEN X'D8' AND X'DB' AS high))"
+    )
+    whole = "substring(s.b, IF(s.low, 3, 1), octet_length(s.b) - IF(s.low, 2, 0) - IF(s.high, 2, 0))"
+    half = "decode(X'FDFF', 'UTF-16LE')"
+    joined = f"concat(IF(s.low, {half}, ''), decode({whole}, 'UTF-16LE'), IF(s.high, {half}, ''))"
+    return (
+        f"CASE WHEN {utf16_length(text)} = char_length({text}) THEN {substring_clipped(text, start, length)}"
+        f" WHEN {start} IS NOT NULL THEN get(transform({halves}, s -> {joined}), 0) END"
+    )
+
+
 def statement_slice(text: str, start_offset: str, end_offset: str, mode: str) -> str:
-    """The running statement of a batch, from its byte offsets (2 per character).
+    """The running statement of a batch, from its byte offsets (2 per UTF-16 unit).
 
     An end offset of -1 means "to the end of the text".  ``exact`` is the
     documented formula.  ``legacy`` leaves out both +1 terms, so it begins one
-    character early and loses the last one, and ignores trailing blanks when it
+    unit early and loses the last one, and ignores trailing blanks when it
     measures the text; some reports have always been read that way.
     """
     if mode not in ("exact", "legacy"):
         raise ValueError(f"unknown mode: {mode}")
     measured, extra = (text, 1) if mode == "exact" else (f"rtrim({text})", 0)
-    end = f"(CASE WHEN {end_offset} = -1 THEN 2 * length({measured}) ELSE {end_offset} END)"
-    return substring_clipped(
+    end = f"(CASE WHEN {end_offset} = -1 THEN 2 * {utf16_length(measured)} ELSE {end_offset} END)"
+    return utf16_substring(
         text, f"({start_offset} div 2 + {extra})", f"(({end} - {start_offset}) div 2 + {extra})"
     )
 

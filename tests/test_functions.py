@@ -135,6 +135,33 @@ def test_legacy_statement_slice_is_one_off(spark):
         statement_slice("s", "a", "b", "other")
 
 
+WIDE = "\U0001f600ab\U0001d11e c\U0001f600  "
+
+
+def utf16_slice(text: str, start: int, end: int, mode: str) -> str:
+    """The scripts' arithmetic on bytes; half a character reads as U+FFFD."""
+    data, extra = text.encode("utf-16-le"), 1 if mode == "exact" else 0
+    measured = data if mode == "exact" else text.rstrip(" ").encode("utf-16-le")
+    first = start // 2 + extra
+    length = int(((len(measured) if end == -1 else end) - start) / 2) + extra
+    first, last = max(first, 1), first + max(length, 0 if first >= 1 else length)
+    return data[2 * (first - 1) : 2 * (max(last, first) - 1)].decode("utf-16-le", "replace")
+
+
+@pytest.mark.parametrize("mode", ["exact", "legacy"])
+@pytest.mark.parametrize("text", [WIDE, "plain text ", "\U0001f600", "", "é\U0001f600"])
+def test_statement_slices_count_utf16_units(spark, mode, text):
+    offsets = [(start, end) for start in range(0, 26, 2) for end in (-1, *range(0, 28, 2))]
+    rows = spark.createDataFrame([(text, *o) for o in offsets], "t string, s int, e int")
+    sliced = rows.selectExpr("s", "e", f"{statement_slice('t', 's', 'e', mode)} AS found").collect()
+    assert {(r["s"], r["e"]): r["found"] for r in sliced} == {o: utf16_slice(text, *o, mode) for o in offsets}
+
+
+def test_statement_slices_of_null(spark):
+    rows = spark.sql("SELECT CAST(NULL AS STRING) AS t, 0 AS s, -1 AS e UNION ALL SELECT '\U0001f600', NULL, -1")
+    assert [r[0] for r in rows.selectExpr(statement_slice("t", "s", "e", "exact")).collect()] == [None, None]
+
+
 def test_last_part_of_names(spark):
     names = ["[a].[b].[c]", "a.b.c", "[a].[b].[c.d]", "[a].[x]]y]", "plain", "", None]
     got = evaluate(spark, last_name_part("s"), "s string", *((n,) for n in names))
