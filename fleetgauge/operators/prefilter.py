@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Words of 64 bits, 256 KB in all: of 100,000 keys in the filter, one other key in 500 passes.
 # With more keys more pass, and the filter does not grow.
@@ -29,20 +29,28 @@ def _mask(keys: str) -> str:
     return f"({' | '.join(bits)})"
 
 
-def may_be_among(df: DataFrame, found: DataFrame, keys: Sequence[str], words: int = _WORDS) -> DataFrame:
-    """Rows of ``df`` that can match ``found`` on ``keys``: all that do, and few others.
+def among(found: DataFrame, keys: Sequence[str], words: int = _WORDS) -> Column:
+    """True for rows whose ``keys`` (columns of that name) ``found`` has, and for few others; never NULL.
 
     The filter is a scalar subquery, so nothing runs before an action.  It
-    reads every column of ``found``: its plan is then the same as in the join
-    that follows, and Spark computes ``found`` up to its last exchange once.
-    ``words`` is a power of two.
+    reads every column of ``found``: its plan is then the same as where
+    ``found`` is used itself, and Spark computes it up to its last exchange
+    once.  ``words`` is a power of two.
     """
     listed = ", ".join(f"`{k}`" for k in keys)
-    # Nothing is added to the mask, but no column is pruned.
-    whole = f"(xxhash64({', '.join(f'`{c}`' for c in found.columns)}) & 0L)"
-    marks = found.selectExpr(f"{_word(listed, words)} AS word", f"{_mask(listed)} | {whole} AS mask")
-    none = df.sparkSession.range(words).selectExpr("CAST(id AS INT) AS word", "0L AS mask")
+    marks = found.selectExpr(f"{_word(listed, words)} AS word", f"{_mask(listed)} | {unpruned(found.columns)} AS mask")
+    none = found.sparkSession.range(words).selectExpr("CAST(id AS INT) AS word", "0L AS mask")
     filled = marks.union(none).groupBy("word").agg(F.expr("bit_or(mask) AS mask"))
     bits = filled.agg(F.expr("array_sort(collect_list(struct(word, mask))).mask AS bits")).scalar()
     mask = F.expr(_mask(listed))
-    return df.where(F.get(bits, F.expr(_word(listed, words))).bitwiseAND(mask) == mask)
+    return F.get(bits, F.expr(_word(listed, words))).bitwiseAND(mask) == mask
+
+
+def unpruned(columns: Sequence[str]) -> str:
+    """SQL of zero, for which Spark reads all columns: plans that differ in columns alone would not share an exchange."""
+    return f"(xxhash64({', '.join(f'`{c}`' for c in columns)}) & 0L)"
+
+
+def may_be_among(df: DataFrame, found: DataFrame, keys: Sequence[str], words: int = _WORDS) -> DataFrame:
+    """Rows of ``df`` that can match ``found`` on ``keys``: all that do, and few others."""
+    return df.where(among(found, keys, words))

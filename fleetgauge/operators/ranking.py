@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetgauge.functions.arithmetic import percent_of
+from fleetgauge.operators.prefilter import among, unpruned
 from fleetgauge.sources.schemas import KEYS
 
 # Up to this k Spark prunes row_number() <= k before the shuffle
@@ -26,6 +27,8 @@ _PRUNED_K = 1000
 # Rows one task is meant to sort: a group of more is cut into ranges of about
 # that many.
 _RANGE_ROWS = 1_000_000
+# Least bytes of a row, to tell from an input's size that no group can be larger than a range.
+_ROW_BYTES = 64
 # Candidates for each cut, of which one is used: ranges come out more even.
 _CANDIDATES = 8
 # Cuts of one array.  Groups that need more are cut in two steps.
@@ -90,27 +93,50 @@ def ordered(
     ``group_sum`` over the whole group.  ``below`` keeps only the rows whose
     prior sum is under that percentage of the group's sum.
 
-    ``plain`` orders a group in one task.  ``bucketed`` counts the groups
-    first, with a job of its own.  If none has more than ``range_rows`` rows
-    the result is that of ``plain``, in the same plan; otherwise groups that
-    have are cut into ranges, one task each: counts and sums of the ranges give
-    every range its offset.
+    ``plain`` orders a group in one task.  ``bucketed`` cuts groups of more than
+    ``range_rows`` rows into ranges, one task each: counts and sums of the
+    ranges give every range its offset.  Which groups those are is found within
+    the same plan, so nothing runs before an action: the rows are dealt out
+    once, by their hash, and all that follows reads that exchange.  A filter
+    of fixed size tells the rows of hot groups from the others; a group it
+    takes for hot is cut as well, into one range.  An input that is small as a
+    whole has no large group: it is planned as ``plain``, by Spark's estimate.
     """
     if strategy not in ("plain", "bucketed"):
         raise ValueError(f"unknown strategy: {strategy}")
-    largest = 0
-    if strategy == "bucketed":
-        sizes = df.groupBy(*group).agg(F.expr("count(*) AS group_rows"))
-        largest = sizes.agg(F.max("group_rows")).first()[0] or 0
-    if largest <= range_rows:
+    if strategy == "plain" or _estimated_bytes(df) <= range_rows * _ROW_BYTES:
         return _below(_ranked(df, by, entity, measure, group), below)
 
+    dealt = df.repartition(F.xxhash64(*(f"`{c}`" for c in df.columns)))
+    sizes = dealt.groupBy(*group).agg(F.expr(f"sum(1L + {unpruned(df.columns)}) AS group_rows"))
+    # Zero, but no constant to Spark: a filter that can be moved would go below the exchange, which then is one for each branch.
+    zero = F.rand(0).cast("int")
+    is_hot = among(sizes.where(f"group_rows > {range_rows}"), group).cast("int") + zero == 1
+    cool = _below(_ranked(dealt.where(~is_hot), by, entity, measure, group), below)
+    cut = _by_range(dealt.where(is_hot), by, entity, measure, group, below, range_rows)
+    # Sums of sums can be wider decimals.
+    return cool.union(cut.select(*(F.col(f"`{f.name}`").cast(f.dataType) for f in cool.schema)))
+
+
+def _estimated_bytes(df: DataFrame) -> int:
+    """Size of a frame by the files it reads, as Spark estimates it for joins; no job runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def _by_range(
+    df: DataFrame,
+    by: Sequence[str],
+    entity: Sequence[str],
+    measure: str | None,
+    group: Sequence[str],
+    below: float | None,
+    range_rows: int,
+) -> DataFrame:
+    """The same for groups of any size, range by range."""
     ranges = [*group, "coarse", "fine"]
-    hot = sizes.where(f"group_rows > {range_rows}")
     placed = df.selectExpr("*", "CAST(0 AS BIGINT) AS coarse", "CAST(0 AS BIGINT) AS fine")
-    if largest > range_rows * _FAN:
-        placed = _cut(placed, by, entity, group, hot, range_rows * _FAN, "coarse")
-    placed = _cut(placed, by, entity, [*group, "coarse"], hot, range_rows, "fine")
+    placed = _cut(placed, by, entity, group, range_rows * _FAN, "coarse")
+    placed = _cut(placed, by, entity, [*group, "coarse"], range_rows, "fine")
     # Offsets of the ranges; a group that was not cut is one range and needs none.
     before = _window(group, entity=["coarse", "fine"], frame=_BEFORE)
     exprs = [f"coalesce(sum(n) {before}, 0) AS n_before"]
@@ -152,9 +178,9 @@ def _below(ranked: DataFrame, below: float | None) -> DataFrame:
 
 
 def _cut(
-    df: DataFrame, by: Sequence[str], entity: Sequence[str], keys: Sequence[str], hot: DataFrame, rows: int, name: str
+    df: DataFrame, by: Sequence[str], entity: Sequence[str], keys: Sequence[str], rows: int, name: str
 ) -> DataFrame:
-    """Set column ``name`` to the range, of about ``rows`` rows, that a row of a hot group falls in.
+    """Set column ``name`` to the range, of about ``rows`` rows, that a row falls in.
 
     A group is cut at some of its own rows, picked by a hash of the row.  The
     choice depends on values alone, so a task that is run again sees the same
@@ -167,10 +193,7 @@ def _cut(
     tie = f"xxhash64({', '.join(f'`{c}`' for c in values)})"
     # Ascending comparison of this struct is the common order.
     position = f"struct({', '.join([f'{c} IS NULL, -{c}' for c in by] + list(entity))}, {tie})"
-    group = [k for k in keys if k != "coarse"]
-    hot = hot.selectExpr(*(f"`{c}` AS `hot_{c}`" for c in group))
     picked = df.where(f"pmod({tie}, {max(1, rows // _CANDIDATES)}) = 0")
-    picked = picked.join(hot, [picked[c].eqNullSafe(hot[f"hot_{c}"]) for c in group], "left_semi")
     every = f"transform(sequence({_CANDIDATES}, size(found), {_CANDIDATES}), i -> get(found, i - 1))"
     cuts = (
         picked.groupBy(*keys)

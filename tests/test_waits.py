@@ -111,13 +111,9 @@ def ranges_of(df, range_rows):
     """Rows of the largest range that a hot group was cut into, and the number of ranges."""
     from fleetgauge.operators.ranking import _cut
 
-    hot = df.groupBy("g").agg(F.expr("count(*) AS group_rows")).where(f"group_rows > {range_rows}")
-    placed = df.selectExpr("*", "0L AS coarse", "0L AS fine")
-    cut = _cut(placed, ["m"], ["e"], ["g", "coarse"], hot, range_rows, "fine")
-    found = [tuple(r) for r in cut.groupBy("g", "fine").count().collect()]
-    hot_groups = {r["g"] for r in hot.collect()}
-    assert "hot" in hot_groups and all(fine == 0 for g, fine, _ in found if g not in hot_groups)
-    sizes = [n for g, _, n in found if g == "hot"]
+    placed = df.where("g = 'hot'").selectExpr("*", "0L AS coarse", "0L AS fine")
+    cut = _cut(placed, ["m"], ["e"], ["g", "coarse"], range_rows, "fine")
+    sizes = [r["count"] for r in cut.groupBy("fine").count().collect()]
     return max(sizes), len(sizes)
 
 
@@ -166,13 +162,67 @@ def test_a_null_group_is_kept(spark, strategy, range_rows):
     assert sorted(got.select("e", "row_rank", "group_sum").collect()) == [("a", 2, 3), ("b", 1, 3), ("c", 1, 3)]
 
 
-def test_without_a_hot_group_the_plan_is_the_plain_one(spark, table):
+def jobs_of(spark, name, action):
+    """Jobs that ``action`` starts, and what it gives."""
+    spark.sparkContext.setJobGroup(name, "")
+    try:
+        out = action()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name)), out
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
+@pytest.mark.parametrize("name", ["wait_pareto", "latch_pareto", "top_k", "share_rank"])
+def test_nothing_runs_before_an_action(spark, tmp_path, name):
+    from conftest import SMALL_DIR
+
+    from checks.queries import run
+    from fleetgauge.operators.ranking import share_rank
+
+    df = skewed(spark, 4000)
+    build = {
+        "top_k": lambda: top_k(df, ["m"], ["e"], 1001, ["g"]),
+        "share_rank": lambda: share_rank(df, "m", ["e"], ["g"]),
+    }.get(name, lambda: run(name, spark, SMALL_DIR))
+    planned, got = jobs_of(spark, f"plan {name} {tmp_path}", build)
+    assert planned == 0
+    ran, _ = jobs_of(spark, f"run {name} {tmp_path}", got.collect)
+    assert ran > 0
+
+
+@pytest.mark.parametrize("range_rows", [500, 1_000_000])
+def test_the_input_is_read_once(spark, tmp_path, range_rows):
+    """Hot or not: rows that a source gives are counted as they are read."""
+    path = str(tmp_path / "rows")
+    skewed(spark, 20_000).write.parquet(path)
+    read = spark.sparkContext.accumulator(0)
+    source = spark.read.parquet(path)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    got = ordered(source.mapInArrow(seen, source.schema), ["m"], ["e"], "m", ["g"], below=95, range_rows=range_rows)
+    plain = ordered(source, ["m"], ["e"], "m", ["g"], "plain", below=95)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+    assert read.value == 20_000
+
+
+def test_a_small_input_is_planned_plainly(spark, tmp_path):
     from test_registered import plan_text
 
-    waits = {"wait_stats": table("wait_stats", wait("A", 50), wait("B", 45))}
-    for report in (lambda s: wait_pareto(waits, strategy=s),):
-        plan = plan_text(report("bucketed"))
-        assert plan.count("Scan") == plan_text(report("plain")).count("Scan") == 1
+    skewed(spark, 1000).write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    assert "Subquery" not in plan_text(ordered(df, ["m"], ["e"], "m", ["g"]))
+    assert "Subquery" in plan_text(ordered(df, ["m"], ["e"], "m", ["g"], range_rows=10))
+
+
+def test_decimals_keep_their_type(spark):
+    df = skewed(spark, 500).selectExpr("g", "CAST(m AS DECIMAL(20, 2)) AS m", "e")
+    plain, cut = (ordered(df, ["m"], ["e"], "m", ["g"], s, range_rows=20) for s in ("plain", "bucketed"))
+    assert [(f.name, f.dataType) for f in plain.schema] == [(f.name, f.dataType) for f in cut.schema]
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, plain.collect()))
 
 
 def test_top_k_beyond_the_pruned_size(spark):
