@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from fleetgauge.plans import activity, cpu, index, io, waits
+from fleetgauge.sources.buckets import LAYOUT, bucketed_session, read_bucketed
 from fleetgauge.sources.snapshots import read_tables
 
 
@@ -97,13 +98,21 @@ def report_over(
     first_date=None,
     last_date=None,
     servers=None,
+    buckets=None,
     **params,
 ) -> DataFrame:
     """Run one report over the snapshot tables stored under ``root``.
 
     Dates are those of the capture, for session history those of the poll.
+    With ``buckets``, tables that :func:`fleetgauge.sources.buckets.write_bucketed`
+    stored in so many are read from there.
     """
+    wanted = REPORTS[name].tables
+    by_bucket = [t for t in wanted if buckets and t in LAYOUT]
+    if by_bucket:
+        spark = bucketed_session(spark)
     tables = read_tables(
-        spark, root, REPORTS[name].tables, first_date, last_date, servers, undated=REPORTS[name].undated
+        spark, root, [t for t in wanted if t not in by_bucket], first_date, last_date, servers, undated=REPORTS[name].undated
     )
+    tables |= read_bucketed(spark, root, by_bucket, first_date, last_date, servers, buckets)
     return report(name, tables, **params)

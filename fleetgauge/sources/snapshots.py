@@ -52,10 +52,19 @@ def read_table(
     The dates filter the partition column, so files outside them are never
     opened; the server filter is pushed to the Parquet scan.
     """
-    declared = schema(table)
+    return filtered(spark.read.schema(schema(table)).parquet(f"{root}/{table}"), table, first_date, last_date, servers)
+
+
+def filtered(
+    df: DataFrame,
+    table: str,
+    first_date: dt.date | None = None,
+    last_date: dt.date | None = None,
+    servers: Iterable[str] | None = None,
+) -> DataFrame:
+    """Snapshots of a stored table, with the filters of :func:`read_table`."""
     # Parquet puts the partition column last; bring it back to its place.
-    df = spark.read.schema(declared).parquet(f"{root}/{table}").select(*_columns(table))
-    df = df.withMetadata(PARTITION, {DERIVED: True})
+    df = df.select(*_columns(table)).withMetadata(PARTITION, {DERIVED: True})
     if first_date is not None:
         df = df.where(F.col(PARTITION) >= F.lit(first_date))
     if last_date is not None:
