@@ -7,7 +7,9 @@ fractions by integer arithmetic.
 
 from __future__ import annotations
 
-from checks.queries import ALLOWED, CUT, LOG_TERMS, ONE_DATABASE, ONE_TABLE, OWN_SESSIONS, RANGE, WARNING_TERM
+from checks.queries import (
+    ALLOWED, APPENDED, CUT, LOG_TERMS, ONE_DATABASE, ONE_TABLE, OWN_SESSIONS, RANGE, STORED, WARNING_TERM,
+)
 from fleetgauge.plans.waits import HELP_URL, benign_waits
 from fleetgauge.sources.adapters import check_sql
 
@@ -460,6 +462,12 @@ def _cut(sql: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    found = _oracle_sql()
+    # Where tables come from does not show in a report.
+    return found | {query: found[name] for query, name in (STORED | APPENDED).items()}
+
+
+def _oracle_sql() -> dict[str, str]:
     return {
         "wait_pareto": _wait_pareto(),
         "latch_pareto": _latch_pareto(),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from checks.compare import connect, differences
-from checks.queries import BINDINGS, queries
+from checks.queries import APPENDED, BINDINGS, STORED, queries
 from fleetgauge import REPORTS, report
 from fleetgauge.operators import ranking
 from fleetgauge.sources.adapters import telemetry
@@ -38,6 +38,11 @@ def test_same_rows_as_the_check(spark, con, name):
     assert differences(spark, con, SMALL_DIR, name) == []
 
 
+@pytest.mark.parametrize("name", [*STORED, *APPENDED])
+def test_same_rows_from_stored_tables(spark, con, tmp_path, name):
+    assert differences(spark, con, SMALL_DIR, name) == []
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_same_rows_without_any_broadcast(spark, con, name):
     """As on data where no side is small."""
