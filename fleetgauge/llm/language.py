@@ -79,8 +79,10 @@ _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
 def letters_of(word: str) -> str:
-    """A lower-cased word without what is not a letter."""
-    return _NOT_LETTERS.sub("", word)
+    """A lower-cased word without what is not a letter, that is not of Unicode category L."""
+    kept = _NOT_LETTERS.sub("", word)
+    # What is left may be numeric without being a digit, as superscripts, fractions and Roman numerals are.
+    return kept if kept.isalpha() else "".join(filter(str.isalpha, kept))
 
 
 def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
