@@ -4,8 +4,11 @@ Spans of the fixed patterns are seeds.  The words around a seed are lexical
 patterns; so are the words around every other identifier-like run of
 characters.  Spark scores the graph of patterns and instances in rounds: a
 pattern is worth the share of its instances that are known to be of a kind, an
-instance is worth its best pattern.  Instances above ``ACCEPT`` are reported
-wherever they occur.  Seeds keep their kind and no span of theirs changes.
+instance is worth its best pattern.  In later rounds accepted instances count as
+known, but not for the pattern they owe that to.  Instances above ``ACCEPT`` are reported wherever
+they occur.  So are runs that the fixed patterns take where they stand alone,
+and those that are a seed elsewhere: beside other digits they are part of a
+longer match that fails.  Seeds keep their kind and no span of theirs changes.
 
 Limits: a run ends at white space.  Of an identifier written in groups with
 blanks that no fixed pattern knows, only a group of at least ``DIGITS`` digits
@@ -109,10 +112,21 @@ def other_runs(text: str, taken: list[Span]) -> Iterator[tuple[int, int]]:
             yield start, end
 
 
+def kind_alone(run: str) -> int:
+    """Kind of a run by the fixed patterns, if one of them takes it whole; otherwise -1."""
+    return next((k for a, b, k in base_spans(run) if (a, b) == (0, len(run))), -1)
+
+
 def contexts(text: str, start: int, end: int) -> list[str]:
     """Lexical patterns of a span: one and two words before it, one after, one on each side."""
-    before = [w.strip(".,;:!?\"'()[]").lower() for w in text[max(0, start - WINDOW) : start].split()[-2:]]
-    after = [w.strip(".,;:!?\"'()[]").lower() for w in text[end : end + WINDOW].split()[:1]]
+    left, right = text[max(0, start - WINDOW) : start], text[end : end + WINDOW]
+    # A word that reaches beyond the window is none, however long it is.
+    if start > WINDOW and not text[start - WINDOW - 1].isspace():
+        left = left.lstrip() if left[:1].isspace() else "".join(left.split(maxsplit=1)[1:])
+    if len(text) > end + WINDOW and not any(c.isspace() for c in right.lstrip()):
+        right = ""
+    before = [w.strip(".,;:!?\"'()[]").lower() for w in left.split()[-2:]]
+    after = [w.strip(".,;:!?\"'()[]").lower() for w in right.split()[:1]]
     out = [f"{before[-1]} _"] if before else []
     if len(before) == 2:
         out.append(f"{before[0]} {before[1]} _")
@@ -124,13 +138,16 @@ def contexts(text: str, start: int, end: int) -> list[str]:
 
 
 _SPAN = "struct<start: int, end: int, kind: int>"
-_MENTION = "struct<start: int, end: int, kind: int, value: string, patterns: array<string>>"
+_MENTION = "struct<start: int, end: int, kind: int, value: string, patterns: array<string>, alone: int>"
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, base`` (spans) and ``mentions`` (seeds and other runs with their patterns; no kind: -1)."""
+    """``doc_id, text_hash, base`` (spans) and ``mentions`` (seeds and other runs with their patterns; no kind: -1).
+
+    ``alone`` is the kind that another run has by itself.
+    """
     span = [("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int32())]
-    mention = pa.struct([*span, ("value", pa.string()), ("patterns", pa.list_(pa.string()))])
+    mention = pa.struct([*span, ("value", pa.string()), ("patterns", pa.list_(pa.string())), ("alone", pa.int32())])
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,7 +158,10 @@ def scan(docs: DataFrame) -> DataFrame:
                 every = seeds + [(a, b, -1) for a, b in other_runs(text, seeds)]
                 mentions.append(
                     [
-                        {"start": a, "end": b, "kind": k, "value": text[a:b].lower(), "patterns": contexts(text, a, b)}
+                        {
+                            "start": a, "end": b, "kind": k, "value": text[a:b].lower(), "patterns": contexts(text, a, b),
+                            "alone": k if k >= 0 else kind_alone(text[a:b]),
+                        }
                         for a, b, k in every
                     ]
                 )
@@ -163,17 +183,33 @@ def bootstrap(scanned: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT)
     for _ in range(rounds):
         known = seeds
         if scores is not None:
-            grown = open_edges.join(scores, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("known"))
+            # A pattern learns from its instances what their other patterns say of them, if that is enough to accept them.
+            told = open_edges.join(scores, "value").selectExpr("pattern", "kind", "IF(pattern = by, second, score) AS told")
+            grown = told.where(F.col("told") >= accept).groupBy("pattern", "kind").agg(F.sum("told").alias("known"))
             known = seeds.unionByName(grown).groupBy("pattern", "kind").agg(F.sum("known").alias("known"))
         # One instance more than there are: a pattern needs several to be worth anything.
         worth = known.join(size, "pattern").selectExpr("pattern", "kind", "known / (size + 1) AS worth")
-        best = open_edges.join(worth, "pattern").groupBy("value", "kind").agg(F.max("worth").alias("score"))
-        scores = stored(best, "instances")
+        placed = "row_number() OVER (PARTITION BY value, kind ORDER BY worth DESC, pattern) AS place"
+        best = open_edges.join(worth, "pattern").selectExpr("*", placed).where("place <= 2")
+        scores = stored(
+            best.groupBy("value", "kind").agg(
+                F.expr("max(worth) AS score"),
+                F.expr("min_by(pattern, place) AS by"),
+                F.expr("coalesce(max(worth) FILTER (WHERE place = 2), 0D) AS second"),
+            ),
+            "instances",
+        )
     # A value has the kind it scores highest in, the first one listed on a tie.
     top = scores.groupBy("value").agg(F.expr("max_by(struct(kind, score), struct(score, -kind)) AS top"))
     return top.selectExpr("value", "top.kind", "top.score").where(F.col("score") >= accept)
 
 
+def valid_elsewhere(scanned: DataFrame) -> DataFrame:
+    """``value, kind`` of other runs that are valid alone, or a seed somewhere."""
+    every = scanned.selectExpr("explode(mentions) AS m").where("m.alone >= 0").selectExpr("m.value", "m.alone AS kind")
+    return every.groupBy("value").agg(F.min("kind").alias("kind"))
+
+
 def discovered(scanned: DataFrame, accepted: DataFrame, keys: list[str]) -> DataFrame:
     """Spans of accepted instances for each row of ``scanned`` that has any."""
     runs = scanned.select(*keys, F.explode("mentions").alias("m")).where("m.kind < 0")
@@ -189,7 +225,9 @@ def find(docs: DataFrame) -> DataFrame:
     """``doc_id, text_hash, base, added``: one row per document, spans of the fixed patterns and of the method."""
     # Read once for the graph and once for the spans; rows are told apart by a number given when they are stored.
     scanned = stored(scan(docs).withColumn("row_id", F.monotonically_increasing_id()), "scanned")
-    added = discovered(scanned, bootstrap(scanned), ["row_id"])
+    certain = valid_elsewhere(scanned)
+    found = bootstrap(scanned).select("value", "kind").join(certain, "value", "left_anti").unionByName(certain)
+    added = discovered(scanned, found, ["row_id"])
     none = F.expr(f"CAST(array() AS array<{_SPAN}>)")
     return scanned.join(added, "row_id", "left").select(
         "doc_id", "text_hash", "base", F.coalesce("added", none).alias("added")

@@ -84,6 +84,37 @@ def test_contexts_discover_what_patterns_miss(spark):
     assert not any(found[i] for i in [*range(40), 101])
 
 
+def found_in(spark, texts: list[str]) -> list[list[tuple[int, int, int]]]:
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: sorted((s["start"], s["end"], s["kind"]) for s in r["added"]) for r in pii.find(rows).collect()}
+    return [found[i] for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("seeds, accepted", [(6, False), (9, True)])
+def test_a_context_does_not_feed_itself(spark, seeds, accepted):
+    """Of ten values after the same two words so many are seeds; the others have no other context."""
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    texts = [f"{w} mailto contact {w}@mail.org {w}x" if i < seeds else f"{w} mailto contact {w}@intranet {w}x" for i, w in enumerate(words)]
+    found = found_in(spark, texts)
+    assert [bool(f) for f in found] == [False] * seeds + [accepted] * (10 - seeds)
+
+
+def test_runs_that_are_valid_alone_or_elsewhere(spark):
+    card, other = "4465758382889437", "4111111111111111"
+    texts = [f"{card} {card}", f"pay {other}1 or {card} {other} now", "call +15550100123 or 5550100123", f"number {card[:-1]}8 {card[:-1]}8"]
+    assert found_in(spark, texts) == [[(0, 16, 2), (17, 33, 2)], [(25, 41, 2), (42, 58, 2)], [], []]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert pii.redact(docs).where("doc_id = 0").first()["text"] == "[CARD] [CARD]"
+
+
+@pytest.mark.parametrize("n", range(50, 75))
+def test_contexts_hold_whole_words(n):
+    text = f"{'w' * n} to 12345 {'v' * n} x"
+    at = text.index("12345")
+    assert {w for p in pii.contexts(text, at, at + 5) for w in p.split()} <= {*text.split(), "_"}
+    assert "to _" in pii.contexts(text, at, at + 5)
+
+
 # 2: fingerprints
 
 
@@ -391,6 +422,15 @@ def test_best_path_by_enumeration():
         assert abs(worth(language.label_words(scores, switch)) - max(map(worth, product(range(3), repeat=6)))) < 1e-6
 
 
+@pytest.mark.parametrize("text", ["²", "½ ¼", "Ⅷ", "①", "12 ³ 4", "ⅷⅸ ٣"])
+def test_numerals_are_no_letters(spark, text):
+    model = language.Model(["de", "en"], np.zeros((2, 2 * language.BUCKETS), np.float32), np.ones((2, len(language._NAMES)), bool))
+    docs = spark.createDataFrame([(1, text), (2, text + " wort")], "doc_id long, text string")
+    found = {r["row"]["doc_id"]: r["language"] for r in language.identify(docs, model).collect()}
+    assert (found[1]["lang_pred"], found[1]["score"]) == ("und", 0.0) and found[2]["lang_pred"] in ("de", "en")
+    assert docs.where(r"text RLIKE '\\p{L}'").count() == 1
+
+
 # 9: chats
 
 CHATS = st.lists(
