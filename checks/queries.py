@@ -15,6 +15,7 @@ from pyspark.sql.types import DecimalType, FloatType
 from fleetgauge import REPORTS, report, report_over
 from fleetgauge.sources.adapters import telemetry
 from fleetgauge.sources.buckets import LAYOUT, write_bucketed
+from fleetgauge.sources.rollups import roll_up
 from fleetgauge.sources.scratch import shared_folder
 from fleetgauge.sources.snapshots import write_table
 
@@ -77,12 +78,13 @@ def run(query: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 # Reports over tables that are stored first: by bucket, or as snapshots that are appended twice, by a retried capture.
 STORED = {f"{name}_bucketed": name for name in ("index_profile", "unused_indexes", "drive_latency", "io_profile_by_file")}
 APPENDED = {f"{name}_appended_twice": name for name in ("wait_pareto", "blocked_per_hour", "io_by_database")}
+ROLLED_UP = {f"{name}_rolled_up": name for name in ("blocked_per_hour", "blocking_per_hour", "sessions_per_program_cut")}
 BUCKETS = 8
 
 
 def run_stored(query: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report over stored tables, in the report's own types."""
-    name, params = BINDINGS[STORED.get(query) or APPENDED[query]]
+    name, params = BINDINGS[(STORED | APPENDED | ROLLED_UP)[query]]
     root = f"{shared_folder(spark)}/fleet-{uuid.uuid4().hex}"
     for table, df in telemetry(spark, sf_dir, REPORTS[name].tables).items():
         if query in STORED and table in LAYOUT:
@@ -90,7 +92,11 @@ def run_stored(query: str, spark: SparkSession, sf_dir: str) -> DataFrame:
         else:
             for _ in range(2 if query in APPENDED else 1):
                 write_table(df, root, table)
-    return report_over(spark, root, name, buckets=BUCKETS if query in STORED else None, **params)
+    if query in ROLLED_UP:
+        roll_up(spark, root)
+    return report_over(
+        spark, root, name, buckets=BUCKETS if query in STORED else None, rollups=query in ROLLED_UP, **params
+    )
 
 
 def comparable(df: DataFrame) -> DataFrame:
@@ -105,4 +111,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(query: str, how) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, sf_dir: comparable(how(query, spark, sf_dir))
 
-    return {q: bind(q, run) for q in BINDINGS} | {q: bind(q, run_stored) for q in (*STORED, *APPENDED)}
+    return {q: bind(q, run) for q in BINDINGS} | {q: bind(q, run_stored) for q in (*STORED, *APPENDED, *ROLLED_UP)}

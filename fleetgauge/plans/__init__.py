@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fleetgauge.plans import activity, cpu, index, io, waits
 from fleetgauge.sources.buckets import LAYOUT, bucketed_session, read_bucketed
-from fleetgauge.sources.snapshots import read_tables
+from fleetgauge.sources.rollups import HOURLY, read_hourly
+from fleetgauge.sources.snapshots import read_tables, with_filters
 
 
 @dataclass(frozen=True)
@@ -99,13 +100,16 @@ def report_over(
     last_date=None,
     servers=None,
     buckets=None,
+    rollups=False,
     **params,
 ) -> DataFrame:
     """Run one report over the snapshot tables stored under ``root``.
 
     Dates are those of the capture, for session history those of the poll.
     With ``buckets``, tables that :func:`fleetgauge.sources.buckets.write_bucketed`
-    stored in so many are read from there.
+    stored in so many are read from there.  With ``rollups``, counts of the
+    session history come from :func:`fleetgauge.sources.rollups.roll_up` where
+    those are up to date.
     """
     wanted = REPORTS[name].tables
     by_bucket = [t for t in wanted if buckets and t in LAYOUT]
@@ -115,4 +119,7 @@ def report_over(
         spark, root, [t for t in wanted if t not in by_bucket], first_date, last_date, servers, undated=REPORTS[name].undated
     )
     tables |= read_bucketed(spark, root, by_bucket, first_date, last_date, servers, buckets)
+    if rollups and "activity" in wanted:
+        # The same rows as of the history, or no day would add up.
+        tables[HOURLY] = with_filters(read_hourly(spark, root), first_date, last_date, servers)
     return report(name, tables, **params)

@@ -65,6 +65,13 @@ def filtered(
     """Snapshots of a stored table, with the filters of :func:`read_table`."""
     # Parquet puts the partition column last; bring it back to its place.
     df = df.select(*_columns(table)).withMetadata(PARTITION, {DERIVED: True})
+    return with_filters(df, first_date, last_date, servers)
+
+
+def with_filters(
+    df: DataFrame, first_date: dt.date | None, last_date: dt.date | None, servers: Iterable[str] | None
+) -> DataFrame:
+    """Rows of some days, both inclusive, and servers."""
     if first_date is not None:
         df = df.where(F.col(PARTITION) >= F.lit(first_date))
     if last_date is not None:
@@ -116,7 +123,7 @@ def with_collation(tables: Mapping[str, DataFrame], collation: str = "UTF8_LCASE
     }
 
 
-def _optional(spark: SparkSession, path: str, columns: StructType) -> DataFrame:
+def read_optional(spark: SparkSession, path: str, columns: StructType) -> DataFrame:
     """A stored frame, or an empty one where nothing is stored yet."""
     try:
         return spark.read.schema(columns).parquet(path)
@@ -146,7 +153,7 @@ def _on_days(df: DataFrame, days: list[dt.date | None], on: bool = True) -> Data
 
 def written_parts(spark: SparkSession, root: str, table: str) -> DataFrame:
     """Snapshots, by day, that were appended whole: ``server_name, collected_at, collected_date``."""
-    return _optional(spark, f"{root}/{_WRITTEN}/{table}", StructType([schema(table)[c] for c in _PART])).select(*_PART)
+    return read_optional(spark, f"{root}/{_WRITTEN}/{table}", StructType([schema(table)[c] for c in _PART])).select(*_PART)
 
 
 def append_table(df: DataFrame, root: str, table: str) -> None:
@@ -176,7 +183,7 @@ def append_table(df: DataFrame, root: str, table: str) -> None:
         return
 
     rows = _matching(out, new, _PART, "left_semi").select(*_columns(table))
-    stored = _on_days(_optional(spark, path, schema(table)).select(*_columns(table)), _days(new))
+    stored = _on_days(read_optional(spark, path, schema(table)).select(*_columns(table)), _days(new))
     left = noted(_matching(stored.select(*_PART), new, _PART, "left_semi"), "left")
     if left.isEmpty():
         _write(rows, path, "append")
@@ -189,6 +196,11 @@ def append_table(df: DataFrame, root: str, table: str) -> None:
     new.coalesce(1).write.mode("append").partitionBy(PARTITION).parquet(f"{root}/{_WRITTEN}/{table}")
 
 
+def write_days(rows: DataFrame, path: str) -> None:
+    """Replace the days that ``rows`` has, and leave the others alone."""
+    _write(rows, path, "overwrite")
+
+
 def _write(rows: DataFrame, path: str, mode: str) -> None:
     """``rebalance`` lets adaptive execution cut a large day into several files and merge small ones."""
     out = rows.hint("rebalance", PARTITION).write.mode(mode).option("partitionOverwriteMode", "dynamic")
