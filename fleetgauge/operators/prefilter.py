@@ -51,6 +51,13 @@ def unpruned(columns: Sequence[str]) -> str:
     return f"(xxhash64({', '.join(f'`{c}`' for c in columns)}) & 0L)"
 
 
+def filterable(df: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether equal keys have equal hashes: names that compare by a collation are hashed byte by byte."""
+    return not any("collate" in df.schema[k].dataType.simpleString() for k in keys)
+
+
 def may_be_among(df: DataFrame, found: DataFrame, keys: Sequence[str], words: int = _WORDS) -> DataFrame:
-    """Rows of ``df`` that can match ``found`` on ``keys``: all that do, and few others."""
+    """Rows of ``df`` that can match ``found`` on ``keys``: all that do, and few others; all rows if keys are collated."""
+    if not (filterable(df, keys) and filterable(found, keys)):
+        return df
     return df.where(among(found, keys, words))

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetgauge.functions.arithmetic import percent_of
-from fleetgauge.operators.prefilter import among, unpruned
+from fleetgauge.operators.prefilter import among, filterable, unpruned
 from fleetgauge.sources.schemas import KEYS
 
 # Up to this k Spark prunes row_number() <= k before the shuffle
@@ -99,7 +99,8 @@ def ordered(
     the same plan, so nothing runs before an action: the rows are dealt out
     once, by their hash, and all that follows reads that exchange.  A filter
     of fixed size tells the rows of hot groups from the others; a group it
-    takes for hot is cut as well, into one range.  An input that is small as a
+    takes for hot is cut as well, into one range, and so are all groups if
+    their names are collated.  An input that is small as a
     whole has no large group: it is planned as ``plain``, by Spark's estimate.
     """
     if strategy not in ("plain", "bucketed"):
@@ -107,6 +108,9 @@ def ordered(
     if strategy == "plain" or _estimated_bytes(df) <= range_rows * _ROW_BYTES:
         return _below(_ranked(df, by, entity, measure, group), below)
 
+    if not filterable(df, group):
+        return _by_range(df, by, entity, measure, group, below, range_rows)
+
     dealt = df.repartition(F.xxhash64(*(f"`{c}`" for c in df.columns)))
     sizes = dealt.groupBy(*group).agg(F.expr(f"sum(1L + {unpruned(df.columns)}) AS group_rows"))
     # Zero, but no constant to Spark: a filter that can be moved would go below the exchange, which then is one for each branch.
@@ -196,9 +200,11 @@ def _cut(
     picked = df.where(f"pmod({tie}, {max(1, rows // _CANDIDATES)}) = 0")
     every = f"transform(sequence({_CANDIDATES}, size(found), {_CANDIDATES}), i -> get(found, i - 1))"
     cuts = (
-        picked.groupBy(*keys)
-        # Equal rows cannot be told apart: one of them is enough.
-        .agg(F.expr(f"array_sort(collect_set({position})) AS found"))
+        picked.selectExpr(*keys, f"{tie} AS tie", f"{position} AS position")
+        # Equal rows cannot be told apart: one of them is enough.  (Sets cannot hold collated names.)
+        .dropDuplicates([*keys, "tie"])
+        .groupBy(*keys)
+        .agg(F.expr("array_sort(collect_list(position)) AS found"))
         .where(f"size(found) >= {_CANDIDATES}")
         .selectExpr(*(f"`{c}` AS `cut_{c}`" for c in keys), f"{every} AS cuts")
         .selectExpr("*", f"explode(sequence(0, {_PARTS - 1})) AS cut_part")

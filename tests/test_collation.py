@@ -83,3 +83,18 @@ def test_session_names(table):
         got = rows(report(name, with_collation(tables), **span), "program", count)
         assert sorted((p.lower().strip(), n) for p, n in got) == [("app", 3), ("job - backup", 2)]
         assert len(rows(report(name, tables, **span))) > 2
+
+
+def test_hot_groups_of_collated_names_are_cut(spark):
+    """Names that differ in case alone are one name, also where a group is cut at some of its rows."""
+    from fleetgauge.operators.ranking import ordered
+
+    rows = spark.range(3000).selectExpr(
+        "CAST(IF(id % 2 = 0, 'Hot', 'hot') AS STRING COLLATE UTF8_LCASE_RTRIM) AS g", "id % 100 AS m",
+        "CAST(concat(IF(id % 3 = 0, 'E', 'e'), id) AS STRING COLLATE UTF8_LCASE_RTRIM) AS e",
+    )
+    cut, plain = (
+        ordered(rows, ["m"], ["e"], "m", ["g"], s, range_rows=100).selectExpr("CAST(e AS STRING)", "row_rank", "prior_sum")
+        for s in ("bucketed", "plain")
+    )
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, plain.collect()))
