@@ -8,7 +8,7 @@ fractions by integer arithmetic.
 from __future__ import annotations
 
 from checks.queries import (
-    ALLOWED, APPENDED, CUT, LOG_TERMS, ONE_DATABASE, ONE_TABLE, OWN_SESSIONS, RANGE, ROLLED_UP, STORED, WARNING_TERM,
+    ALLOWED, APPENDED, CUT, LISTED, LOG_TERMS, ONE_DATABASE, ONE_TABLE, OWN_SESSIONS, RANGE, ROLLED_UP, STORED, WARNING_TERM,
 )
 from fleetgauge.plans.waits import HELP_URL, benign_waits
 from fleetgauge.sources.adapters import check_sql
@@ -464,7 +464,7 @@ def _cut(sql: str) -> str:
 def oracle_sql() -> dict[str, str]:
     found = _oracle_sql()
     # Where tables come from does not show in a report.
-    return found | {query: found[name] for query, name in (STORED | APPENDED | ROLLED_UP).items()}
+    return found | {query: found[name] for query, name in (STORED | APPENDED | ROLLED_UP | LISTED).items()}
 
 
 def _oracle_sql() -> dict[str, str]:

@@ -79,12 +79,13 @@ def run(query: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 STORED = {f"{name}_bucketed": name for name in ("index_profile", "unused_indexes", "drive_latency", "io_profile_by_file")}
 APPENDED = {f"{name}_appended_twice": name for name in ("wait_pareto", "blocked_per_hour", "io_by_database")}
 ROLLED_UP = {f"{name}_rolled_up": name for name in ("blocked_per_hour", "blocking_per_hour", "sessions_per_program_cut")}
+LISTED = {"activity_latest_listed": "activity_latest"}
 BUCKETS = 8
 
 
 def run_stored(query: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report over stored tables, in the report's own types."""
-    name, params = BINDINGS[(STORED | APPENDED | ROLLED_UP)[query]]
+    name, params = BINDINGS[(STORED | APPENDED | ROLLED_UP | LISTED)[query]]
     root = f"{shared_folder(spark)}/fleet-{uuid.uuid4().hex}"
     for table, df in telemetry(spark, sf_dir, REPORTS[name].tables).items():
         if query in STORED and table in LAYOUT:
@@ -94,9 +95,8 @@ def run_stored(query: str, spark: SparkSession, sf_dir: str) -> DataFrame:
                 write_table(df, root, table)
     if query in ROLLED_UP:
         roll_up(spark, root)
-    return report_over(
-        spark, root, name, buckets=BUCKETS if query in STORED else None, rollups=query in ROLLED_UP, **params
-    )
+    layout = {"buckets": BUCKETS if query in STORED else None, "rollups": query in ROLLED_UP, "listed": query in LISTED}
+    return report_over(spark, root, name, **layout, **params)
 
 
 def comparable(df: DataFrame) -> DataFrame:
@@ -111,4 +111,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(query: str, how) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, sf_dir: comparable(how(query, spark, sf_dir))
 
-    return {q: bind(q, run) for q in BINDINGS} | {q: bind(q, run_stored) for q in (*STORED, *APPENDED, *ROLLED_UP)}
+    return {q: bind(q, run) for q in BINDINGS} | {q: bind(q, run_stored) for q in (*STORED, *APPENDED, *ROLLED_UP, *LISTED)}

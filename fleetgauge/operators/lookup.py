@@ -80,13 +80,21 @@ def with_program_label(df: DataFrame, jobs: DataFrame, row_id: Sequence[str]) ->
     )
 
 
-def at_latest(df: DataFrame, time: str) -> DataFrame:
+def at_latest(df: DataFrame, time: str, listed: DataFrame | None = None) -> DataFrame:
     """Rows whose ``time`` is the newest of their snapshot.
 
     ``time`` must be the column the table is partitioned by.  The newest times
     are found on two narrow columns; joined on the partition column too, they
-    keep the wide scan to the files of those days.
+    keep the wide scan to the files of those days.  ``listed`` names the days
+    each snapshot has rows on (``server_name, collected_at, collected_date``):
+    with it the newest times are looked for on each snapshot's last day only,
+    so what is read does not grow with the history.
     """
+    if listed is not None:
+        last = listed.groupBy(*KEYS).agg(F.max(PARTITION).alias(PARTITION))
+        # As many days as the calendar has at most; a subquery over them prunes both scans, broadcast or not.
+        days = last.agg(F.collect_set(PARTITION)).scalar()
+        df = df.where(F.array_contains(days, F.col(PARTITION)))
     newest = (
         df.groupBy(*KEYS)
         .agg(F.max(time).alias(time))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from fleetgauge.plans import activity, cpu, index, io, waits
 from fleetgauge.sources.buckets import LAYOUT, bucketed_session, read_bucketed
 from fleetgauge.sources.rollups import HOURLY, read_hourly
-from fleetgauge.sources.snapshots import read_tables, with_filters
+from fleetgauge.sources.snapshots import LISTED_POLLS, read_tables, with_filters, written_parts
 
 
 @dataclass(frozen=True)
@@ -101,6 +101,7 @@ def report_over(
     servers=None,
     buckets=None,
     rollups=False,
+    listed=False,
     **params,
 ) -> DataFrame:
     """Run one report over the snapshot tables stored under ``root``.
@@ -109,7 +110,9 @@ def report_over(
     With ``buckets``, tables that :func:`fleetgauge.sources.buckets.write_bucketed`
     stored in so many are read from there.  With ``rollups``, counts of the
     session history come from :func:`fleetgauge.sources.rollups.roll_up` where
-    those are up to date.
+    those are up to date.  With ``listed``, the newest poll is looked for on the
+    last day that :func:`fleetgauge.sources.snapshots.write_table` listed for
+    each snapshot; rows that something else wrote are not found that way.
     """
     wanted = REPORTS[name].tables
     by_bucket = [t for t in wanted if buckets and t in LAYOUT]
@@ -122,4 +125,6 @@ def report_over(
     if rollups and "activity" in wanted:
         # The same rows as of the history, or no day would add up.
         tables[HOURLY] = with_filters(read_hourly(spark, root), first_date, last_date, servers)
+    if listed and "activity" in wanted:
+        tables[LISTED_POLLS] = with_filters(written_parts(spark, root, "activity"), first_date, last_date, servers)
     return report(name, tables, **params)

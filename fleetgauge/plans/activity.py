@@ -13,7 +13,7 @@ from fleetgauge.operators.lookup import at_latest, with_program_label
 from fleetgauge.operators.ranking import ordering, sort_filtered
 from fleetgauge.sources.rollups import COUNTED, HOURLY
 from fleetgauge.sources.schemas import KEYS, PARTITION
-from fleetgauge.sources.snapshots import dated
+from fleetgauge.sources.snapshots import LISTED_POLLS, dated
 
 Moment = str | dt.datetime
 
@@ -64,7 +64,8 @@ def _sessions(rows: DataFrame, jobs: DataFrame) -> DataFrame:
 
 def activity_latest(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Sessions of the newest poll."""
-    return _sessions(at_latest(dated(tables["activity"], "collection_time"), "collection_time"), tables["jobs"])
+    rows = dated(tables["activity"], "collection_time")
+    return _sessions(at_latest(rows, "collection_time", tables.get(LISTED_POLLS)), tables["jobs"])
 
 
 def activity_blocking(tables: Mapping[str, DataFrame], start: Moment, end: Moment) -> DataFrame:

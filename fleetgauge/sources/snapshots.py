@@ -16,6 +16,9 @@ from fleetgauge.sources.schemas import KEYS, NAME_COLUMNS, PARTITION, partition_
 _PART = [*KEYS, PARTITION]
 _WRITTEN, _PENDING = "snapshots_written", "snapshots_pending"
 
+# The days each snapshot of the session history has polls on, given to reports beside the history.
+LISTED_POLLS = "activity_listed"
+
 # Marks a partition column that was derived from its table's time.
 DERIVED = "derived"
 

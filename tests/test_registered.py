@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from checks.compare import connect, differences
-from checks.queries import APPENDED, BINDINGS, ROLLED_UP, STORED, queries
+from checks.queries import APPENDED, BINDINGS, LISTED, ROLLED_UP, STORED, queries
 from fleetgauge import REPORTS, report
 from fleetgauge.operators import ranking
 from fleetgauge.sources.adapters import telemetry
@@ -38,7 +38,7 @@ def test_same_rows_as_the_check(spark, con, name):
     assert differences(spark, con, SMALL_DIR, name) == []
 
 
-@pytest.mark.parametrize("name", [*STORED, *APPENDED, *ROLLED_UP])
+@pytest.mark.parametrize("name", [*STORED, *APPENDED, *ROLLED_UP, *LISTED])
 def test_same_rows_from_stored_tables(spark, con, tmp_path, name):
     assert differences(spark, con, SMALL_DIR, name) == []
 
