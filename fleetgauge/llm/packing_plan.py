@@ -8,12 +8,21 @@ there are.
    A fractional cover of the classes by configurations is found with
    multiplicative weights: a class that is covered less costs exponentially
    more, and a knapsack over class sizes finds the configuration that is worth
-   the most at these prices.
+   the most at these prices.  The prices also prove how few bins any packing
+   can have (:func:`lower_bound`).
 2. Each configuration is used the whole number of times that is below its
    fractional value, as far as items are left, with the true lengths.  The
    place of its smallest item stays open: that one is chosen by true length.
 3. All items left, longest first, go to the fullest bin that has room, and to
    a new one if none has.
+
+Classes waste a little room in each bin, and short items left for step 3 fill
+it.  How much of the cover is best rounded depends on the lengths, so several
+shares of it are (``_shares``), from one that covers every class to none, and
+the plan with the fewest bins stays; of equal ones, the largest share.
+
+Defined results: no items give no patterns; items of the whole capacity get a
+bin each; lengths above the capacity and zeros are not for this module.
 """
 
 from __future__ import annotations
@@ -58,12 +67,15 @@ def best_configuration(prices: np.ndarray, sizes: np.ndarray, capacity: int) ->
     return dict(found)
 
 
-def fractional_cover(demand: np.ndarray, sizes: np.ndarray, capacity: int, steps: int = STEPS) -> dict[tuple, float]:
-    """Configurations and how often each is used, so that the best covered class is covered once.
+def fractional_cover(
+    demand: np.ndarray, sizes: np.ndarray, capacity: int, steps: int = STEPS
+) -> tuple[dict[tuple, float], np.ndarray, np.ndarray]:
+    """Configurations and how often each is used, how many times that covers each class, and the mean prices.
 
     Keys are ``((class index, copies), ...)``.
     """
     covered = np.zeros(len(demand))
+    mean = np.zeros(len(demand))
     used: Counter[tuple] = Counter()
     for _ in range(steps):
         behind = covered / demand
@@ -73,10 +85,29 @@ def fractional_cover(demand: np.ndarray, sizes: np.ndarray, capacity: int, steps
         copies = np.fromiter(found.values(), float)
         # No class is raised by more than a small part of its demand in one step.
         amount = (demand[index] / copies).min() / RATE
+        mean += prices * (amount / (prices[index] @ copies))
         covered[index] += amount * copies
         used[tuple(sorted(found.items(), reverse=True))] += amount
-    most = (covered / demand).max()
-    return {k: v / most for k, v in used.items()}
+    return dict(used), covered / demand, mean
+
+
+def lower_bound(counts: np.ndarray, price_of: np.ndarray, capacity: int) -> float:
+    """Bins that every packing of ``counts`` needs, proved by one price for each length.
+
+    What a bin can hold is worth at most the best configuration of true
+    lengths, so all items together fill at least their worth over that.
+    """
+    lengths = np.flatnonzero(counts)
+    if not len(lengths):
+        return 0.0
+    prices = price_of[lengths]
+    best = best_configuration(prices, lengths, capacity)
+    return float(prices @ counts[lengths] / sum(prices[i] * n for i, n in best.items()))
+
+
+def _shares(times: np.ndarray) -> list[float]:
+    """What the cover is multiplied by: every class covered, classes covered on average, none covered twice, nothing."""
+    return [1 / times.min(), 1 / times.mean(), 1 / times.max(), 0.0]
 
 
 class Stock:
@@ -193,18 +224,35 @@ def best_fit(counts: np.ndarray, patterns: list[Pattern], capacity: int) -> list
 
 def plan(counts: np.ndarray, capacity: int, steps: int = STEPS) -> list[Pattern]:
     """Patterns and bins that hold exactly the items of ``counts`` (index: length, up to ``capacity``)."""
+    return plan_and_bound(counts, capacity, steps)[0]
+
+
+def plan_and_bound(counts: np.ndarray, capacity: int, steps: int = STEPS) -> tuple[list[Pattern], float]:
+    """:func:`plan`, and a number of bins that no packing can go below."""
     width = -(-capacity // CLASSES)
     left = counts.astype("int64")
-    patterns: list[Pattern] = []
-    if left[capacity]:
-        patterns.append((((capacity, 1),), int(left[capacity])))
+    full: list[Pattern] = []
+    if whole := int(left[capacity]):
+        full.append((((capacity, 1),), whole))
         left[capacity] = 0
-    stock = Stock(left, width)
-    present, demand = stock.demand()
-    if len(present):
-        cover = fractional_cover(demand, present, capacity // width, steps)
-        for configuration, times in sorted(cover.items(), key=lambda x: (-x[1], x[0])):
-            if bins := int(times):
+    present, demand = Stock(left, width).demand()
+    if not len(present):
+        return full, float(whole)
+    cover, times, mean = fractional_cover(demand, present, capacity // width, steps)
+
+    price_of = np.zeros(capacity + 1)
+    number = -(-np.arange(capacity + 1) // width)
+    for i, priced in enumerate(present):
+        price_of[number == priced] = mean[i]
+    by_length = float(left @ np.arange(capacity + 1)) / capacity
+    bound = whole + max(by_length, lower_bound(left, price_of, capacity))
+
+    found: list[list[Pattern]] = []
+    for share in _shares(times):
+        stock, patterns = Stock(left.copy(), width), list(full)
+        for configuration, used in sorted(cover.items(), key=lambda x: (-x[1], x[0])):
+            if bins := int(used * share):
                 chosen = _without_smallest([(int(present[i]), n) for i, n in configuration])
                 patterns += _use(stock, chosen, bins)
-    return best_fit(left, patterns, capacity)
+        found.append(best_fit(stock.left, patterns, capacity))
+    return min(found, key=lambda patterns: sum(bins for _, bins in patterns)), bound

@@ -335,7 +335,36 @@ def test_plan_holds_every_item_in_few_bins(seed):
             held[length] += n * bins
     assert (held == counts).all()
     plain = sum(bins for _, bins in packing_plan.best_fit(counts.copy(), [], 4096))
-    assert sum(bins for _, bins in patterns) <= plain * 1.01 + 1
+    assert sum(bins for _, bins in patterns) <= plain
+
+
+def lengths_of(kind: str, order) -> np.ndarray:
+    if kind == "uniform":
+        return order.integers(1, 4097, 20_000)
+    if kind == "log-normal":
+        return np.clip(np.exp(order.normal(6.5, 1, 20_000)), 1, 4096).astype(int)
+    return order.integers(1000, 1801, 9_000)
+
+
+@pytest.mark.parametrize("kind", ["uniform", "log-normal", "1000 to 1800"])
+def test_plan_is_never_worse_than_best_fit_nor_below_its_bound(kind):
+    counts = np.bincount(lengths_of(kind, np.random.default_rng(7)), minlength=4097)
+    patterns, bound = packing_plan.plan_and_bound(counts, 4096)
+    bins = sum(n for _, n in patterns)
+    assert bins <= sum(n for _, n in packing_plan.best_fit(counts.copy(), [], 4096))
+    assert bound <= bins
+
+
+def test_bound_tells_what_lengths_alone_do_not():
+    """Items of a third and a bit go by twos."""
+    counts = np.zeros(4097, int)
+    counts[1400] = 1000
+    patterns, bound = packing_plan.plan_and_bound(counts, 4096, steps=50)
+    assert sum(n for _, n in patterns) == 500 and 499.9 < bound < 500.1
+    assert packing_plan.plan_and_bound(np.zeros(4097, int), 4096) == ([], 0.0)
+    counts[:] = 0
+    counts[4096] = 3
+    assert packing_plan.plan_and_bound(counts, 4096) == ([(((4096, 1),), 3)], 3.0)
 
 
 def test_pieces_and_sequences(spark, awkward, awkward_docs, word_tokenizer):
