@@ -106,8 +106,8 @@ def lower_bound(counts: np.ndarray, price_of: np.ndarray, capacity: int) -> floa
 
 
 def _shares(times: np.ndarray) -> list[float]:
-    """What the cover is multiplied by: every class covered, classes covered on average, none covered twice, nothing."""
-    return [1 / times.min(), 1 / times.mean(), 1 / times.max(), 0.0]
+    """What the cover is multiplied by: every class covered that is at all, classes covered on average, none twice, nothing."""
+    return [1 / times[times > 0].min(), 1 / times.mean(), 1 / times.max(), 0.0]
 
 
 class Stock:
