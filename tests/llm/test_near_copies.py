@@ -12,7 +12,7 @@ from fleetgauge.llm import minhash, simhash
 from fleetgauge.llm.tables import table
 from tests.llm.test_operators import union
 
-SF001 = "/root/testdata/sf0.01"
+SF_DIR = "/root/testdata/sf0.01"
 
 
 def plain_shingles(text: str) -> set[bytes]:
@@ -46,7 +46,7 @@ def edited(words: list[str], at, order: random.Random) -> str:
 
 
 def test_stage_keeps_what_brute_force_keeps(spark):
-    docs = corpus_pipeline.stored(corpus_pipeline.without_copies(spark, table(spark, SF001, "documents"), SF001), "distinct")
+    docs = corpus_pipeline.stored(corpus_pipeline.without_copies(spark, table(spark, SF_DIR, "documents"), SF_DIR), "distinct")
     assert kept_by_stage(spark, docs) == kept_by_brute_force({r["doc_id"]: r["text"] or "" for r in docs.collect()})
 
 
@@ -83,3 +83,53 @@ def test_few_bits_do_not_make_near_copies(spark):
     assert below
     found = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     assert kept_by_stage(spark, found) == kept_by_brute_force(docs)
+
+
+def set_rows(spark, docs: dict[int, str]):
+    found = {i: minhash.shingles(t.encode()).view(np.int64).tolist() for i, t in docs.items()}
+    schema = "node long, part long, size long, found array<long>"
+    return spark.createDataFrame([(i, i, len(f), f) for i, f in found.items()], schema)
+
+
+def test_pages_of_a_template_do_not_meet(spark):
+    """Pairwise similarity 0.59: pairs in proportion to the pages, not to their square."""
+    order = random.Random(6)
+    template = [f"t{i}" for i in range(150)]
+    for pages in (100, 400):
+        docs = {i: " ".join(template + [f"own{i}.{j}" for j in range(50)]) for i in range(pages)}
+        assert 0.5 < jaccard(*(plain_shingles(docs[i]) for i in (0, 1))) < 0.65
+        assert minhash.across(set_rows(spark, docs)).count() <= pages
+        near = {1000 + i: edited(docs[i].split(), [order.randrange(200)], order) for i in range(0, pages, 10)}
+        met = {(r["a"], r["b"]) for r in minhash.across(set_rows(spark, docs | near)).collect()}
+        assert {(i - 1000, i) for i in near} <= met and len(met) <= pages
+
+
+def test_near_sets_share_one_of_their_rarest_shingles(spark):
+    order = random.Random(7)
+    words = [f"w{i}" for i in range(40)]
+    docs = {0: "", 1: "a", 2: "a b", 3: "a b"}
+    for i in range(10, 130):
+        text = [order.choice(words) for _ in range(order.choice((3, 5, 9, 30)))]
+        docs[i] = " ".join(text)
+        docs[i + 200] = edited(text, [order.randrange(len(text))], order)
+        docs[i + 400] = f"{docs[i]} {order.choice(words)}"
+    sets = {i: plain_shingles(t) for i, t in docs.items()}
+    near = {(a, b) for a, b in combinations(docs, 2) if a < b and sets[a] | sets[b] and jaccard(sets[a], sets[b]) >= 0.8}
+    met = {(r["a"], r["b"]) for r in minhash.across(set_rows(spark, docs)).collect()}
+    assert len(near) > 50 and near <= met
+
+
+def test_sets_that_share_a_hash_are_told_apart(spark):
+    """With two bits of the first hash nearly all nodes collide; nothing changes."""
+    order = random.Random(8)
+    texts = [" ".join(f"w{order.random()}" for _ in range(60)) for _ in range(30)]
+    docs = dict(enumerate(texts)) | {100 + i: edited(texts[i].split(), [0], order) for i in range(10)} | {200: texts[0], 201: None}
+    found = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    roots: dict[int, set] = {}
+    for r in minhash.near_copies(found, bits=2).collect():
+        roots.setdefault(r["root"], set()).add(r["doc_id"])
+    expected = union([(i, 100 + i) for i in range(10)] + [(0, 200)], docs)
+    groups: dict[int, set] = {}
+    for i, root in expected.items():
+        groups.setdefault(root, set()).add(i)
+    assert sorted(map(sorted, roots.values())) == sorted(map(sorted, groups.values()))
