@@ -1,17 +1,18 @@
 """Toxicity by weak supervision.
 
 1. Features are words, beginnings of words, and several words of a document
-   with one beginning.  Those that stand out in the toxic rows of a bounded
-   labelled sample are selected; the strongest that do not contain each other
-   become voters, which vote on a text that has them.
+   with one beginning.  Those that stand out in the toxic ones of all labelled
+   rows are selected; the strongest that do not contain each other become
+   voters, which vote on a text that has them and abstain on others.
 2. Label model: over the votes on all texts, expectation maximisation
    estimates the share of toxic texts, how often each voter votes on toxic and
-   on clean ones, and how voters correlate within a class; voters that repeat
-   each other weigh less.  The sample's own counts hold the classes in place.
-   Votes are kept as distinct combinations with counts.
+   on clean ones, how often none does, and how voters correlate within a
+   class.  Votes of one text that repeat each other weigh less; one that
+   abstains says nothing, silence of all is evidence of its own.  The labelled
+   rows' counts hold the classes in place: labels enter by them alone.  Votes
+   are kept as distinct combinations with counts.
 3. Classifier: a logistic regression on the selected features, trained on the
-   label model's posteriors of a bounded sample, their odds raised or lowered
-   by a factor of ``LABEL_ODDS`` by each row's own label, scores every text.
+   label model's posteriors of a bounded sample, scores every text.
 
 The caller gives the labels that may be learned from.  Only text decides a
 score.
@@ -36,8 +37,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fleetgauge.llm.tables import stored, texts
 
-# Bounds of what is learned from labels: rows for features, rows for the classifier, features, voters.
-FEATURE_ROWS = 40_000
+# Bounds of what is learned: rows for the classifier, features, voters.
 CLASSIFIER_ROWS = 12_000
 SELECTED = 5_000
 VOTERS = 96
@@ -49,8 +49,6 @@ STEMS = (4, 5, 6)
 MANY = (2, 3)
 ROUNDS = 6
 REMEMBERED = 300_000
-# How far a known label is trusted in a posterior.
-LABEL_ODDS = 30.0
 
 _PARTS = re.compile(r"[^\W\d_]+")
 
@@ -96,25 +94,35 @@ class Reader:
         return [self._numbers[name] for name in features(words) if name in self._numbers] if words else []
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """``text, toxic`` of at most ``rows`` labelled documents, the same ones for the same labels."""
-    known = (
+def _known(labels: DataFrame) -> DataFrame:
+    """One label for each id."""
+    return (
         labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL")
         .groupBy(F.col("doc_id").cast("bigint").alias("label_id"))
         .agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     )
+
+
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``text, toxic`` of all labelled documents."""
+    return texts(docs).join(_known(labels), F.col("doc_id") == F.col("label_id")).select("text", "toxic")
+
+
+def sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
+    """``text`` of at most ``rows`` labelled documents, the same ones for the same labels."""
+    known = _known(labels)
     total = known.count()
     # What passes is about twice the bound, so that no task has to sort all labels.
     part = max(1, total // (2 * rows))
     chosen = known.where(F.expr(f"pmod(xxhash64(label_id), {part}) = 0"))
     chosen = chosen.orderBy(F.xxhash64("label_id"), "label_id").limit(rows)
     # At most ``rows`` rows of two numbers.
-    return texts(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("text", "toxic")
+    return texts(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("text")
 
 
 @dataclass
 class Features:
-    """Selected features, strongest first, with the rows of the sample that have them (clean, toxic)."""
+    """Selected features, strongest first, with the labelled rows that have them (clean, toxic)."""
 
     names: list[str]
     rows: np.ndarray
@@ -138,7 +146,7 @@ def _g2(rows: np.ndarray, total: np.ndarray) -> float:
 
 
 def select_features(rows: DataFrame) -> Features:
-    """What stands out in the toxic rows of a sample."""
+    """What stands out in the toxic ones of labelled rows."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
@@ -182,18 +190,27 @@ def _covers(general: str, special: str) -> bool:
 
 @dataclass
 class LabelModel:
-    """Share of toxic texts, voters' rates (clean, toxic) and their weights."""
+    """Share of toxic texts, voters' rates (clean, toxic), how much voters repeat each other, and the rates of silence."""
 
     share: float
     rates: np.ndarray
-    weights: np.ndarray
+    overlap: np.ndarray
+    silence: np.ndarray
+
+    @property
+    def weights(self) -> np.ndarray:
+        """What a vote weighs if all voters vote."""
+        return 1 / (1 + self.overlap.sum(axis=1))
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        """Probability that a text is toxic, for rows of 0/1 votes."""
-        yes = np.log(self.rates[:, 1] / self.rates[:, 0]) * self.weights
-        no = np.log((1 - self.rates[:, 1]) / (1 - self.rates[:, 0])) * self.weights
-        log_odds = np.log(self.share / (1 - self.share)) + votes @ (yes - no) + no.sum()
-        return 1 / (1 + np.exp(-np.clip(log_odds, -50, 50)))
+        """Probability that a text is toxic, for rows of 0/1 votes.
+
+        A vote is shared with the others of its text that it correlates with.
+        A lone vote counts whole.
+        """
+        evidence = (votes / (1 + votes @ self.overlap)) @ np.log(self.rates[:, 1] / self.rates[:, 0])
+        evidence = np.where(votes.any(axis=1), evidence, np.log(self.silence[1] / self.silence[0]))
+        return 1 / (1 + np.exp(-np.clip(np.log(self.share / (1 - self.share)) + evidence, -50, 50)))
 
 
 def _votes(found: list[int]) -> int:
@@ -223,60 +240,69 @@ def combinations(docs: DataFrame, voters: list[str]) -> DataFrame:
     return texts(docs).select("text").mapInArrow(count, "votes binary, n long").groupBy("votes").agg(F.sum("n").alias("n"))
 
 
-def fit_label_model(votes: DataFrame, sample: Features, rounds: int = ROUNDS) -> LabelModel:
-    """Expectation maximisation over stored combinations, from the voters' counts in the labelled sample.
+def first_model(known: Features) -> LabelModel:
+    """What the labelled rows' counts alone say, as if voters were independent."""
+    rates = np.clip((known.rows + 0.5) / (known.total + 1), 1e-7, 1 - 1e-7)
+    silence = np.clip(np.prod(1 - rates, axis=0), 1e-7, 1)
+    return LabelModel(float(known.total[1] / known.total.sum()), rates, np.zeros((len(rates), len(rates))), silence)
+
+
+def fit_label_model(votes: DataFrame, known: Features, rounds: int = ROUNDS) -> LabelModel:
+    """Expectation maximisation over stored combinations, from the voters' counts in the labelled rows.
 
-    Every round sums, for each class, the posterior weight of every voter and
-    of every pair of voters: a fixed number of sums, whatever the input.
+    Every round sums, for each class, the posterior weight of every voter, of
+    every pair of voters, and of silence: a fixed number of sums, whatever the
+    input.
     """
-    voters = len(sample.names)
-    rates = np.clip((sample.rows + 0.5) / (sample.total + 1), 1e-7, 1 - 1e-7)
-    model = LabelModel(float(sample.total[1] / sample.total.sum()), rates, np.ones(voters))
+    voters, model = len(known.names), first_model(known)
+    width = voters + 2
     for _ in range(rounds):
 
         def sums(batches: Iterable[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((2, voters + 1, voters + 1))
+            total = np.zeros((2, width, width))
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 seen = _unpacked(batch.column(0).to_pylist(), voters)
                 n = batch.column(1).to_numpy()
                 toxic = model.posterior(seen)
-                # A column of ones: its products are the single sums and the weight of the class.
-                wide = np.hstack([seen, np.ones((len(seen), 1))])
+                # Silence, and ones: their products are the single sums and the weight of the class.
+                wide = np.hstack([seen, ~seen.any(axis=1, keepdims=True), np.ones((len(seen), 1))])
                 for side, weight in enumerate((n * (1 - toxic), n * toxic)):
                     total[side] += wide.T @ (wide * weight[:, None])
             flat = total.ravel()
             yield pa.record_batch([pa.array(np.arange(len(flat))), pa.array(flat)], names=["cell", "value"])
 
-        # 2 * (voters + 1) ** 2 rows.
+        # 2 * (voters + 2) ** 2 rows.
         found = votes.mapInArrow(sums, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect()
-        total = np.zeros(2 * (voters + 1) ** 2)
+        total = np.zeros(2 * width**2)
         for row in found:
             total[row["cell"]] = row["value"]
-        model = _maximised(total.reshape(2, voters + 1, voters + 1), model, sample)
+        model = maximised(total.reshape(2, width, width), known)
     return model
 
 
-def _maximised(total: np.ndarray, before: LabelModel, sample: Features) -> LabelModel:
+def maximised(total: np.ndarray, known: Features) -> LabelModel:
+    """The model that a round's sums give."""
     # The labelled rows count once more, with their labels.
-    size = total[:, -1, -1] + sample.total
-    rates = (total[:, :-1, -1] + sample.rows.T + 0.5) / (size[:, None] + 1)
+    size = total[:, -1, -1] + known.total
+    rates = (total[:, :-2, -1] + known.rows.T + 0.5) / (size[:, None] + 1)
     rates = np.clip(rates, 1e-7, 1 - 1e-7)
-    weights = np.zeros((2, len(before.weights)))
+    overlap = np.zeros((2, len(known.names), len(known.names)))
     for side in (0, 1):
-        together = total[side, :-1, :-1] / max(total[side, -1, -1], 1)
+        together = total[side, :-2, :-2] / max(total[side, -1, -1], 1)
         alone = np.diag(together)
         spread = np.sqrt(alone * (1 - alone)) + 1e-9
         correlation = (together - np.outer(alone, alone)) / np.outer(spread, spread)
         np.fill_diagonal(correlation, 0)
-        weights[side] = 1 / (1 + np.clip(correlation, 0, 1).sum(axis=1))
+        overlap[side] = np.clip(correlation, 0, 1)
+    silence = np.clip((total[:, -2, -1] + 0.5) / (total[:, -1, -1] + 1), 1e-7, 1)
     share = float(np.clip(size[1] / size.sum(), 1e-6, 0.5))
-    return LabelModel(share, rates.T, weights.min(axis=0))
+    return LabelModel(share, rates.T, overlap.max(axis=0), silence)
 
 
 def fit_classifier(rows: DataFrame, selected: Features, voters: Features, model: LabelModel, epochs: int = 12) -> np.ndarray:
-    """Weights of the selected features and, last, the intercept, from ``text, toxic`` rows."""
+    """Weights of the selected features and, last, the intercept, from rows with a ``text``."""
     size = -(-len(voters.names) // 8)
     names, voter_names = selected.names, voters.names
 
@@ -286,13 +312,11 @@ def fit_classifier(rows: DataFrame, selected: Features, voters: Features, model:
             texts_ = batch.column(0).to_pylist()
             votes = pa.array([_votes(voting(t)).to_bytes(size, "little") for t in texts_], pa.binary())
             found = pa.array([sorted(reader(t)) for t in texts_], pa.list_(pa.int32()))
-            yield pa.record_batch([votes, batch.column(1), found], names=["votes", "toxic", "found"])
+            yield pa.record_batch([votes, found], names=["votes", "found"])
 
     # At most CLASSIFIER_ROWS rows of selected features.
-    sampled = rows.mapInArrow(read, "votes binary, toxic int, found array<int>").toArrow()
-    prior = model.posterior(_unpacked(sampled["votes"].to_pylist(), len(voter_names)))
-    odds = prior / (1 - prior + 1e-12) * np.where(sampled["toxic"].to_numpy() > 0, LABEL_ODDS, 1 / LABEL_ODDS)
-    target = odds / (1 + odds)
+    sampled = rows.mapInArrow(read, "votes binary, found array<int>").toArrow()
+    target = model.posterior(_unpacked(sampled["votes"].to_pylist(), len(voter_names)))
     lists = sampled["found"].combine_chunks()
     starts, found = lists.offsets.to_numpy(), lists.values.to_numpy()
     last = len(names)
@@ -337,7 +361,7 @@ def score(docs: DataFrame, classifier: Classifier) -> DataFrame:
 
 def learn(docs: DataFrame, labels: DataFrame) -> Classifier:
     """A classifier from the labels given and the votes on all texts."""
-    selected = select_features(sample(docs, labels, FEATURE_ROWS))
+    selected = select_features(labelled(docs, labels))
     voters = selected.voters()
     if not voters.names:
         return Classifier([], np.zeros(1))

@@ -8,6 +8,7 @@ import re
 import struct
 import zlib
 from collections import Counter, defaultdict
+from dataclasses import replace
 
 import numpy as np
 import public_tokenizers
@@ -277,6 +278,103 @@ def test_voters_that_repeat_each_other_weigh_less(spark):
     assert abs(model.rates[2, 1] - 0.7) < 0.12 and model.rates[2, 0] < 0.1
 
 
+def drawn_votes(texts: int = 6000, copies: int = 3):
+    """Votes of ``copies`` voters that say the same and two on their own, with the truth; one byte a text."""
+    order = random.Random(3)
+    votes, truth = [], []
+    for i in range(texts):
+        toxic = i % 4 == 0
+        a = order.random() < (0.3 if toxic else 0.1)
+        b, c = (order.random() < (0.3 if toxic else 0.01) for _ in range(2))
+        votes.append([int(a)] * copies + [int(b), int(c)])
+        truth.append(toxic)
+    return np.array(votes, float), np.array(truth)
+
+
+def known_rows(votes, truth) -> "toxicity.Features":
+    rows = np.stack([votes[~truth].sum(axis=0), votes[truth].sum(axis=0)], axis=1)
+    return toxicity.Features([f"v{i}" for i in range(votes.shape[1])], rows, np.array([(~truth).sum(), truth.sum()]))
+
+
+def stored_votes(spark, votes):
+    seen = Counter(np.packbits(row.astype(np.uint8), bitorder="little").tobytes() for row in votes)
+    return spark.createDataFrame([(bytearray(v), n) for v, n in seen.items()], "votes binary, n long")
+
+
+def test_label_model_equals_expectation_maximisation_text_by_text(spark):
+    votes, truth = drawn_votes(900)
+    known = known_rows(votes[:90], truth[:90])
+    got = toxicity.fit_label_model(stored_votes(spark, votes), known, rounds=4)
+
+    voters = votes.shape[1]
+    share, rates = known.total[1] / known.total.sum(), (known.rows + 0.5) / (known.total + 1)
+    overlap, silence = np.zeros((voters, voters)), np.prod(1 - rates, axis=0)
+    for _ in range(4):
+        toxic = []
+        for row in votes:
+            odds = share / (1 - share)
+            for i in np.flatnonzero(row):
+                odds *= (rates[i, 1] / rates[i, 0]) ** (1 / (1 + sum(overlap[i, j] for j in np.flatnonzero(row))))
+            odds *= 1 if row.any() else silence[1] / silence[0]
+            toxic.append(odds / (1 + odds))
+        toxic = np.array(toxic)
+        overlap = np.zeros((voters, voters))
+        weights = [1 - toxic, toxic]
+        for side, w in enumerate(weights):
+            for i in range(voters):
+                for j in range(voters):
+                    if i != j:
+                        x, y = (np.average(votes[:, k], weights=w) for k in (i, j))
+                        both = np.average(votes[:, i] * votes[:, j], weights=w)
+                        spread = (np.sqrt(x * (1 - x)) + 1e-9) * (np.sqrt(y * (1 - y)) + 1e-9)
+                        overlap[i, j] = max(overlap[i, j], min(1, (both - x * y) / spread))
+        size = [w.sum() + t for w, t in zip(weights, known.total)]
+        counts = [(votes * w[:, None]).sum(axis=0) + r for w, r in zip(weights, known.rows.T)]
+        rates = np.stack([(c + 0.5) / (n + 1) for c, n in zip(counts, size)], axis=1)
+        silence = [(w[~votes.any(axis=1)].sum() + 0.5) / (w.sum() + 1) for w in weights]
+        share = size[1] / sum(size)
+    assert np.allclose(got.rates, rates, atol=1e-6) and np.allclose(got.overlap, overlap, atol=1e-6)
+    assert np.allclose(got.silence, silence, atol=1e-6) and abs(got.share - share) < 1e-6
+
+
+def test_correlated_model_beats_the_independent_one(spark, monkeypatch):
+    votes, truth = drawn_votes()
+    known = known_rows(votes[:400], truth[:400])
+    model = toxicity.fit_label_model(stored_votes(spark, votes), known)
+    step = toxicity.maximised
+    independent = lambda total, known: replace(step(total, known), overlap=np.zeros((5, 5)))
+    monkeypatch.setattr(toxicity, "maximised", independent)
+    alone = toxicity.fit_label_model(stored_votes(spark, votes), known)
+    loss = [np.mean((m.posterior(votes) - truth) ** 2) for m in (model, alone)]
+    assert loss[0] < 0.8 * loss[1]
+    # Three votes that are one say no more than it; a lone vote counts whole.
+    three, own = np.array([[1, 1, 1, 0, 0]]), np.array([[0, 0, 0, 1, 0]])
+    assert model.posterior(three)[0] < 0.5 < alone.posterior(three)[0]
+    odds = model.share / (1 - model.share) * model.rates[3, 1] / model.rates[3, 0]
+    assert abs(model.posterior(own)[0] - odds / (1 + odds)) < 1e-9
+
+
+def test_label_model_changes_scores(spark):
+    """A clean row labelled toxic, without a voter's word, is not learned; labels enter by the voters' counts alone."""
+    docs = [(i, f"plain{i % 7} words{i % 5} here" + (" zorble gnarfle" if i % 4 == 0 else "")) for i in range(400)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0 or i in (1, 2, 3))) for i in range(400)], "doc_id long, toxic int")
+    scored = {r["doc_id"]: r["score"] for r in toxicity.score(frame, toxicity.learn(frame, labels)).collect()}
+    assert min(scored[i] for i in range(0, 400, 4)) > 0.9
+    assert max(s for i, s in scored.items() if i % 4) < 0.1
+
+
+def test_features_are_chosen_from_all_labelled_rows(spark, monkeypatch):
+    """A term in a few rows becomes a feature, however few rows the classifier is fitted on."""
+    monkeypatch.setattr(toxicity, "CLASSIFIER_ROWS", 50)
+    docs = [(i, f"plain{i % 7}" + (" blixig" if i % 100 == 0 else " zorble" if i % 5 == 1 else "")) for i in range(3000)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = frame.selectExpr("doc_id", "IF(doc_id % 100 = 0 OR doc_id % 5 = 1, 1, 0) AS toxic")
+    found = toxicity.select_features(toxicity.labelled(frame, labels))
+    assert "blixig" in found.names and found.total.tolist() == [2370, 630]
+    assert toxicity.sample(frame, labels, 50).count() == 50
+
+
 def test_without_labels_nothing_is_toxic(spark, insulting):
     docs, labels = insulting
     assert toxicity.score(docs, toxicity.learn(docs, labels.where("false"))).agg(F.max("score")).first()[0] == 0
