@@ -9,7 +9,8 @@
    on clean ones, how often none does, and how voters correlate within a
    class.  Votes of one text that repeat each other weigh less; one that
    abstains says nothing, silence of all is evidence of its own.  The labelled
-   rows' counts hold the classes in place: labels enter by them alone.  Votes
+   rows' counts, half of all weight at least, hold the classes in place:
+   labels enter by them alone.  Votes
    are kept as distinct combinations with counts.
 3. Classifier: a logistic regression on the selected features, trained on the
    label model's posteriors of a bounded sample, scores every text.
@@ -48,6 +49,8 @@ VOTER_G2 = 30.0
 STEMS = (4, 5, 6)
 MANY = (2, 3)
 ROUNDS = 6
+# All texts together weigh at most as much as the labelled rows in a round, so that they cannot pull the classes away.
+UNLABELLED = 1.0
 REMEMBERED = 300_000
 
 _PARTS = re.compile(r"[^\W\d_]+")
@@ -284,6 +287,7 @@ def fit_label_model(votes: DataFrame, known: Features, rounds: int = ROUNDS) ->
 
 def maximised(total: np.ndarray, known: Features) -> LabelModel:
     """The model that a round's sums give."""
+    total = total * min(1.0, UNLABELLED * known.total.sum() / max(total[:, -1, -1].sum(), 1))
     # The labelled rows count once more, with their labels.
     size = total[:, -1, -1] + known.total
     rates = (total[:, :-2, -1] + known.rows.T + 0.5) / (size[:, None] + 1)
