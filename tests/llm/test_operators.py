@@ -278,14 +278,14 @@ def test_voters_that_repeat_each_other_weigh_less(spark):
     assert abs(model.rates[2, 1] - 0.7) < 0.12 and model.rates[2, 0] < 0.1
 
 
-def drawn_votes(texts: int = 6000, copies: int = 3):
+def drawn_votes(texts: int = 6000, copies: int = 3, same=(0.1, 0.3), own=(0.01, 0.3)):
     """Votes of ``copies`` voters that say the same and two on their own, with the truth; one byte a text."""
     order = random.Random(3)
     votes, truth = [], []
     for i in range(texts):
         toxic = i % 4 == 0
-        a = order.random() < (0.3 if toxic else 0.1)
-        b, c = (order.random() < (0.3 if toxic else 0.01) for _ in range(2))
+        a = order.random() < same[toxic]
+        b, c = (order.random() < own[toxic] for _ in range(2))
         votes.append([int(a)] * copies + [int(b), int(c)])
         truth.append(toxic)
     return np.array(votes, float), np.array(truth)
@@ -338,8 +338,9 @@ def test_label_model_equals_expectation_maximisation_text_by_text(spark):
     assert np.allclose(got.silence, silence, atol=1e-6) and abs(got.share - share) < 1e-6
 
 
-def test_correlated_model_beats_the_independent_one(spark, monkeypatch):
-    votes, truth = drawn_votes()
+@pytest.mark.parametrize("same, own", [((0.1, 0.3), (0.01, 0.3)), ((0.2, 0.5), (0.03, 0.6))])
+def test_correlated_model_beats_the_independent_one(spark, monkeypatch, same, own):
+    votes, truth = drawn_votes(same=same, own=own)
     known = known_rows(votes[:400], truth[:400])
     model = toxicity.fit_label_model(stored_votes(spark, votes), known)
     step = toxicity.maximised
