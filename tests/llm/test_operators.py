@@ -377,6 +377,18 @@ def test_features_are_chosen_from_all_labelled_rows(spark, monkeypatch):
     assert toxicity.sample(frame, labels, 50).count() == 50
 
 
+def test_few_labels_are_joined_as_many_are(spark):
+    """Labels are not broadcast when they are few, and texts without one are left at the scan."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(2000)] + [(None, "no id"), (7, "again")], "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 0), (7, 1), (8, 0), (None, 1), (9, None), (5000, 1)], "doc_id long, toxic int")
+    found = toxicity.labelled(docs, labels)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert sorted((r["text"], r["toxic"]) for r in found.collect()) == [("again", 1), ("text 7", 1), ("text 8", 0)]
+    known = labels.where("doc_id IS NOT NULL")
+    assert toxicity.may_be_among(docs, known, ["doc_id"], toxicity.FILTER_WORDS).count() < 20
+
+
 def test_without_labels_nothing_is_toxic(spark, insulting):
     docs, labels = insulting
     assert toxicity.score(docs, toxicity.learn(docs, labels.where("false"))).agg(F.max("score")).first()[0] == 0
