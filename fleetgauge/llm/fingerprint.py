@@ -147,12 +147,12 @@ def fingerprint_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
         F.expr("max(fingerprint) FILTER (WHERE variant = 0) AS fingerprint"),
         F.expr("max(fingerprint) FILTER (WHERE variant = 1) AS edited_fingerprint"),
     )
-    pairs = stored(pairs, "fingerprints")
     digests = both.selectExpr("id", "h", "sha2(edited, 256) AS edited_sha256")
+    # One job reads the shuffled texts for both; a later one would shuffle them again.
+    pairs = stored(pairs.join(digests, ["id", "h"]), "fingerprints")
     after = pairs.selectExpr("id AS next_id", "h AS next_h", "fingerprint AS next_fingerprint")
     return (
-        links.join(digests, ["id", "h"])
-        .join(pairs, ["id", "h"])
+        links.join(pairs, ["id", "h"])
         .join(after, ["next_id", "next_h"])
         .withColumn("copy", F.expr("explode(sequence(1L, copies))"))
         .selectExpr(

@@ -149,6 +149,12 @@ def test_weights_count_and_equal_texts_agree(spark):
     assert abs(same - 0.25) < 0.08  # one occurrence of four
 
 
+def test_texts_are_shuffled_by_one_job(spark, awkward):
+    """Fingerprints and digests of edited texts come from one job: what is left to do reads no text."""
+    plan = queries.op2_fingerprints(spark, awkward)._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan and "edited_sha256" in plan
+
+
 # 3: SimHash
 
 
