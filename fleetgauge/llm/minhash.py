@@ -1,11 +1,14 @@
-"""Near duplicates by MinHash bands, every candidate verified.
+"""Near duplicates by SimHash, completed by MinHash bands, every candidate verified.
 
-A text is the set of its shingles, runs of five lower-cased words.  Two sets
-agree in a MinHash value with a probability equal to their Jaccard similarity
+A text is the set of its shingles, runs of five lower-cased words.  SimHash
+fingerprints over those shingles that lie within ``DISTANCE`` bits are found
+by multi-index hashing (:mod:`fleetgauge.llm.simhash`).  64 bits miss pairs
+near the threshold, so MinHash completes them.  Two sets agree in a value with a probability equal to their Jaccard similarity
 s, in a band of ``ROWS`` values with ``s ** ROWS``, and in none of ``BANDS``
 bands with ``(1 - s ** ROWS) ** BANDS``: 2 in a million at 0.8.  Texts that
-agree in a band are compared by the exact similarity of their sets before they
-are linked, so all that MinHash decides is what is compared.
+SimHash or a band brings together are compared by the exact similarity of
+their sets before they are linked, so all that hashes decide is what is
+compared.
 
 Texts of one set are one node, known by two hashes of 64 bits.  A band that
 many nodes agree in is not paired up: nodes are first compared with the
@@ -30,11 +33,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from fleetgauge.llm import simhash
 from fleetgauge.llm.components import components
 from fleetgauge.llm.tables import stored, texts
 
 SEED = 42
 WORDS = 5
+# SimHash: bits in which fingerprints differ at most, and the segments they are cut into.
+DISTANCE = 3
+SEGMENTS = 2
 LEAST = (4, 5)  # similarity from which texts are near copies, as a fraction
 ROWS = 4
 BANDS = 25
@@ -94,25 +101,43 @@ def _hash_of(found: np.ndarray, seed: int, bits: int = 64) -> int:
 
 
 def signatures(docs: DataFrame, bits: int = 64) -> DataFrame:
-    """``doc_id, text_hash, node, other, keys``: two hashes of a document's set, and its bands.
+    """``doc_id, text_hash, node, other, fp, keys``: two hashes of a document's set, its SimHash and its bands.
 
     ``bits`` shortens the first of them, to try what happens when it is not unique.
     """
 
     def signed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, others, keys = [], [], []
-            for text in batch.column(2).cast(pa.binary()):
-                found = shingles(text.as_py())
+            nodes, others, prints, keys = [], [], [], []
+            for text in batch.column(2).cast(pa.binary()).to_pylist():
+                found = shingles(text)
+                prints.append(simhash.fingerprint(text, WORDS))
                 nodes.append(_hash_of(found, SEED, bits))
                 others.append(_hash_of(found, SEED + 1))
                 keys.append(bands(found))
-            hashes = [pa.array(nodes, pa.int64()), pa.array(others, pa.int64())]
+            fp = np.array(prints, np.uint64).view(np.int64)
+            hashes = [pa.array(nodes, pa.int64()), pa.array(others, pa.int64()), pa.array(fp)]
             columns = [batch.column(0), batch.column(1), *hashes, pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.record_batch(columns, names=["doc_id", "text_hash", "node", "other", "keys"])
+            yield pa.record_batch(columns, names=["doc_id", "text_hash", "node", "other", "fp", "keys"])
 
     rows = texts(docs).selectExpr("doc_id", "xxhash64(text) AS text_hash", "text")
-    return rows.mapInArrow(signed, "doc_id long, text_hash long, node long, other long, keys array<long>")
+    return rows.mapInArrow(signed, "doc_id long, text_hash long, node long, other long, fp long, keys array<long>")
+
+
+def by_simhash(rows: DataFrame) -> DataFrame:
+    """Pairs ``a < b`` of nodes whose fingerprints ``fp`` are within ``DISTANCE`` bits.
+
+    Nodes of one fingerprint stand for each other: they meet the smallest of
+    them, which meets those of the fingerprints near by.
+    """
+    nodes = stored(rows.groupBy("fp").agg(F.min("node").alias("least")), "fingerprints")
+    same = rows.select("fp", "node").join(nodes, "fp").selectExpr("least AS a", "node AS b")
+    near = (
+        simhash.links(nodes, DISTANCE, SEGMENTS)
+        .join(nodes.selectExpr("fp AS a", "least AS m"), "a")
+        .join(nodes.selectExpr("fp AS b", "least AS n"), "b")
+    )
+    return same.union(near.selectExpr("least(m, n) AS a", "greatest(m, n) AS b")).where("a <> b").distinct()
 
 
 def _told_apart(rows: DataFrame) -> DataFrame:
@@ -207,13 +232,16 @@ def near_copies(docs: DataFrame, bits: int = 64) -> DataFrame:
     keyed = rows.selectExpr("node", "explode(keys) AS key")
     shared = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
     members = stored(keyed.join(shared, "key").distinct(), "members")
-    chosen = rows.join(members.select("node").distinct(), "node", "left_semi")
+    near = stored(by_simhash(rows), "near")
+    candidates = members.select("node").union(near.selectExpr("explode(array(a, b)) AS node")).distinct()
+    chosen = rows.join(candidates, "node", "left_semi")
     chosen = chosen.groupBy("node", "other").agg(F.min("text_hash").alias("text_hash"))
     sets = stored(_sets(docs, chosen), "sets")
 
-    # Each member of a band with the smallest and the largest.
+    # What SimHash brings together, and each member of a band with the smallest and the largest.
     spokes = members.selectExpr("node", "explode(array(lo, hi)) AS end").where("node <> end")
-    first = stored(spokes.selectExpr("least(node, end) AS a", "greatest(node, end) AS b").distinct(), "pairs")
+    spokes = spokes.selectExpr("least(node, end) AS a", "greatest(node, end) AS b")
+    first = stored(near.union(spokes).distinct(), "pairs")
     linked = stored(_verified(first, sets), "links")
 
     # Then nodes of bands that hold several components.

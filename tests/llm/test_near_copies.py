@@ -133,3 +133,20 @@ def test_sets_that_share_a_hash_are_told_apart(spark):
     for i, root in expected.items():
         groups.setdefault(root, set()).add(i)
     assert sorted(map(sorted, roots.values())) == sorted(map(sorted, groups.values()))
+
+
+def test_simhash_brings_candidates_together(spark):
+    """Fingerprints of five-word shingles within three bits are candidates: all that brute force finds are connected."""
+    order = random.Random(12)
+    docs = {}
+    for i in range(0, 120, 2):
+        words = [f"w{order.random()}" for _ in range(900)]
+        docs |= {i: " ".join(words), i + 1: edited(words, [order.randrange(900)], order)}
+    rows = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    signed = minhash.signatures(rows).collect()
+    prints = {r["node"]: simhash.fingerprint(docs[r["doc_id"]].encode(), 5) for r in signed}
+    close = [(a, b) for a, b in combinations(sorted(prints), 2) if (prints[a] ^ prints[b]).bit_count() <= minhash.DISTANCE]
+    met = [(r["a"], r["b"]) for r in minhash.by_simhash(minhash.signatures(rows)).collect()]
+    assert len(close) > 20 and len(set(met)) == len(met)
+    assert all(a < b for a, b in met)
+    assert union(close, prints) == union(met, prints)
