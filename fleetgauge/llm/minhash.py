@@ -15,9 +15,10 @@ many nodes agree in is not paired up: nodes are first compared with the
 smallest and the largest of each band.  Those that these links leave in
 different components meet by their rarest shingles (:func:`rarest`), so pages
 of one template do not meet for what all of them share.  What is not compared
-is in one component already, shares no rare shingle, or differs by too much
-for its size in the parities of shingles; the latter two prove that a pair is
-below the threshold.
+is in one component already, shares no rare shingle, has too few shingles left
+behind the rare one, or differs by too much for its size in the parities of
+shingles; the latter three prove that a pair is below the threshold, where
+pairs are made, so they make no row.
 
 Defined results: a null text is empty; a text of fewer than five words is one
 shingle; texts without words have the empty set and are copies of each other;
@@ -45,7 +46,7 @@ SEGMENTS = 2
 LEAST = (4, 5)  # similarity from which texts are near copies, as a fraction
 ROWS = 4
 BANDS = 25
-PARITY = 8  # words of 64 bits
+PARITY = 16  # words of 64 bits
 _AT_ONCE = 1024  # shingles that meet all multipliers at once
 
 
@@ -205,6 +206,8 @@ def rarest(sets: DataFrame) -> DataFrame:
     each that comes first in an order of all shingles, and one more, cannot be
     apart.  In the order by number of sets, what many share comes last.
     Shingles of one set come first and lead nowhere: they are counted only.
+    ``before`` is the one that comes before, ``behind`` how many come at a
+    shingle or after it, of those the set shares with others.
     """
     num, den = LEAST
     each = sets.select("*", F.explode("found").alias("shingle")).drop("found")
@@ -212,16 +215,28 @@ def rarest(sets: DataFrame) -> DataFrame:
     placed = each.join(shared, "shingle").selectExpr(
         "*",
         "row_number() OVER (PARTITION BY node ORDER BY n, shingle) AS place",
+        "lag(shingle) OVER (PARTITION BY node ORDER BY n, shingle) AS before",
         "count(*) OVER (PARTITION BY node) AS common",
     )
-    return placed.where(f"place <= common - (size * {num} + {den - 1}) DIV {den} + 1").drop("n", "place", "common")
+    return placed.where(f"place <= common - (size * {num} + {den - 1}) DIV {den} + 1").selectExpr(
+        "* EXCEPT (n, place, common)", "common - place + 1 AS behind"
+    )
 
 
 def across(sets: DataFrame) -> DataFrame:
-    """Pairs ``a < b`` of nodes of different ``part`` that may be near, from ``node, part, size, found``."""
+    """Pairs ``a < b`` of nodes of different ``part`` that may be near, from ``node, part, size, found``.
+
+    With a column ``parity``, pairs that it rules out do not come out of the join either.
+    """
     num, den = LEAST
     first = stored(rarest(sets), "rarest")
     near = f"l.node < r.node AND l.part <> r.part AND least(l.size, r.size) * {den} >= greatest(l.size, r.size) * {num}"
+    # Pairs that share the shingle before as well have met there.
+    near += " AND coalesce(l.before <> r.before, true)"
+    # From the first shingle near sets share on, both hold all they have in common: num / (num + den) of their elements.
+    near += f" AND least(l.behind, r.behind) * {num + den} >= (l.size + r.size) * {num}"
+    if "parity" in sets.columns:
+        near += f" AND {_may_be_near('l', 'r')}"
     met = first.alias("l").join(first.alias("r"), F.expr(f"l.shingle = r.shingle AND {near}"))
     return met.selectExpr("l.node AS a", "r.node AS b").distinct()
 
@@ -249,7 +264,7 @@ def near_copies(docs: DataFrame, bits: int = 64) -> DataFrame:
     placed = members.select("key", "node").join(parts, "node", "left").selectExpr("key", "node", "coalesce(root, node) AS part")
     mixed = placed.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most")
     apart = placed.join(mixed, "key").select("node", "part").distinct()
-    met = across(sets.join(apart, "node").select("node", "part", "size", "found"))
+    met = across(sets.join(apart, "node").select("node", "part", "size", "parity", "found"))
     rest = stored(met.join(first, ["a", "b"], "left_anti"), "pairs")
     found = components(linked.union(_verified(rest, sets)))
     return rows.select("doc_id", "text_hash", "node").join(found, "node", "left").selectExpr(

@@ -135,6 +135,45 @@ def test_sets_that_share_a_hash_are_told_apart(spark):
     assert sorted(map(sorted, roots.values())) == sorted(map(sorted, groups.values()))
 
 
+def near_template(pages: int) -> dict[int, str]:
+    """Pages of one template, similar by some 0.74, whose passages come in pairs of pages: each is rare."""
+    return {i: " ".join([f"t{j}" for j in range(172)] + [f"own{i}.{j}" for j in range(28)]) for i in range(pages)}
+
+
+def with_parity(spark, docs: dict[int, str]):
+    found = {i: minhash.shingles(t.encode()) for i, t in docs.items()}
+    rows = [(i, i, len(f), minhash.parity(f), f.view(np.int64).tolist()) for i, f in found.items()]
+    return spark.createDataFrame(rows, "node long, part long, size long, parity array<long>, found array<long>")
+
+
+def test_pages_below_the_threshold_come_out_of_no_join(spark):
+    """Pages that share three quarters meet by rare shingles, but make no pair: sizes, places and parities rule it out."""
+    order = random.Random(10)
+    docs = near_template(120)
+    assert 0.7 < jaccard(*(plain_shingles(docs[i]) for i in (0, 1))) < 0.8
+    assert minhash.across(with_parity(spark, docs)).count() == 0
+    near = {1000 + i: edited(docs[i].split(), [order.randrange(200)], order) for i in range(0, 120, 10)}
+    met = {(r["a"], r["b"]) for r in minhash.across(with_parity(spark, docs | near)).collect()}
+    assert {(i - 1000, i) for i in near} <= met and len(met) <= 120
+
+
+def test_near_pairs_pass_places_and_parities(spark):
+    """No pair at 0.8 or more is ruled out, whatever the sizes and wherever the edits."""
+    order = random.Random(11)
+    words = [f"w{i}" for i in range(30)]
+    docs = {0: "", 1: "a", 2: "a b"}
+    for i in range(10, 90):
+        text = [order.choice(words) for _ in range(order.choice((5, 9, 30, 200)))]
+        docs[i] = " ".join(text)
+        docs[i + 200] = edited(text, [order.randrange(len(text))], order)
+        docs[i + 400] = " ".join(text[: -(-len(text) * 9 // 10)])
+        docs[i + 600] = " ".join(text + [order.choice(words) for _ in range(len(text) // 6)])
+    sets = {i: plain_shingles(t) for i, t in docs.items()}
+    near = {(a, b) for a, b in combinations(docs, 2) if a < b and sets[a] | sets[b] and jaccard(sets[a], sets[b]) >= 0.8}
+    met = {(r["a"], r["b"]) for r in minhash.across(with_parity(spark, docs)).collect()}
+    assert len(near) > 100 and near <= met
+
+
 def test_simhash_brings_candidates_together(spark):
     """Fingerprints of five-word shingles within three bits are candidates: all that brute force finds are connected."""
     order = random.Random(12)
