@@ -229,7 +229,10 @@ def across(sets: DataFrame) -> DataFrame:
     With a column ``parity``, pairs that it rules out do not come out of the join either.
     """
     num, den = LEAST
-    first = stored(rarest(sets), "rarest")
+    first = rarest(sets.drop("parity"))
+    if "parity" in sets.columns:  # added to the rows that remain, to shuffle fewer of them
+        first = first.join(sets.select("node", "parity"), "node")
+    first = stored(first, "rarest")
     near = f"l.node < r.node AND l.part <> r.part AND least(l.size, r.size) * {den} >= greatest(l.size, r.size) * {num}"
     # Pairs that share the shingle before as well have met there.
     near += " AND coalesce(l.before <> r.before, true)"
